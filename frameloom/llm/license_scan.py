@@ -2,11 +2,11 @@
 
 Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
 characters; shingles are five words. Windows hold ``WINDOW`` shingles and start every
-``WINDOW`` shingles, so neighbouring windows share the words between them and every
-shingle lies in one window. Each window and each window of a template has one MinHash
-value a band; one equal band retrieves the template. A window that holds one shingle of
-a template that short has similarity 1/4 at least, so with 48 bands of one row it is
-missed with probability 0.75**48, about 1e-6; longer templates offer more windows.
+``WINDOW`` shingles, so windows share words with their neighbours and every shingle
+lies in one window. A window has one MinHash value a band; a band that equals that of a
+template's shingle retrieves the template. The similarity of a window and a shingle in
+it is 1/2, so with 16 bands of one row the window is missed with probability 0.5**16,
+1.5e-5; longer templates offer more windows, and windows inside a template never miss.
 
 Retrieved (document, template) pairs are verified exactly: the share of the template's
 distinct shingles that the whole document contains must reach ``percent`` / 100.
@@ -14,21 +14,21 @@ distinct shingles that the whole document contains must reach ``percent`` / 100.
 All is DataFrame expressions; the templates are a bounded parameter, so their bands and
 shingles travel inside the plan. Defined results: null and empty texts, and texts under
 five words, match nothing; templates under five words are refused; repeated documents
-give a row each and template; null ids are kept; extra columns are ignored; an
+give one row for each template; null ids are kept; extra columns are ignored; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize
 from frameloom.llm.decontaminate import words
 
-SHINGLE, WINDOW, BANDS, PERCENT = 5, 4, 48, 80
+SHINGLE, WINDOW, BANDS, PERCENT = 5, 2, 16, 80
 
 #: Standard notices of public licenses, by identifier.
 TEMPLATES = {
@@ -52,13 +52,16 @@ def template_shingles(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)))
 
 
-def _hashed(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """name, at, h: template shingles in order, hashed as the documents' are."""
-    rows = [(name, i, s.split(" ")) for name, text in templates.items() for i, s in enumerate(template_shingles(text))]
-    return spark.createDataFrame(rows, "name string, at int, w array<string>").select("name", "at", F.xxhash64("w").alias("h"))
+def template_bands(spark: SparkSession, templates: dict[str, str], bands: int) -> tuple[DataFrame, DataFrame]:
+    """(license, t: its shingle hashes) and (band, value, license), from the templates' shingles hashed as the documents' are."""
+    rows = [(name, s.split(" ")) for name, text in templates.items() for s in template_shingles(text)]
+    hashed = spark.createDataFrame(rows, "license string, w array<string>").select("license", F.xxhash64("w").alias("h"))
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, F.col("h")).alias("value")) for i in range(bands)]))
+    banded = hashed.select("license", values.alias("b")).select("b.band", "b.value", "license").distinct()
+    return hashed.groupBy("license").agg(F.collect_set("h").alias("t")), banded
 
 
-def _band(i: int, hashes: list[Column]) -> Column:
+def _band(i: int, *hashes: Column) -> Column:
     """MinHash number i of the shingle hashes that aren't null."""
     mixed = [F.when(h.isNotNull(), F.xxhash64(F.lit(i), h)) for h in hashes]
     return F.least(*mixed) if len(mixed) > 1 else mixed[0]
@@ -66,42 +69,23 @@ def _band(i: int, hashes: list[Column]) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """doc_id, license, n_shared, n_template of every notice that a document contains."""
-    spark = docs.sparkSession
-    hashed = _hashed(spark, templates)
-    rows = hashed.orderBy("name", "at").collect()  # the templates, a parameter
-    sizes, own = {}, {}
-    for r in rows:
-        own.setdefault(r["name"], []).append(r["h"])
-        sizes[r["name"]] = sizes.get(r["name"], 0) + 1
-    # every run of up to WINDOW template shingles that a document's window can hold
-    runs = [(name, [F.lit(h) for h in hs[max(0, a) : a + WINDOW]] or None) for name, hs in own.items() for a in range(1 - WINDOW, len(hs)) if a + WINDOW > 0]
-    values = spark.range(1).select(*[F.struct(*[_band(i, hs).alias(f"b{i}") for i in range(bands)]).alias(str(k)) for k, (_, hs) in enumerate(runs)]).first()
-    by_band: list[dict[int, set[str]]] = [{} for _ in range(bands)]
-    for (name, _), found in zip(runs, values, strict=True):
-        for i in range(bands):
-            by_band[i].setdefault(found[i], set()).add(name)
-    base = docs.select("doc_id", words(F.col("text")).alias("w"))
+    own, banded = template_bands(docs.sparkSession, templates, bands)
+    known: dict[int, list[int]] = {}
+    for r in banded.collect():  # the templates, a parameter
+        known.setdefault(r["band"], []).append(r["value"])
     last = F.size("w") - (SHINGLE - 1)
-    hashes = F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
-    shingled = base.select("doc_id", hashes.alias("s")).where(F.size("s") > 0)
-    starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(WINDOW))
-    windows = F.transform(starts, lambda i: F.struct(*[F.get(F.col("s"), i + k).alias(f"h{k}") for k in range(WINDOW)]))
-
-    def retrieved(x: Column) -> Column:
-        hs = [x[f"h{k}"] for k in range(WINDOW)]
-        any_band = None
-        for i in range(bands):
-            one = _band(i, hs).isin(list(by_band[i]))
-            any_band = one if any_band is None else any_band | one
-        return any_band
-
-    keyed = shingled.select("doc_id", "s", windows.alias("windows"))
-    kept = keyed.select("doc_id", "s", F.filter("windows", retrieved).alias("hits")).where(F.size("hits") > 0)
-    kept = materialize(kept, "license-windows")
-    names = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.flatten(F.array(*[
-        F.coalesce(F.try_element_at(F.create_map(*[c for v, who in by_band[i].items() for c in (F.lit(v), F.array(*[F.lit(n) for n in sorted(who)]))]), _band(i, [x[f"h{k}"] for k in range(WINDOW)])), F.array().cast("array<string>"))
-        for i in range(bands)])))))
-    pairs = kept.select("doc_id", "s", F.explode(names).alias("license"))
-    templates_of = spark.createDataFrame([(name, hs) for name, hs in own.items()], "license string, t array<long>")
-    verified = pairs.join(F.broadcast(templates_of), "license").withColumn("n_shared", F.size(F.array_intersect("t", "s")).cast("long")).withColumn("n_template", F.size("t").cast("long"))
-    return verified.where(F.col("n_shared") * 100 >= F.col("n_template") * percent).select("doc_id", "license", "n_shared", "n_template")
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
+    # No filter stands on these arrays, and the generator is an outer one: a filter would be pushed below, and take the split of the text into the lambda.
+    shingled = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", hashes.alias("s"))
+    first = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1, F.lit(WINDOW))).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(first, lambda i: F.struct(*[F.get(F.col("s"), i + k).alias(f"h{k}") for k in range(WINDOW)]))
+    each = shingled.select("doc_id", "s", F.inline_outer(windows))
+    held = [F.col(f"h{k}") for k in range(WINDOW)]
+    retrieved = reduce(lambda a, b: a | b, [_band(i, *held).isin(known.get(i, [])) for i in range(bands)])
+    at_bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, *held).alias("value")) for i in range(bands)]))
+    hits = each.where(retrieved).select("doc_id", "s", at_bands.alias("b"))
+    pairs = hits.join(F.broadcast(banded), (F.col("b.band") == banded["band"]) & (F.col("b.value") == banded["value"])).select("doc_id", "license", "s").distinct()
+    shared, size = F.size(F.array_intersect("t", "s")).cast("long"), F.size("t").cast("long")
+    verified = pairs.join(F.broadcast(own), "license").select("doc_id", "license", shared.alias("n_shared"), size.alias("n_template"))
+    return verified.where(F.col("n_shared") * 100 >= F.col("n_template") * percent).distinct()
