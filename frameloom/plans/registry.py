@@ -1,4 +1,6 @@
 """All catalogue queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from frameloom.plans import media  # noqa: F401  (registers its queries)
+from frameloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
