@@ -10,8 +10,8 @@ VIDEO_EXTENSIONS = (".mp4", ".avi", ".mkv", ".mov")
 
 
 def one_decimal(x: Column) -> Column:
-    """Text with one decimal, by rounding half away from zero in decimal arithmetic."""
-    return F.format_string("%.1f", F.round(x.cast("decimal(30,10)"), 1))
+    """Text with one decimal; exact halves go to the even digit, as C's ``%.1f`` does."""
+    return F.bround(x.cast("decimal(38,18)"), 1).cast("decimal(38,1)").cast("string")
 
 
 def format_size(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> Column:
