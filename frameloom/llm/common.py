@@ -51,3 +51,10 @@ def lower_ascii(col: Column) -> Column:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a narrow table of ``rows`` counted rows if it is within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of at most ``rows`` rows, so that what Python holds at a time is bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

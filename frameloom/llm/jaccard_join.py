@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize, small_side
+from frameloom.llm.common import materialize, slices, small_side
 from frameloom.llm.components import Forest, connected_components
 from frameloom.llm.shingles import digest, shingles
 
@@ -49,7 +49,7 @@ BLOCK = 1000
 #: Prefix shingles that one bucket holds, about.
 BUCKET = 1_000_000
 #: Prefix shingles that are packed together before they are dealt out.
-PACK = 2_000_000
+PACK = 500_000
 
 
 def prefix_share(n, percent: int):
@@ -65,7 +65,7 @@ def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n (shingles), node (name of the set), kept (length of its extended prefix)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             n = [len(s) for s in sets]
             kept = [min(k, 2 * prefix_share(k, percent) - 1) if k else 0 for k in n]
@@ -98,7 +98,7 @@ def _pack(words: int, percent: int, bits: int):
 
     def run(batches):
         hashes, nodes, sizes, total = [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = shingles(text, words)
                 if not len(found):
@@ -270,7 +270,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
 
 def _grams(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
             mine = [i for i, (s, node) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if _node(s) == node]
             take = pa.array(mine, pa.int64())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize
+from frameloom.llm.common import materialize, slices
 from frameloom.llm.tokens import encoder
 
 SIZE, WIDTH, END_ID = 2048, 8, 1
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, w
 
     def run(batches):
         encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in columns.split(",")]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += end

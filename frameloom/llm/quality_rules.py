@@ -185,7 +185,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 
 
 def with_statistics(docs: DataFrame, *kept: Column | str) -> DataFrame:
-    return docs.select(*kept, *[c.alias(f"_s_{k}") for k, c in statistics(docs["text"]).items()])
+    """``kept`` columns and the statistics, passed through a generator of one row: a filter on them stays above it and computes none again."""
+    computed = docs.select(*kept, *[c.alias(f"_c_{k}") for k, c in statistics(docs["text"]).items()])
+    row = F.struct(*[F.col(f"_c_{k}").alias(f"_s_{k}") for k in NAMES])
+    return computed.select("*", F.inline_outer(F.array(row))).drop(*[f"_c_{k}" for k in NAMES])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -210,5 +213,5 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> D
 
 def keep_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns."""
-    marked = docs.select("*", *[c.alias(f"_s_{k}") for k, c in statistics(docs["text"]).items()])
-    return marked.where(model.column() >= threshold).select(*[marked[c] for c in docs.columns])
+    marked = with_statistics(docs, "*")
+    return marked.where(model.column() >= threshold).select(*[docs[c] for c in docs.columns])

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import scratch_path
+from frameloom.llm.common import scratch_path, slices
 from frameloom.llm.tokens import encoder
 
 MAGIC = b"FLTOKEN1"
@@ -116,7 +116,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_b
         encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
         press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=False)
         part, k, frames, entries, size = TaskContext.get().partitionId(), 0, [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 frames.append(press.compress(_narrow(ids + end, id_bytes)))
                 entries.append((doc_id, len(ids) // 4 + 1))

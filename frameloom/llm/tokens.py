@@ -21,7 +21,7 @@ BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ž]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ž0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
 NOT_LATIN = re.compile("[^\n -~¡-ž]")
 #: Pieces that a worker remembers; later new ones are encoded each time.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 
 _encoders: dict[str, Encoder] = {}
 
