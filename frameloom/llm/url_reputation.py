@@ -78,12 +78,13 @@ def _shrink(groups: DataFrame, prior: str, out: str) -> DataFrame:
     """Add ``{out}_a`` and ``{out}_b``: beta posterior of each group around ``prior``, its parent's mean.
 
     The concentration comes from the between-group variance of the whole level by
-    the method of moments: E[n (p - m)^2] = m (1 - m) (1 + (n - 1) rho).
+    the method of moments: E[n (p - m)^2] = m (1 - m) (1 + (n - 1) rho). With fewer than
+    two groups to compare the prior stays as weak as one label.
     """
     n, bad, m = F.col("n").cast("double"), F.col("bad").cast("double"), F.col(prior)
     excess = n * F.pow(bad / n - m, 2) / (m * (1 - m)) - 1
-    moments = groups.where("n > 1").agg(F.sum(excess).alias("over"), F.sum(n - 1).alias("pairs")).first()
-    rho = (moments["over"] or 0.0) / moments["pairs"] if moments["pairs"] else 0.0
+    moments = groups.where("n > 1").agg(F.sum(excess).alias("over"), F.sum(n - 1).alias("pairs"), F.count("*").alias("groups")).first()
+    rho = moments["over"] / moments["pairs"] if moments["groups"] > 1 else 0.5
     rho = min(max(rho, 1e-3), 0.5)
     kappa = (1 - rho) / rho
     return groups.withColumns({f"{out}_a": kappa * m + bad, f"{out}_b": kappa * (1 - m) + n - bad})
