@@ -74,19 +74,20 @@ def registered_domain(host: Column, suffix: Column) -> Column:
         F.concat_ws(".", F.slice(F.split(host, r"\."), -F.least(labels + 1, F.size(F.split(host, r"\."))), F.least(labels + 1, F.size(F.split(host, r"\."))))))
 
 
-def _shrink(groups: DataFrame, prior: str, out: str) -> DataFrame:
+def _shrink(groups: DataFrame, prior: str, known: str, out: str) -> DataFrame:
     """Add ``{out}_a`` and ``{out}_b``: beta posterior of each group around ``prior``, its parent's mean.
 
     The concentration comes from the between-group variance of the whole level by
     the method of moments: E[n (p - m)^2] = m (1 - m) (1 + (n - 1) rho). With fewer than
-    two groups to compare the prior stays as weak as one label.
+    two groups to compare the prior stays as weak as one label, and it never weighs more
+    than ``known``, the labels and prior labels behind the parent's mean.
     """
     n, bad, m = F.col("n").cast("double"), F.col("bad").cast("double"), F.col(prior)
     excess = n * F.pow(bad / n - m, 2) / (m * (1 - m)) - 1
     moments = groups.where("n > 1").agg(F.sum(excess).alias("over"), F.sum(n - 1).alias("pairs"), F.count("*").alias("groups")).first()
     rho = moments["over"] / moments["pairs"] if moments["groups"] > 1 else 0.5
     rho = min(max(rho, 1e-3), 0.5)
-    kappa = (1 - rho) / rho
+    kappa = F.least(F.lit((1 - rho) / rho), F.col(known))
     return groups.withColumns({f"{out}_a": kappa * m + bad, f"{out}_b": kappa * (1 - m) + n - bad})
 
 
@@ -109,12 +110,14 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     def up(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    def mean(level: str) -> Column:
-        return (F.col(f"{level}_a") / (F.col(f"{level}_a") + F.col(f"{level}_b"))).alias(f"{level}_mean")
+    def prior(level: str) -> list[Column]:
+        weight = F.col(f"{level}_a") + F.col(f"{level}_b")
+        return [(F.col(f"{level}_a") / weight).alias(f"{level}_mean"), weight.alias(f"{level}_weight")]
 
-    suffixes = _shrink(up(hosts, "suffix").withColumn("all_mean", F.lit(overall)), "all_mean", "suffix")
-    domains = _shrink(up(hosts, "suffix", "domain").join(suffixes.select("suffix", mean("suffix")), "suffix"), "suffix_mean", "domain")
-    each = _shrink(hosts.join(domains.select("domain", mean("domain")), "domain"), "domain_mean", "host")
+    top = up(hosts, "suffix").withColumns({"all_mean": F.lit(overall), "all_weight": F.lit(float((total["n"] or 0) + 2))})
+    suffixes = _shrink(top, "all_mean", "all_weight", "suffix")
+    domains = _shrink(up(hosts, "suffix", "domain").join(suffixes.select("suffix", *prior("suffix")), "suffix"), "suffix_mean", "suffix_weight", "domain")
+    each = _shrink(hosts.join(domains.select("domain", *prior("domain")), "domain"), "domain_mean", "domain_weight", "host")
     a, b = F.col("host_a"), F.col("host_b")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return each.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (a / (a + b)).alias("bad_mean"), (a / (a + b) - z * deviation).alias("bad_bound"))
