@@ -10,8 +10,8 @@ VIDEO_EXTENSIONS = (".mp4", ".avi", ".mkv", ".mov")
 
 
 def one_decimal(x: Column) -> Column:
-    """Text with one decimal; exact halves go to the even digit, as C's ``%.1f`` does."""
-    return F.bround(x.cast("decimal(38,18)"), 1).cast("decimal(38,1)").cast("string")
+    """Text with one decimal, rounded from the exact binary value, exact halves to the even digit, as C's ``%.1f`` does."""
+    return F.replace(F.format_number(x.cast("double"), 1), F.lit(","), F.lit(""))
 
 
 def format_size(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> Column:
