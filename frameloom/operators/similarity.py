@@ -75,10 +75,14 @@ def mean_of(values: Column) -> Column:
 def score_pairs(pairs: DataFrame, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> DataFrame:
     """pairs (a, b, hashes_a, hashes_b) that are alike: a, b, similarity (0 to 100), spread."""
     sims = pairs.select("a", "b", frame_similarities(F.col("hashes_a"), F.col("hashes_b")).alias("sims"))
-    scored = without_outliers(sims, "sims", "kept").where(F.size("kept") >= MIN_FRAMES).select("a", "b", "kept", mean_of(F.col("kept")).alias("m"))
+    kept = without_outliers(sims, "sims", "kept").select("a", "b", "kept", F.size("kept").alias("n"))
+    scored = kept.select("a", "b", "kept", "n", (F.aggregate("kept", F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.col("n"), F.lit(0))).alias("m"))
     squares = F.aggregate("kept", F.lit(0.0), lambda acc, x: acc + (x - F.col("m")) * (x - F.col("m")))
-    spread = scored.select("a", "b", "m", F.sqrt(squares / F.size("kept")).alias("s"))  # population deviation
-    return spread.where((F.col("m") >= similarity) & (F.col("s") <= deviation)).select("a", "b", F.round(F.col("m") * 100, 7).alias("similarity"), F.round("s", 9).alias("spread"))
+    # A generator of one row: filters on its output stay above it, or they would take the whole computation into their lambdas.
+    row = F.struct("n", "m", F.sqrt(squares / F.nullif(F.col("n"), F.lit(0))).alias("s"))  # population deviation
+    spread = scored.select("a", "b", F.inline_outer(F.array(row)))
+    good = (F.col("n") >= MIN_FRAMES) & (F.col("m") >= similarity) & (F.col("s") <= deviation)
+    return spread.where(good).select("a", "b", F.round(F.col("m") * 100, 7).alias("similarity"), F.round("s", 9).alias("spread"))
 
 
 def all_pairs(items: DataFrame) -> DataFrame:
