@@ -45,7 +45,7 @@ from frameloom.llm.shingles import digest, shingles
 
 WORDS, PERCENT = 4, 85
 #: Nodes of a coarse group that one task takes.
-BLOCK = 1000
+BLOCK = 300
 #: Prefix shingles that one bucket holds, about.
 BUCKET = 1_000_000
 #: Prefix shingles that are packed together before they are dealt out.
