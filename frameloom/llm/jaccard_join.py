@@ -39,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize, slices, small_side
+from frameloom.llm.common import give_back, materialize, slices, small_side
 from frameloom.llm.components import Forest, connected_components
 from frameloom.llm.shingles import digest, shingles
+from frameloom.llm.tokens import forget
 
 WORDS, PERCENT = 4, 85
 #: Nodes of a coarse group that one task takes.
@@ -65,6 +66,7 @@ def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n (shingles), node (name of the set), kept (length of its extended prefix)."""
 
     def run(batches):
+        forget()
         for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             n = [len(s) for s in sets]
@@ -97,6 +99,7 @@ def _pack(words: int, percent: int, bits: int):
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("low", "owner", "nodes", "sizes")]], names=list(out))
 
     def run(batches):
+        forget()
         hashes, nodes, sizes, total = [], [], [], 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
@@ -120,6 +123,7 @@ def _shared(bits: int):
     """Of one bucket: the prefix shingles that at least two nodes have, with the number of those nodes."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         hs, nodes, sizes = [], [], []
         for low, owner, names, lengths in zip(pdf["low"], pdf["owner"], pdf["nodes"], pdf["sizes"], strict=True):
             names, lengths = np.frombuffer(names, np.int64), np.frombuffer(lengths, np.uint32)
@@ -270,6 +274,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
 
 def _grams(words: int):
     def run(batches):
+        forget()
         for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
             mine = [i for i, (s, node) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if _node(s) == node]

@@ -85,3 +85,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drop a reused worker's encoders, for stages that need the memory and no ids."""
+    _encoders.clear()
