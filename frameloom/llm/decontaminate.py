@@ -17,6 +17,9 @@ ignored; empty tables give no hits or no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +63,14 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def scan(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (verified (pos, len), from 1), items (sorted texts of the ids)."""
+def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: its ``keys``, n_words, spans (verified (pos, len), from 1), items (sorted texts of the ids)."""
     tests = materialize(item_windows(items, size), "test-windows")
     count = tests.count()
     tokens = F.col("w")
-    base = docs.select("doc_id", words(F.col("text")).alias("w"))
+    base = docs.select(*keys, words(F.col("text")).alias("w"))
     if not count:
-        return base.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        return base.select(*keys, F.size("w").cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     lengths = sorted(r["len"] for r in tests.select("len").distinct().collect())  # 1 to size
     known = [r["h"] for r in tests.select("h").distinct().collect()] if count <= MAX_WINDOWS else None
 
@@ -76,28 +79,32 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
         return F.filter(found, lambda s: s["h"].isin(known)) if known is not None else found
 
     parts = [F.transform(hits(n), lambda s: F.struct(s["pos"].alias("pos"), s["len"].alias("len"), s["h"].alias("h"), F.array_join(F.slice(tokens, s["pos"], s["len"]), " ").alias("gram"))) for n in lengths]
-    found = base.select("doc_id", F.size("w").cast("long").alias("n_words"), (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("hits"))
+    found = base.select(*keys, F.size("w").cast("long").alias("n_words"), (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("hits"))
     found = materialize(found.withColumn("row", F.xxhash64(F.transform("hits", lambda s: F.struct(s["pos"], s["h"])))), "window-hits")
-    each = found.where(F.size("hits") > 0).select("doc_id", "row", F.inline("hits"))
+    each = found.where(F.size("hits") > 0).select(*keys, "row", F.inline("hits"))
     verified = each.join(small_side(tests, count), ["len", "h", "gram"])
     spans = F.array_sort(F.collect_set(F.struct("pos", "len")))
-    judged = verified.groupBy("doc_id", "row").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    keyed = found.select("doc_id", "row", "n_words", (F.size("hits") > 0).alias("may"))
-    clean = keyed.where("not may").select("doc_id", "n_words", F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    marked = keyed.where("may").alias("k").join(judged.alias("j"), F.col("k.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("k.row") == F.col("j.row")), "left")
-    marked = marked.select("k.doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,len:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    judged = verified.groupBy(*keys, "row").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    keyed = found.select(*keys, "row", "n_words", (F.size("hits") > 0).alias("may"))
+    clean = keyed.where("not may").select(*keys, "n_words", F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    same = reduce(and_, [F.col(f"k.{c}").eqNullSafe(F.col(f"j.{c}")) for c in keys]) & (F.col("k.row") == F.col("j.row"))
+    marked = keyed.where("may").alias("k").join(judged.alias("j"), same, "left")
+    marked = marked.select(*[f"k.{c}" for c in keys], "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,len:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return clean.unionByName(marked)
 
 
-def report(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, size: int = SIZE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The scan as counts: n_words, n_hit, n_items, items_sha256, contaminated."""
-    return scan(docs, items, size).select(
-        "doc_id", "n_words", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+    return scan(docs, items, size, keys).select(
+        *keys, "n_words", covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` without the documents that hold a test window; columns and other rows stay."""
-    bad = materialize(report(docs, items, size).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(small_side(bad, bad.count()), docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti")
+    """``docs`` without the documents that hold a test window; columns and other rows, told apart by id and a hash of the text, stay."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    found = report(keyed, items, size, ("doc_id", "_text")).where("contaminated")
+    bad = materialize(found.select("doc_id", "_text").distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["_text"])
+    return docs.join(small_side(bad, bad.count()), same, "left_anti")

@@ -62,8 +62,9 @@ def _node(found: np.ndarray) -> int:
     return int.from_bytes(digest(found)[:8], "little", signed=True)
 
 
-def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), node (name of the set), kept (length of its extended prefix)."""
+def node_table(docs: DataFrame, words: int, percent: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n (shingles), node (name of the set), kept (length of its extended prefix); if ``keyed`` also key, a hash of the text."""
+    names = ["doc_id", "n", "node", "kept", *(["key"] if keyed else [])]
 
     def run(batches):
         forget()
@@ -71,9 +72,10 @@ def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             n = [len(s) for s in sets]
             kept = [min(k, 2 * prefix_share(k, percent) - 1) if k else 0 for k in n]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(kept, pa.int64())], names=["doc_id", "n", "node", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(kept, pa.int64()), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, kept long")
+    key = [F.xxhash64("text").alias("key")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *key).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _pack(words: int, percent: int, bits: int):
@@ -314,15 +316,20 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: in
     return found.unionByName(again.groupBy("group", "i", "j").applyInPandas(_join_group(percent, True), "a long, b long"))
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame, words: int, percent: int, block: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n, c (name of the component) and, if ``keyed``, key of every row of ``docs``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     docs = docs.select("doc_id", "text")
-    nodes = materialize(node_table(docs, words, percent), "nodes")
+    nodes = materialize(node_table(docs, words, percent, keyed), "nodes")
     label = connected_components(links(docs, nodes, words, percent, block))
     named = nodes.join(label.select("node", "label"), "node", "left").withColumn("c", F.coalesce("label", "node"))
-    named = materialize(named.select("doc_id", "n", "c"), "named")
+    return materialize(named.select("doc_id", "n", "c", *(["key"] if keyed else [])), "named")
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    named = _named(docs, words, percent, block)
     empty = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     full = named.where("n > 0")
     first = full.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -330,15 +337,25 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bloc
 
 
 def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the rows of smallest id stay, equal ones once."""
-    seen = materialize(components(docs, words, percent), "components")
-    out = materialize(seen.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_out")).distinct(), "dropped")
-    kept: Column = docs["doc_id"].eqNullSafe(F.col("_out"))
-    left = docs.join(small_side(out, out.count()), kept, "left_anti")
-    twice = materialize(seen.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    """The rows of ``docs`` without near-duplicates: one row of each component stays, of smallest id, null ids last.
+
+    Rows are told apart by their id and a 64-bit hash of their text, never by the id alone.
+    Rows without shingles stay; rows equal in id and text stay once.
+    """
+    seen = _named(docs, words, percent, BLOCK, keyed=True)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    full = seen.where("n > 0").select("c", row.alias("row"))
+    stays = full.groupBy("c").agg(F.min("row").alias("stays"))
+    gone = full.join(stays, "c").where("row <> stays").select("row.doc_id", "row.key").distinct()
+    out = materialize(gone, "dropped")
+
+    def same(rows: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(rows["doc_id"]) & (F.xxhash64(docs["text"]) == rows["key"])
+
+    left = docs.join(small_side(out, out.count()), same(out), "left_anti")
+    twice = materialize(seen.groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "key"), "twice")
     many = twice.count()
     if not many:
         return left
-    again = docs["doc_id"].eqNullSafe(F.col("_twice"))
-    single = left.join(small_side(twice, many), again, "left_anti")
-    return single.unionByName(left.join(small_side(twice, many), again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    single = left.join(small_side(twice, many), same(twice), "left_anti")
+    return single.unionByName(left.join(small_side(twice, many), same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

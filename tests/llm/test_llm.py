@@ -240,6 +240,25 @@ def decontaminate_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+def test_rows_of_one_id_are_decided_one_by_one(spark):
+    rng = random.Random(21)
+    base, lone, own, other, again, copy, twin = (prose(rng, 60) for _ in range(7))
+    rows = [
+        (1, base), (None, base + " x"), (None, lone), (None, None), (2, own), (2, base + " y"), (2, other),
+        (None, again), (None, again + " z"), (None, copy), (None, copy), (3, twin), (3, twin + " q"), (3, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("z"))
+    kept = jaccard_join.one_per_component(df)
+    assert kept.columns == df.columns
+    left = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    for pair in [(None, again), (None, again + " z")], [(3, twin), (3, twin + " q")]:
+        assert sum(left.pop(x, 0) for x in pair) == 1
+    assert left == collections.Counter([(1, base), (None, lone), (None, None), (2, own), (2, other), (None, copy), (3, "")])
+    items = spark.createDataFrame([(1, " ".join(lone.split()[5:20])), (2, " ".join(own.split()[5:20]))], "item_id long, text string")
+    clean = collections.Counter((r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(df, items).collect())
+    assert clean == collections.Counter(rows) - collections.Counter([(None, lone), (2, own)])
+
+
 def test_license_edges(spark, edge, none):
     notices = spark.createDataFrame([(1, "x " * 7 + "Released under the MIT license! y"), (2, "Released under the"), (3, None), (4, "licensed under CC BY-NC 4.0"), (4, "licensed under CC BY-NC 4.0")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["license"]) for r in license_scan.scan(notices).collect()) == [(1, "mit"), (4, "cc-by-nc-4.0")]
