@@ -137,17 +137,24 @@ def sampled_frames(total: Column, short: int = 1000, stride: int = 500, most: in
     return F.when(F.size(clamped) < 3, F.array_sort(F.array_union(clamped, first))).otherwise(clamped)
 
 
-def component_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, label: smallest node that links reach. Labels spread and jump until none changes; each round is checkpointed."""
+def _star_round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on distinct edges (a > b): every end moves to the smallest node near it."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    apart = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return apart.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """node, label: smallest node that links reach. Stars contract until no edge changes, however long the chains; each round is checkpointed."""
     edges = edges.select("a", "b").checkpoint()
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label"))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        jump = label.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        fresh = label.join(near, "u").join(jump, "label", "left").select("u", F.least("label", "near", "far").alias("new"), "label").checkpoint()
-        changed = fresh.where("new < label").limit(1).count()
-        label = fresh.select("u", F.col("new").alias("label"))
-        if not changed:
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    while True:
+        fresh = _star_round(stars).checkpoint()
+        if fresh.count() == stars.count() and fresh.join(stars, ["a", "b"], "left_anti").isEmpty():
             break
-    return label.select(F.col("u").alias("node"), "label")
+        stars = fresh
+    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,12 @@ def test_log_sinks(spark, tmp_path):
     stream = spark.readStream.schema("level string").parquet(str(tmp_path / "in"))
     logs.write_sinks(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert {s: spark.read.schema("level string").json(str(tmp_path / "out" / s)).count() for s in logs.SINKS} == {"console": 2, "text": 3, "json": 3, "errors": 1}
+
+
+def test_component_labels_of_long_chains(spark):
+    ids = list(range(1, 401))
+    random.Random(6).shuffle(ids)
+    edges = [*zip(ids, ids[1:], strict=False), (1002, 1001), (1001, 1002), (1003, 1003)]
+    got = similarity.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["node"], r["label"]) for r in got) == [*((i, 1) for i in sorted(ids)), (1001, 1001), (1002, 1001), (1003, 1003)]
+    assert not similarity.component_labels(spark.createDataFrame([], "a long, b long")).count()
