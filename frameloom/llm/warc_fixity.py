@@ -1,7 +1,9 @@
 """Fixity audit of WARC replicas with Merkle trees.
 
-Pages become WARC/1.1 records, ``PER_FILE`` ids to a file, at their byte offsets. A
-replica's tree has the SHA-256 of every record as leaves; a node hashes, in order, the
+Pages become WARC/1.1 records, ``PER_FILE`` ids to a file; files are .warc.gz in the
+shared folder, every record a gzip member, with an index of the members' byte ranges
+and digests. A replica's tree has as leaves the SHA-256 of every record as it is read
+back from its range; a node hashes, in order, the
 offset ranges and hashes of up to ``FANOUT`` children, first within a file, then over
 files. The audit compares the roots and descends from level to level, reading only the
 children of nodes that differ, down to the records.
@@ -10,19 +12,31 @@ Work per node is bounded by the fan-out; only counts and level numbers reach the
 driver. Defined results: null urls, texts and ids are written as empty; null ids come
 first in the first file; repeated ids follow each other, ordered by content; a record
 that one replica lacks is reported as missing there; extra columns are ignored; two
-empty replicas agree.
+empty replicas agree. Of a damaged file: a member that differs from its digest has the
+hash of its stored bytes, one that lies wholly beyond the end is missing, and bytes
+after the last member are a record of their own. ``start`` and ``end`` are offsets in
+the uncompressed file.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize
+from frameloom.llm.common import materialize, scratch_path, slices
 
 FANOUT, PER_FILE = 16, 4096
+#: Bytes after the last member that are read at a time.
+CHUNK = 1024 * 1024
+LEAF = pa.schema([("page_id", pa.int64()), ("file", pa.int64()), ("record", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string())])
+INDEX = pa.schema([*list(LEAF)[:-1], ("at", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("uri", pa.string())])
 
 
 def warc_record(page_id: Column, url: Column, content: Column) -> Column:
@@ -35,13 +49,98 @@ def warc_record(page_id: Column, url: Column, content: Column) -> Column:
     )
 
 
+def _columns(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def write_files(pages: DataFrame, content: Column | None = None) -> DataFrame:
+    """Write the records of ``pages`` (page_id, url, html) as .warc.gz files; gives their index, with the columns of ``INDEX``."""
+    folder = scratch_path(pages.sparkSession, "warc")
+    system, place = fs.FileSystem.from_uri(folder)
+    system.create_dir(place, recursive=True)
+
+    def run(batches):
+        system, place = fs.FileSystem.from_uri(folder)
+        file = out = passing = None
+        record = start = at = 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(passing, f"{place}/{file}.warc.gz")
+
+        for batch in slices(batches):
+            rows = []
+            for page_id, here, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if here != file:
+                    close()
+                    file, record, start, at = here, 0, 0, 0
+                    passing = f"{place}/{here}.{uuid.uuid4().hex}.part"
+                    out = system.open_output_stream(passing, compression=None)
+                press = zlib.compressobj(1, wbits=31)
+                member = press.compress(text) + press.flush()
+                out.write(member)
+                rows.append((page_id, here, record, start, start + len(text), at, len(member), hashlib.sha256(member).digest(), f"{folder}/{here}.warc.gz"))
+                record, start, at = record + 1, start + len(text), at + len(member)
+            yield _batch(rows, INDEX)
+        close()
+
+    text = warc_record(F.col("page_id"), F.col("url"), F.col("html") if content is None else content).cast("binary")
+    file = F.coalesce(F.floor(F.col("page_id") / PER_FILE), F.lit(0)).cast("long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), file.alias("file"), text.alias("text")).repartition("file")
+    ordered = rows.sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), F.sha2("text", 256))
+    return materialize(ordered.mapInArrow(run, _columns(INDEX)), "warc-index")
+
+
+def read_files(index: DataFrame) -> DataFrame:
+    """page_id, file, record, start, end, hash of every record that the files of ``index`` hold, from their bytes."""
+
+    def hashed(member: bytes, digest: bytes) -> str:
+        same = hashlib.sha256(member).digest() == digest
+        return hashlib.sha256(zlib.decompress(member, wbits=31) if same else member).hexdigest()
+
+    def after(stored, last: tuple | None) -> list[tuple]:
+        """A record of the bytes behind the last member, if any."""
+        if stored is None:
+            return []
+        file, record, end, at = last
+        if (more := stored.size() - at) <= 0:
+            return []
+        found = hashlib.sha256()
+        stored.seek(at)
+        while part := stored.read(CHUNK):
+            found.update(part)
+        return [(None, file, record + 1, end, end + more, found.hexdigest())]
+
+    def run(batches):
+        uri = stored = last = None
+        for batch in slices(batches):
+            rows = []
+            for page_id, file, record, start, end, at, size, digest, here in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if here != uri:
+                    rows += after(stored, last)
+                    uri = here
+                    system, path = fs.FileSystem.from_uri(here)
+                    stored = system.open_input_file(path) if system.get_file_info(path).type == fs.FileType.File else None
+                member = stored.read_at(size, at) if stored is not None and at < stored.size() else b""
+                if member:
+                    rows.append((page_id, file, record, start, end, hashed(member, digest)))
+                last = (file, record, end, at + size)
+            yield _batch(rows, LEAF)
+        yield _batch(after(stored, last), LEAF)
+
+    ordered = index.select(*[F.col(f"`{c}`") for c in INDEX.names]).repartition("file").sortWithinPartitions("file", "record")
+    return materialize(ordered.mapInArrow(run, _columns(LEAF)), "replica")
+
+
 def replica(pages: DataFrame, content: Column | None = None) -> DataFrame:
-    """page_id, file, record, start, end, hash of every record of ``pages`` (page_id, url, html), written once."""
-    text = warc_record(F.col("page_id"), F.col("url"), F.col("html") if content is None else content)
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / PER_FILE), F.lit(0)).cast("long").alias("file"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("hash"))
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "hash")
-    placed = rows.withColumn("record", (F.row_number().over(order) - 1).cast("long")).withColumn("end", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return materialize(placed.select("page_id", "file", "record", (F.col("end") - F.col("bytes")).alias("start"), "end", "hash"), "replica")
+    """page_id, file, record, start, end, hash of every record of ``pages`` (page_id, url, html), written to files and read back."""
+    return read_files(write_files(pages, content))
 
 
 def _parents(level: DataFrame, file: Column, node: Column) -> DataFrame:

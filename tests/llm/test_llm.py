@@ -1,4 +1,6 @@
 import collections
+import gzip
+import pathlib
 import random
 import re
 import zlib
@@ -299,6 +301,34 @@ def test_fixity_finds_damage(spark):
     assert warc_fixity.audit(warc_fixity.replica(pages.limit(0)), warc_fixity.replica(pages.limit(0))).count() == 0 if warc_fixity.shape(a) else False
 
 
+def test_fixity_finds_damage_of_files(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i} é</p>") for i in range(0, 7 * 4096, 512)] + [(None, None, None)], "page_id long, url string, html string")
+    index = warc_fixity.write_files(pages)
+    a, hurt = warc_fixity.read_files(index), warc_fixity.write_files(pages)
+    at = {r["page_id"]: r for r in hurt.collect()}
+    paths = [at[k * 4096]["uri"].removeprefix("file://") for k in range(7)]
+    texts = [gzip.decompress(pathlib.Path(p).read_bytes()) for p in paths]
+    for r in at.values():
+        assert texts[r["file"]][r["start"] : r["end"]].startswith(b"WARC/1.1\r\n")
+    assert warc_fixity.audit(a, warc_fixity.read_files(hurt)).count() == 0
+
+    def rewrite(k, change):
+        old = pathlib.Path(paths[k]).read_bytes()
+        pathlib.Path(paths[k]).write_bytes(change(old))
+
+    second = at[2 * 4096 + 512]["at"]
+    rewrite(1, lambda b: b[:4] + b"\x01" + b[5:])  # the time in the first member's header
+    rewrite(2, lambda b: b[:second] + b"?" + b[second:])  # offsets shifted
+    cut = at[3 * 4096 + 6 * 512]
+    rewrite(3, lambda b: b[: cut["at"] + cut["size"] - 3])  # tail lost, the last record wholly
+    rewrite(4, lambda b: b + b"more")
+    pathlib.Path(paths[5]).unlink()
+    bad = warc_fixity.audit_report(a, warc_fixity.read_files(hurt)).where("status <> 'intact'").collect()
+    got = collections.Counter((r["file"], r["record"], r["status"]) for r in bad)
+    shifted = [(2, k, "altered") for k in range(1, 8)] + [(2, 8, "missing in a")]
+    assert got == collections.Counter([(1, 0, "altered"), *shifted, (3, 6, "altered"), (3, 7, "missing in b"), (4, 8, "missing in a"), *((5, k, "missing in b") for k in range(8))])
+
+
 def test_url_rules_and_reputation(spark):
     pages = [(1, "https://A.Example.ORG/es/1?x"), (2, "http://example.org"), (3, None), (4, "no scheme"), (5, "http://x.com/de/#a"), (6, "http://x.com/fr/"), (7, "ftp://y.net/p")] + [(100 + i, "http://bad.spam.net/") for i in range(60)] + [(200 + i, f"http://h{i % 9}.fine.net/") for i in range(60)]
     outcomes = [(100 + i, 1) for i in range(60)] + [(200 + i, 0) for i in range(60)] + [(None, 1), (1, None)]
