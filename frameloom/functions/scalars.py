@@ -23,6 +23,16 @@ def format_size(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "
     return out.otherwise(F.concat(one_decimal(size / KIB ** (len(units) - 1)), F.lit(f" {units[-1]}")))
 
 
+def format_mib(size: Column) -> Column:
+    """1572864 as ``1.5 Mo``."""
+    return F.concat(one_decimal(size / KIB**2), F.lit(" Mo"))
+
+
+def format_seconds(seconds: Column) -> Column:
+    """12.25 as ``12.2s``."""
+    return F.concat(one_decimal(seconds), F.lit("s"))
+
+
 def format_mmss(seconds: Column) -> Column:
     """Minutes unbounded, fractions dropped."""
     return F.format_string("%02d:%02d", F.floor(seconds / 60), F.floor(F.pmod(seconds, F.lit(60.0))))
@@ -46,6 +56,13 @@ def progress_fraction_seconds(line: Column) -> Column:
     return part[0] * 3600 + part[1] * 60 + part[2]
 
 
+def progress_split_seconds(line: Column) -> Column:
+    """Seconds of what follows ``time=`` up to white space, if it is three numbers between colons; null otherwise."""
+    said = F.split(F.regexp_extract(line, r"time=\s*(\S+)", 1), ":")
+    part = [F.get(said, F.lit(i)).try_cast("double") for i in range(3)]
+    return F.when(F.size(said) == 3, part[0] * 3600 + part[1] * 60 + part[2])
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -69,5 +86,10 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0)).otherwise(F.least(F.try_divide(part * 100.0, whole).cast("int"), F.lit(100)))
 
 
+def darker(lightness: Column, by: int = 50) -> Column:
+    """A colour's lightness (0 to 255) less ``by``, at least 0."""
+    return F.greatest(lightness - by, F.lit(0))
+
+
 def reduction_percent(before: Column, after: Column) -> Column:
     return F.when(before > 0, (before - after) / before * 100).otherwise(F.lit(0.0))

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Schemes, formats, codecs and message parts that decide.
 SCHEMES = ("http", "https", "ftp", "rtsp", "rtmp")
-FORMATS = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp", ".ts", ".mts")
+FORMATS = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".3gp", ".ogv", ".ts", ".m2ts", ".mts")
 LARGEST = 50 * 1024**3
-VIDEO_CODECS = ("libx264", "libx265", "libvpx-vp9", "copy")
-AUDIO_CODECS = ("aac", "mp3", "opus", "copy")
+VIDEO_CODECS = ("libx264", "libx265", "libvpx-vp9", "mpeg4")
+AUDIO_CODECS = ("aac", "mp3", "libvorbis", "flac")
+CORRUPTED, UNSUPPORTED = ("moov atom not found", "corrompue"), ("format non supporté",)
+#: Types that extensions stand for where a type is checked.
+MIME = {
+    ".mp4": "video/mp4", ".m4v": "video/x-m4v", ".avi": "video/x-msvideo", ".mkv": "video/x-matroska", ".mov": "video/quicktime", ".wmv": "video/x-ms-wmv", ".flv": "video/x-flv",
+    ".webm": "video/webm", ".3gp": "video/3gpp", ".ogv": "video/ogg", ".ts": "video/mp2t", ".m2ts": "video/mp2t", ".mts": "video/mp2t", ".mp3": "audio/mpeg", ".txt": "text/plain",
+}
+IDLE_STATES = ("idle", "error")
+ERROR_PREFIX = "Erreur"
+LARGEST_BATCH = 1000
 
 
 def file_check(exists: Column, is_file: Column, extension: Column, size: Column, mime: Column) -> Column:
@@ -19,6 +32,37 @@ def file_check(exists: Column, is_file: Column, extension: Column, size: Column,
     )
 
 
+def mime_of(extension: Column) -> Column:
+    """Type that the extension stands for, null if unknown."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair]), F.lower(extension))
+
+
+def directory_check(exists: Column, is_directory: Column, writable: Column, must_exist: bool = True, check_writable: bool = False) -> Column:
+    out = F.when(exists & ~is_directory, "not a directory")
+    if must_exist:
+        out = F.when(~exists, "missing").when(exists & ~is_directory, "not a directory")
+    if check_writable:
+        out = out.when(exists & ~writable, "not writable")
+    return out.otherwise("valid")
+
+
+def busy(state: Column) -> Column:
+    return ~state.isin(*IDLE_STATES)
+
+
+def is_error_state(state: Column) -> Column:
+    return state.startswith(ERROR_PREFIX)
+
+
+def batch_check(files: Column, valid: Column, most: int = LARGEST_BATCH) -> Column:
+    """Array of the errors of a whole batch; those of its files are rows of their own."""
+    found = F.array(
+        F.when(files == 0, "no file"), F.when(files > most, F.concat(F.lit("too many files ("), files.cast("string"), F.lit(f" > {most})"))),
+        F.when(valid == 0, "no valid file"),
+    )
+    return F.filter(found, lambda e: e.isNotNull())
+
+
 def range_check(value: Column, low=None, high=None) -> Column:
     out = F.when(value.isNull(), "not a number")
     if low is not None:
@@ -48,4 +92,7 @@ def parameter_errors(crf: Column, video: Column, audio: Column, width: Column, h
 
 
 def error_route(message: Column) -> Column:
-    return F.when(message.contains("moov atom not found") | message.contains("Invalid data"), "corrupted").when(message.contains("codec") | message.contains("Unsupported"), "unsupported").otherwise("other")
+    def holds(parts: tuple[str, ...]) -> Column:
+        return reduce(or_, [message.contains(p) for p in parts])
+
+    return F.when(holds(CORRUPTED), "corrupted").when(holds(UNSUPPORTED), "unsupported").otherwise("other")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import scalars as X
@@ -75,14 +74,13 @@ def ordered_concat(spark, d):
 
 @query("SELECT c_mktsegment, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) <> 3")
 def remove_by_ordinal(spark, d):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
-    return table(spark, d, "customer").withColumn("n", F.row_number().over(w)).where("n <> 3").select("c_mktsegment", "c_custkey")
+    rows = table(spark, d, "customer").select("c_mktsegment", "c_custkey")
+    return K.numbered(rows, ["c_mktsegment"], "c_custkey").where("n <> 3").select("c_mktsegment", "c_custkey")
 
 
 @query("SELECT c_mktsegment, c_custkey, CAST(CASE n WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE n END AS INTEGER) AS n FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)")
 def swap_ordinals(spark, d):
-    n = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    rows = table(spark, d, "customer").select("c_mktsegment", "c_custkey", n.alias("n"))
+    rows = K.numbered(table(spark, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], "c_custkey")
     return rows.withColumn("n", F.when(F.col("n") == 2, 3).when(F.col("n") == 3, 2).otherwise(F.col("n")))
 
 
@@ -102,9 +100,31 @@ def hash_cache_explode(spark, d):
     return read.select("path", F.posexplode("c.hash").alias("frame_pos", "bits")).select("path", "frame_pos", F.get("bits", F.lit(0)).alias("bit"))
 
 
-@query("SELECT p_name, p_brand, count(*) AS n, count(*) >= 2 AND min(p_type) = max(p_type) AS compatible FROM part GROUP BY ALL")
+PROBE_SQL = """probe AS (SELECT p_partkey, p_name, p_brand, CASE WHEN p_partkey % 31 = 0 THEN '{"streams": []}' WHEN p_partkey % 37 = 0 THEN 'failed' ELSE
+  concat('{"streams": [{"codec_name": "', p_type, '"', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(', "width": ', length(p_name) * 16) END, ', "height": ', length(p_brand) * 9, ', "r_frame_rate": "25/1"}, {"codec_name": "other"}]}') END AS said FROM part),
+  stream AS (SELECT *, CASE WHEN json_valid(said) THEN json_extract(said, '$.streams[0]') END AS s FROM probe)"""
+
+
+def streams(spark, d):
+    """Parts as probed files: what a probe would print, and codec, width, height and rate of the first stream."""
+    n = F.col("p_partkey")
+    width = F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(', "width": '), (F.length("p_name") * 16).cast("string")))
+    good = F.concat(F.lit('{"streams": [{"codec_name": "'), "p_type", F.lit('"'), width, F.lit(', "height": '), (F.length("p_brand") * 9).cast("string"), F.lit(', "r_frame_rate": "25/1"}, {"codec_name": "other"}]}'))
+    said = F.when(n % 31 == 0, '{"streams": []}').when(n % 37 == 0, "failed").otherwise(good)
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", K.first_stream(said).alias("s")).select("p_partkey", "p_name", "p_brand", "s.*", F.col("s").isNotNull().alias("probed"))
+
+
+@query(f"""WITH {PROBE_SQL} SELECT p_partkey, json_extract_string(s, '$.codec_name') AS codec_name, CAST(json_extract_string(s, '$.width') AS INTEGER) AS width, CAST(json_extract_string(s, '$.height') AS INTEGER) AS height,
+  json_extract_string(s, '$.r_frame_rate') AS r_frame_rate, s IS NOT NULL AS probed FROM stream""")
+def stream_info_probe(spark, d):
+    return streams(spark, d).drop("p_name", "p_brand")
+
+
+@query(f"""WITH {PROBE_SQL}, f AS (SELECT p_name, p_brand, s, row_number() OVER w AS i, first_value(s) OVER w AS base, list(s) OVER (PARTITION BY p_name, p_brand) AS l FROM stream WINDOW w AS (PARTITION BY p_name, p_brand ORDER BY p_partkey))
+SELECT p_name, p_brand, count(*) AS n, count(*) >= 2 AND bool_and(s IS NOT NULL AND coalesce(CAST(s AS VARCHAR) = CAST(base AS VARCHAR), false)) AS compatible FROM f GROUP BY ALL""")
 def compat_all_equal(spark, d):
-    return K.all_like_first(table(spark, d, "part"), ["p_name", "p_brand"], "p_type")
+    """Files of a group are joined without encoding if every probe succeeded and codec, width, height and rate are all those of the first."""
+    return K.all_like_first(streams(spark, d), ["p_name", "p_brand"], "codec_name", "width", "height", "r_frame_rate", probed="probed")
 
 
 @query("""WITH f AS (SELECT p_name, p_partkey, p_retailprice, first_value(p_retailprice) OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)
@@ -129,7 +149,7 @@ def total_duration(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(F.sum(F.coalesce(said.try_cast("double"), F.lit(0.0))), 6).alias("duration"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END AS duration FROM events")
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE concat(' ', value, ' ') END AS said FROM events) SELECT event_id, coalesce(TRY_CAST(trim(said) AS DOUBLE), 0) AS duration FROM t""")
 def try_parse_duration(spark, d):
     said = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")))
     return table(spark, d, "events").select("event_id", F.coalesce(F.trim(said).try_cast("double"), F.lit(0.0)).alias("duration"))
@@ -153,21 +173,33 @@ def bool_aggregates(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.bool_and(F.col("value") > 5).alias("all_large"), F.bool_or(F.col("event_type") == "error").alias("any_error"), F.count_if(F.col("event_type") == "view").alias("views"))
 
 
-TARGET_SQL = f"""{FILES_SQL}, w AS (SELECT doc_id, path, concat('/dst/', source) AS target, {EXT_SQL} AS ext FROM files),
-k AS (SELECT *, row_number() OVER (PARTITION BY target, ext ORDER BY doc_id) - 1 AS k FROM w)"""
+TAKEN_SQL = f"""{FILES_SQL}, w AS (SELECT doc_id, path, concat('/dst/', source) AS target, {EXT_SQL} AS ext FROM files),
+r AS (SELECT *, row_number() OVER (PARTITION BY target, ext ORDER BY doc_id) AS r FROM w),
+held AS (SELECT DISTINCT target, ext, CAST(doc_id // 6 % 4 AS BIGINT) AS k FROM w WHERE doc_id % 5 = 0),
+free AS (SELECT target, ext, k, row_number() OVER (PARTITION BY target, ext ORDER BY k) AS r FROM (SELECT target, ext, unnest(range(0, count(*) + 4)) AS k FROM w GROUP BY target, ext) ANTI JOIN held USING (target, ext, k))"""
 
 
-@query(f"WITH {TARGET_SQL} SELECT doc_id, concat(target, CASE WHEN k = 0 THEN '' ELSE concat(' (', k, ')') END, ext) AS name FROM k")
+@query(f"WITH {TAKEN_SQL} SELECT doc_id, concat(target, CASE WHEN k = 0 THEN '' ELSE concat(' (', k, ')') END, ext) AS name FROM r JOIN free USING (target, ext, r)")
 def unique_name_on_conflict(spark, d):
+    """Where every folder's files get its name: plain or with the smallest number free, given some numbers taken before."""
     p = F.col("path")
     wanted = files(spark, d).select("doc_id", F.concat(F.lit("/dst/"), "source").alias("target"), X.extension(p).alias("ext"))
-    return K.unique_names(wanted, "doc_id").select("doc_id", "name")
+    k = F.expr("doc_id div 6") % 4
+    existing = wanted.where("doc_id % 5 = 0").select(K.with_number(F.col("target"), F.lit(""), k).alias("target"), "ext").distinct()
+    return K.unique_names(wanted, "doc_id", existing).select("doc_id", "name")
 
 
-@query(f"WITH {FILES_SQL} SELECT path AS source, concat('/dst', path) AS destination, n_chars AS size FROM files WHERE len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.'))) = 0")
+@query(f"""WITH {FILES_SQL}, f AS (SELECT doc_id, path, n_chars, {EXT_SQL} AS ext FROM files WHERE len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.'))) = 0)
+SELECT path AS source, concat('/dst', left(path, length(path) - length(ext)), CASE WHEN doc_id % 9 = 0 THEN ' (2)' WHEN doc_id % 3 = 0 THEN ' (1)' ELSE '' END, ext) AS destination, n_chars AS size, doc_id % 2 = 0 AS to_trash FROM f""")
 def copy_plan(spark, d):
+    """Shown files under another root, renamed where that name, or that and its first number, exist; moved ones go to the trash after."""
     shown = files(spark, d).where(~F.exists(F.split("path", "/"), lambda x: x.startswith(".")))
-    return shown.select(F.col("path").alias("source"), F.concat(F.lit("/dst"), "path").alias("destination"), F.col("n_chars").alias("size"))
+    p = F.col("path")
+    bare = F.concat(F.lit("/dst"), F.substr(p, F.lit(1), F.length(p) - F.length(X.extension(p))))
+    wanted = shown.select("doc_id", p.alias("source"), bare.alias("target"), X.extension(p).alias("ext"), F.col("n_chars").alias("size"))
+    there = wanted.where("doc_id % 3 = 0").select("target", "ext")
+    again = wanted.where("doc_id % 9 = 0").select(F.concat("target", F.lit(" (1)")).alias("target"), "ext")
+    return K.unique_names(wanted, "doc_id", there.unionByName(again)).select("source", F.col("name").alias("destination"), "size", (F.col("doc_id") % 2 == 0).alias("to_trash"))
 
 
 @query("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY lang")
