@@ -131,6 +131,17 @@ def segments(commands: DataFrame, key: str, order: list[str], position: str) ->
     return before.where((F.col("command") == "end") & (F.col("_c") == "start") & (F.col(position) > F.col("_p"))).select(key, F.col("_p").alias("begin"), F.col(position).alias("finish"))
 
 
+def stacked(steps: DataFrame, key: str, order: list[str], first: str) -> DataFrame:
+    """steps (key, op set/push/pop, state): add the state and the depth after each; below depth 0 nothing is popped, and the state is ``first`` before any."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    move = F.when(F.col("op") == "push", 1).when(F.col("op") == "pop", -1).otherwise(0)
+    summed = steps.withColumn("_sum", F.sum(move).over(w))
+    deep = summed.withColumn("depth", F.col("_sum") - F.least(F.min("_sum").over(w), F.lit(0)))
+    level = Window.partitionBy(key, "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.last(F.when(F.col("op") != "pop", F.col("state")), ignorenulls=True).over(level)
+    return deep.withColumn("state", F.coalesce(shown, F.lit(first))).drop("_sum")
+
+
 def running(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Add done (1, 2, ...) and total of each key."""
     w = Window.partitionBy(key)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.sources.scratch import written
+
 BITS = 64
 MIN_SIMILARITY, MAX_DEVIATION, MIN_FRAMES, MAX_Z = 0.9, 0.1, 3, 3.5
 
@@ -32,10 +34,18 @@ def packed(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("long")))
 
 
+def settled(rows: DataFrame, kept: list[str], **computed: Column) -> DataFrame:
+    """``kept`` and the computed columns, which pass through a generator of one row.
+
+    The optimizer would take an expression used in a lambda into it, and compute it for every element; it doesn't move expressions through a generator.
+    """
+    return rows.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in computed.items()]))))
+
+
 def frame_hashes(vectors: DataFrame) -> DataFrame:
     """vec_id, h; the median is computed once a row, before the comparison."""
-    wide = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    middle = wide.select("vec_id", "x", median_of(F.col("x")).alias("m"))
+    wide = settled(vectors, ["vec_id"], x=F.transform("embedding", lambda x: x.cast("double")))
+    middle = settled(wide, ["vec_id", "x"], m=median_of(F.col("x")))
     return middle.select("vec_id", packed(F.transform("x", lambda v: (v > F.col("m")).cast("int"))).alias("h"))
 
 
@@ -62,8 +72,8 @@ def without_outliers(rows: DataFrame, sims: str, out: str) -> DataFrame:
     Median and MAD are columns of their own, so that no lambda computes them again.
     """
     x = F.col(sims)
-    middle = rows.withColumn("_m", median_of(x))
-    spread = middle.withColumn("_mad", median_of(F.transform(x, lambda v: F.abs(v - F.col("_m")))))
+    middle = settled(settled(rows, [c for c in rows.columns if c != sims], **{sims: x}), rows.columns, _m=median_of(x))
+    spread = settled(middle, middle.columns, _mad=median_of(F.transform(x, lambda v: F.abs(v - F.col("_m")))))
     near = F.filter(x, lambda v: F.abs(0.6745 * (v - F.col("_m")) / F.col("_mad")) < MAX_Z)
     return spread.withColumn(out, F.when(F.col("_mad") == 0, x).otherwise(near)).drop("_m", "_mad")
 
@@ -101,29 +111,88 @@ def without_pairs(pairs: DataFrame, ignored: DataFrame) -> DataFrame:
     return pairs.join(canonical(ignored), ["a", "b"], "left_anti")
 
 
+def alike(items: DataFrame) -> DataFrame:
+    """items (video_id, hashes): rep, the smallest id with the same hashes, beside every item."""
+    digest = F.xxhash64("hashes")
+    first = items.groupBy(digest.alias("_d"), "hashes").agg(F.min("video_id").alias("rep"))
+    return items.withColumn("_d", digest).join(first, ["_d", "hashes"]).select("video_id", "rep", "hashes")
+
+
+def flips(x: Column, bits: int, most: int) -> Column:
+    """Array of all values that differ from the low ``bits`` of ``x`` in at most ``most`` (0 or 1) of them."""
+    masks = [0] + [1 << i for i in range(bits)] * (most > 0)
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: x.bitwiseXOR(m))
+
+
 def blocked_pairs(items: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Pairs that can reach ``similarity``, without comparing all: lossless for mean similarities.
+    """Pairs that can reach ``similarity``, without comparing all: lossless for mean similarities of at least 0.88.
 
     Some kept frame is at least as similar as the mean, so it differs in at most
-    floor(64 (1 - t)) bits; of one more bands than that, one is equal in both. Pairs
-    meet on (position, band, bits) of interior frames.
+    floor(64 (1 - t)) bits, 7 or fewer; of four bands of 16 bits one differs in at most one
+    bit. Pairs meet on (position, band, bits) of interior frames, one side with all values
+    a bit away. Below 0.88 more, shorter bands are equal in one place.
     """
-    bands = int(BITS * (1 - similarity) + 1e-9) + 1
+    most = int(BITS * (1 - similarity) + 1e-9)
+    bands, near = (4, 1) if most < 8 else (most + 1, 0)
+    if most < 4:
+        near = 0
     cuts = [BITS * i // bands for i in range(bands + 1)]
     frames = items.select("video_id", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h")).where("pos > 0 and pos < n - 1")
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", BITS - cuts[i + 1]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1).cast("long")).alias("bits")) for i in range(bands)])
-    keys = frames.select("video_id", "pos", F.inline(parts))
-    a, b = keys.withColumnRenamed("video_id", "a"), keys.withColumnRenamed("video_id", "b")
-    met = a.join(b, ["pos", "band", "bits"]).where("a < b").select("a", "b").distinct()
+
+    def keys(reach: int, name: str) -> DataFrame:
+        parts = []
+        for i in range(bands):
+            width = cuts[i + 1] - cuts[i]
+            bits = F.shiftrightunsigned("h", BITS - cuts[i + 1]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            parts.append(F.struct(F.lit(i).alias("band"), flips(bits, width, reach).alias("near")))
+        each = frames.select(F.col("video_id").alias(name), "pos", F.inline(F.array(*parts)))
+        return each.select(name, "pos", "band", F.explode("near").alias("bits"))
+
+    met = keys(0, "x").join(keys(near, "y"), ["pos", "band", "bits"]).where("x <> y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = items.select(F.col("video_id").alias("a"), F.col("hashes").alias("hashes_a"))
     right = items.select(F.col("video_id").alias("b"), F.col("hashes").alias("hashes_b"))
-    return met.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
+
+
+def near_links(items: DataFrame, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> tuple[DataFrame, DataFrame]:
+    """Every item with its rep, and the scored pairs (a, b, similarity, spread) of different reps; equal items are compared once."""
+    members = written(alike(items), "items")
+    reps = members.where("video_id = rep").select("video_id", "hashes")
+    pairs = blocked_pairs(reps, similarity) if similarity >= 0.85 else all_pairs(reps)
+    return members, score_pairs(pairs, similarity, deviation)
 
 
 def near_duplicates(items: DataFrame, ignored: DataFrame | None = None, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> DataFrame:
-    """Blocked when the bands are long enough to tell items apart, else all pairs; ignored pairs go before any is scored."""
-    pairs = blocked_pairs(items, similarity) if similarity >= 0.85 else all_pairs(items)
-    return score_pairs(pairs if ignored is None else without_pairs(pairs, ignored), similarity, deviation)
+    """All pairs that are alike: found between different items by bands (all pairs below 0.85, where bands can't tell items apart), then given to equal items; ignored pairs go."""
+    members, links = near_links(items, similarity, deviation)
+    a, b = members.select(F.col("rep").alias("ra"), F.col("video_id").alias("x")), members.select(F.col("rep").alias("rb"), F.col("video_id").alias("y"), F.size("hashes").alias("n"))
+    across = links.join(a, links["a"] == F.col("ra")).join(b, links["b"] == F.col("rb"))
+    within = a.join(b, F.col("ra") == F.col("rb")).where((F.col("x") < F.col("y")) & (F.col("n") >= MIN_FRAMES + 2))
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity", "spread").unionByName(
+        within.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(100.0).alias("similarity"), F.lit(0.0).alias("spread")))
+    return pairs if ignored is None else without_pairs(pairs, ignored)
+
+
+def near_groups(items: DataFrame, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> DataFrame:
+    """node, label of all items that are alike with another, directly or through others; equal items hang on one of them, their pairs are not made."""
+    members, links = near_links(items, similarity, deviation)
+    same = members.where((F.col("video_id") != F.col("rep")) & (F.size("hashes") >= MIN_FRAMES + 2)).select(F.col("rep").alias("a"), F.col("video_id").alias("b"))
+    return component_labels(links.select("a", "b").unionByName(same))
+
+
+def compared(pairs: DataFrame, items: DataFrame, minutes: float = 0, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> DataFrame:
+    """Given pairs (a, b) with the similarity (0 to 100) that a comparison gives: 0 if an item lacks hashes, if the pair isn't alike, or, with ``minutes``, if durations differ by more.
+
+    items: video_id, hashes (null where hashing failed), duration in seconds. Pairs are given once.
+    """
+    left = items.select(F.col("video_id").alias("a"), F.col("hashes").alias("hashes_a"), F.col("duration").alias("da"))
+    right = items.select(F.col("video_id").alias("b"), F.col("hashes").alias("hashes_b"), F.col("duration").alias("db"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").where("hashes_a is not null and hashes_b is not null")
+    if minutes > 0:
+        met = met.where(F.abs(F.col("da") - F.col("db")) <= minutes * 60)
+    found = score_pairs(met.select("a", "b", "hashes_a", "hashes_b"), similarity, deviation)
+    return pairs.select("a", "b").join(found, ["a", "b"], "left").select("a", "b", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def sampled_frames(total: Column, short: int = 1000, stride: int = 500, most: int = 10) -> Column:
@@ -148,12 +217,12 @@ def _star_round(edges: DataFrame) -> DataFrame:
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
-    """node, label: smallest node that links reach. Stars contract until no edge changes, however long the chains; each round is checkpointed."""
-    edges = edges.select("a", "b").checkpoint()
+    """node, label: smallest node that links reach. Stars contract until no edge changes, however long the chains; each round is written to the shared folder."""
+    edges = written(edges.select("a", "b"), "edges")
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     while True:
-        fresh = _star_round(stars).checkpoint()
+        fresh = written(_star_round(stars), "stars")
         if fresh.count() == stars.count() and fresh.join(stars, ["a", "b"], "left_anti").isEmpty():
             break
         stars = fresh

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators import similarity as S
 from frameloom.plans.base import query, table
+from frameloom.sources import frames as pixels
+from frameloom.sources.scratch import written
 
 BITS_SQL = "bits AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > list_median(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) THEN 1 ELSE 0 END) AS bits FROM embeddings)"
 BITS_SQL = BITS_SQL.replace("list_median(", "list_aggregate(").replace("lambda y: CAST(y AS DOUBLE)))", "lambda y: CAST(y AS DOUBLE)), 'median')")
@@ -21,9 +23,15 @@ sims AS (SELECT x.video_id AS a, y.video_id AS b, x.pos, {SAME.format('x.bits',
 KEPT_SQL = f"""{SIMS_SQL}, med AS (SELECT a, b, median(sim) AS m FROM sims GROUP BY a, b),
 mad AS (SELECT a, b, any_value(m) AS m, median(abs(sim - m)) AS mad FROM sims JOIN med USING (a, b) GROUP BY a, b),
 kept AS (SELECT a, b, pos, sim FROM sims JOIN mad USING (a, b) WHERE mad = 0 OR abs(0.6745::DOUBLE * (sim - m) / mad) < 3.5)"""
+NEXT_SQL = SIMS_SQL.replace("x.video_id < y.video_id", "y.video_id - x.video_id BETWEEN 1 AND 4")
 IGNORED_SQL = "ignored AS (SELECT DISTINCT x.video_id AS a, y.video_id AS b FROM n x JOIN n y ON x.video_id < y.video_id WHERE (x.video_id + y.video_id) % 7 = 0)"
-PAIRS_SQL = f"""{KEPT_SQL}, {IGNORED_SQL}, scored AS (SELECT a, b, avg(sim) AS m, stddev_pop(sim) AS s FROM kept GROUP BY a, b HAVING count(*) >= 3)"""
-NEAR_SQL = f"WITH {PAIRS_SQL} SELECT a, b, round(m * 100, 7) AS similarity, round(s, 9) AS spread FROM scored ANTI JOIN ignored USING (a, b) WHERE m >= 0.58::DOUBLE AND s <= 0.1::DOUBLE"
+#: Every item, and copies of it: equal ones (1000000 on), and ones with two bits of every frame turned (2000000 on), the more the later the frame (3000000 on).
+PLANTED_SQL = f"""{FRAMES_SQL}, planted AS (SELECT video_id, pos, bits FROM frames UNION ALL SELECT video_id + 1000000, pos, bits FROM frames WHERE video_id % 3 = 0
+  UNION ALL SELECT video_id + 2000000, pos, list_transform(bits, lambda b, i: CASE WHEN i IN (video_id % 60 + 1, video_id % 60 + 3) THEN 1 - b ELSE b END) FROM frames WHERE video_id % 4 = 0
+  UNION ALL SELECT video_id + 3000000, pos, list_transform(bits, lambda b, i: CASE WHEN i <= 4 * pos THEN 1 - b ELSE b END) FROM frames WHERE video_id % 5 = 0)"""
+PLANTED_PAIRS_SQL = KEPT_SQL.replace(FRAMES_SQL, PLANTED_SQL).replace("FROM frames x JOIN frames y", "FROM planted x JOIN planted y").replace("count(*) AS n FROM frames GROUP", "count(*) AS n FROM planted GROUP")
+SCORED_SQL = "scored AS (SELECT a, b, avg(sim) AS m, stddev_pop(sim) AS s FROM kept GROUP BY a, b HAVING count(*) >= 3)"
+NEAR_SQL = f"WITH {PLANTED_PAIRS_SQL}, {IGNORED_SQL}, {SCORED_SQL} SELECT a, b, round(m * 100, 7) AS similarity, round(s, 9) AS spread FROM scored ANTI JOIN ignored USING (a, b) WHERE m >= 0.9::DOUBLE AND s <= 0.1::DOUBLE"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +43,34 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.collect_frames(frames(spark, sf_dir))
 
 
-def ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items with equal and near copies of some."""
+    own = items(spark, sf_dir)
+    base, v = own.withColumnRenamed("video_id", "of"), F.col("of")  # a lambda would see a column of the new name first
+
+    def left(x: int, by: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(x).cast("long"), by.cast("int"))
+
+    two = left(1, 63 - v % 60).bitwiseOR(left(1, 61 - v % 60))
+    rising = F.transform("hashes", lambda h, i: F.when(i > 0, h.bitwiseXOR(left(-1, 64 - 4 * i))).otherwise(h))
+    copies = [
+        base.where(v % 3 == 0).select((v + 1_000_000).alias("video_id"), "hashes"),
+        base.where(v % 4 == 0).select((v + 2_000_000).alias("video_id"), F.transform("hashes", lambda h: h.bitwiseXOR(two)).alias("hashes")),
+        base.where(v % 5 == 0).select((v + 3_000_000).alias("video_id"), rising.alias("hashes")),
+    ]
+    return reduce(DataFrame.unionByName, copies, own)
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items whose ids differ by 1 to 4, with their hashes."""
+    own = items(spark, sf_dir)
+    left = own.select(F.col("video_id").alias("a"), F.col("hashes").alias("hashes_a"), F.explode(F.sequence(F.col("video_id") + 1, F.col("video_id") + 4)).alias("b"))
+    return left.join(own.select(F.col("video_id").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b")
+
+
+def ignored(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) with (a + b) % 7 = 0, in either order."""
-    v = frames(spark, sf_dir).select("video_id").distinct()
+    v = (frames(spark, sf_dir) if of is None else of).select("video_id").distinct()
     keyed = v.select(F.col("video_id").alias("a"), (F.col("video_id") % 7).alias("r"))
     other = v.select(F.col("video_id").alias("b"), ((7 - F.col("video_id") % 7) % 7).alias("r"))
     pairs = keyed.join(other, "r").where("a < b")
@@ -70,37 +103,38 @@ def all_pairs_theta_join(spark, d):
     return S.all_pairs(items(spark, d)).select("a", "b")
 
 
-@query(f"WITH {FRAMES_SQL}, n AS (SELECT DISTINCT video_id FROM frames), {IGNORED_SQL} SELECT x.video_id AS a, y.video_id AS b FROM n x JOIN n y ON x.video_id < y.video_id ANTI JOIN ignored i ON i.a = x.video_id AND i.b = y.video_id")
+@query(f"WITH {FRAMES_SQL}, n AS (SELECT DISTINCT video_id FROM frames), {IGNORED_SQL} SELECT x.video_id AS a, y.video_id AS b FROM n x JOIN n y ON y.video_id - x.video_id BETWEEN 1 AND 4 ANTI JOIN ignored i ON i.a = x.video_id AND i.b = y.video_id")
 def anti_join_ignored_pairs(spark, d):
-    return S.without_pairs(S.all_pairs(items(spark, d)).select("a", "b"), ignored(spark, d))
+    return S.without_pairs(neighbours(spark, d).select("a", "b"), ignored(spark, d))
 
 
-@query(f"WITH {SIMS_SQL} SELECT a, b, pos, sim FROM sims")
+@query(f"WITH {NEXT_SQL} SELECT a, b, pos, sim FROM sims")
 def frame_zip_similarity(spark, d):
-    pairs = S.all_pairs(items(spark, d))
+    pairs = neighbours(spark, d)
     return pairs.select("a", "b", F.posexplode(S.frame_similarities(F.col("hashes_a"), F.col("hashes_b"))).alias("pos", "sim")).withColumn("pos", F.col("pos") + 1)
 
 
-@query(f"WITH {KEPT_SQL} SELECT a, b, CAST(count(*) AS BIGINT) AS frames, round(avg(sim), 9) AS mean FROM kept GROUP BY a, b")
+@query(f"WITH {KEPT_SQL.replace(SIMS_SQL, NEXT_SQL)} SELECT a, b, CAST(count(*) AS BIGINT) AS frames, round(avg(sim), 9) AS mean FROM kept GROUP BY a, b")
 def mad_outlier_filter(spark, d):
-    pairs = S.all_pairs(items(spark, d))
+    pairs = neighbours(spark, d)
     kept = S.without_outliers(pairs.select("a", "b", S.frame_similarities(F.col("hashes_a"), F.col("hashes_b")).alias("s")), "s", "k")
     return kept.select("a", "b", F.size("k").cast("long").alias("frames"), F.round(S.mean_of(F.col("k")), 9).alias("mean"))
 
 
 @query(f"""WITH {FRAMES_SQL} SELECT x.video_id AS a, y.video_id AS b, avg({SAME.format('x.bits', 'y.bits')} * 100 / 64.0::DOUBLE) >= 55 AS similar
-  FROM frames x JOIN frames y ON x.pos = y.pos AND x.video_id < y.video_id GROUP BY 1, 2""")
+  FROM frames x JOIN frames y ON x.pos = y.pos AND y.video_id - x.video_id BETWEEN 1 AND 4 GROUP BY 1, 2""")
 def are_similar_strict(spark, d):
     """All frames, equal numbers of frames, mean percentage of equal bits of at least 55."""
-    pairs = S.all_pairs(items(spark, d))
     percent = F.zip_with("hashes_a", "hashes_b", lambda x, y: S.hamming_similarity(x, y) * 100)
     same = F.size("hashes_a") == F.size("hashes_b")
-    return pairs.select("a", "b", F.when(same, S.mean_of(percent) >= 55).otherwise(F.lit(False)).alias("similar"))
+    return neighbours(spark, d).select("a", "b", F.when(same, S.mean_of(percent) >= 55).otherwise(F.lit(False)).alias("similar"))
 
 
 @query(NEAR_SQL)
 def near_dup_video_pairs(spark, d):
-    return S.near_duplicates(items(spark, d), ignored(spark, d), similarity=0.58).orderBy(F.desc("similarity"), "a", "b")
+    """Items that are alike at the default threshold, found by bands, without the ignored pairs."""
+    own = written(planted(spark, d), "planted")
+    return S.near_duplicates(own, ignored(spark, d, own)).orderBy(F.desc("similarity"), "a", "b")
 
 
 @query(f"{NEAR_SQL} ORDER BY similarity DESC, a, b LIMIT 10")
@@ -108,8 +142,19 @@ def top_duplicates(spark, d):
     return near_dup_video_pairs(spark, d).orderBy(F.desc("similarity"), "a", "b").limit(10)
 
 
-@query(f"""WITH {FRAMES_SQL}, e AS (SELECT * FROM frames UNION ALL SELECT video_id + 1000000, pos, bits FROM frames), n AS (SELECT video_id FROM e)
-  SELECT DISTINCT video_id AS a, video_id + 1000000 AS b, CAST(100 AS DOUBLE) AS similarity, CAST(0 AS DOUBLE) AS spread FROM frames""")
+@query(f"""WITH {PLANTED_PAIRS_SQL}, {SCORED_SQL}, v AS (SELECT DISTINCT video_id AS v FROM planted), p AS (SELECT x.v AS a, y.v AS b FROM v x JOIN v y ON y.v - x.v = 1000000 OR y.v - x.v = 2000000 OR y.v - x.v = 3000000)
+SELECT p.a, p.b, CASE WHEN p.a % 9 = 0 OR abs(p.a * 13 % 900 - p.b * 13 % 900) > 300 OR m IS NULL OR m < 0.9::DOUBLE OR s > 0.1::DOUBLE THEN 0 ELSE round(m * 100, 7) END AS similarity FROM p LEFT JOIN scored USING (a, b)""")
+def compare_given_pairs(spark, d):
+    """Items against their copies: 0 where hashing failed for one, durations are over five minutes apart, or they aren't alike."""
+    v = F.col("video_id")
+    own = planted(spark, d).select(v, F.when((v >= 1_000_000) | (v % 9 != 0), F.col("hashes")).alias("hashes"), (v * 13 % 900).alias("duration"))
+    ends = own.select(v.alias("a"), F.explode(F.array(*[v + 1_000_000 * k for k in (1, 2, 3)])).alias("b"))
+    pairs = ends.join(own.select(v.alias("b")), "b", "left_semi").select("a", "b")
+    return S.compared(pairs, own, minutes=5)
+
+
+@query(f"""WITH {FRAMES_SQL}, e AS (SELECT video_id, pos, bits FROM frames UNION ALL SELECT video_id + 1000000, pos, bits FROM frames), n AS (SELECT video_id, string_agg(array_to_string(bits, ''), ',' ORDER BY pos) AS h, count(*) AS n FROM e GROUP BY video_id)
+  SELECT x.video_id AS a, y.video_id AS b, CAST(100 AS DOUBLE) AS similarity, CAST(0 AS DOUBLE) AS spread FROM n x JOIN n y ON x.h = y.h AND x.video_id < y.video_id WHERE x.n >= 5""")
 def near_dup_blocked(spark, d):
     """Every item against a copy of the catalogue at the default threshold, met in bands only."""
     own = items(spark, d)
@@ -136,13 +181,11 @@ def pair_set_union(spark, d):
     return S.canonical(ignored(spark, d).unionByName(new))
 
 
-@query(f"""WITH RECURSIVE near AS ({NEAR_SQL}), e AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+@query(f"""WITH RECURSIVE near AS ({NEAR_SQL.replace(' ANTI JOIN ignored USING (a, b)', '')}), e AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
   r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY node""")
 def group_components(spark, d):
     """Beyond pairs: groups of near-duplicates that pairs link."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="frameloom-"))
-    return S.component_labels(near_dup_video_pairs(spark, d).select("a", "b"))
+    return S.near_groups(planted(spark, d))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_orderkey % 8000 + 1 AS t FROM orders),
@@ -175,3 +218,35 @@ def linear_rescale(spark, d):
     frame = ((F.col("o_orderkey") % 641) / F.lit(640.0) * F.col("t")).cast("long")
     pixel = F.when(F.col("t") == 0, F.lit(0).cast("long")).otherwise((F.try_divide(F.col("f").cast("double"), F.col("t").cast("double")) * 640).cast("long"))
     return o.select("o_orderkey", frame.alias("frame"), pixel.alias("pixel"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_orderkey % 9000 END AS said, o_orderkey % 250 AS readable, o_orderkey % 61 AS fps FROM orders)
+SELECT o_orderkey, CASE WHEN said > 0 THEN said WHEN readable > 0 THEN least(readable, 100) END AS total, CASE WHEN said > 0 OR readable > 0 THEN CASE WHEN said > 0 THEN said ELSE least(readable, 100) END / CAST(CASE WHEN fps = 0 THEN 30 ELSE fps END AS DOUBLE) END AS duration FROM t""")
+def frame_count_estimate(spark, d):
+    """Frames by the header, or as many of the first hundred as can be read; null if none can."""
+    n = F.col("o_orderkey")
+    said, readable, fps = F.when(n % 5 == 0, -1).otherwise(n % 9000), n % 250, n % 61
+    total = pixels.frame_count(said, readable)
+    return table(spark, d, "orders").select("o_orderkey", total.alias("total"), pixels.duration(total, fps).alias("duration"))
+
+
+PIXELS_SQL = """px AS (SELECT vec_id, r, c, greatest(0, least(255, CAST(floor(128 + 40 * CAST(embedding[(r // 4) * 8 + c // 4 + 1] AS DOUBLE)) AS INTEGER))) AS v FROM embeddings, (SELECT unnest(range(0, 32)) AS r) a, (SELECT unnest(range(0, 32)) AS c) b)"""
+
+
+@query(f"""WITH {PIXELS_SQL}, k AS (SELECT i, j, w FROM (VALUES (0, -1, 0.25::DOUBLE), (0, 0, 0.5::DOUBLE), (0, 1, 0.25::DOUBLE)) AS t(i, j, w)),
+across AS (SELECT vec_id, r, c, sum(w * v) AS v FROM (SELECT p.vec_id, p.r, abs(CASE WHEN p.c + k.j = 32 THEN 30 ELSE p.c + k.j END) AS s, p.c, k.w, q.v FROM px p, k JOIN px q ON q.vec_id = p.vec_id AND q.r = p.r AND q.c = abs(CASE WHEN p.c + k.j = 32 THEN 30 ELSE p.c + k.j END)) GROUP BY vec_id, r, c),
+smooth AS (SELECT p.vec_id, p.r, p.c, round_even(sum(k.w * q.v), 0) AS v FROM across p, k JOIN across q ON q.vec_id = p.vec_id AND q.c = p.c AND q.r = abs(CASE WHEN p.r + k.j = 32 THEN 30 ELSE p.r + k.j END) GROUP BY p.vec_id, p.r, p.c),
+f AS (SELECT unnest(range(0, 8)) AS f), cs AS (SELECT f, x, cos(pi() * f * (2 * x + 1) / 64) * sqrt(2 / 32.0::DOUBLE) / CASE WHEN f = 0 THEN sqrt(2::DOUBLE) ELSE 1 END AS w FROM f, (SELECT unnest(range(0, 32)) AS x)),
+rows_ AS (SELECT vec_id, f, c, sum(cs.w * v) AS v FROM smooth JOIN cs ON cs.x = r GROUP BY vec_id, f, c),
+dct AS (SELECT vec_id, rows_.f AS f, cs.f AS g, sum(cs.w * v) AS v FROM rows_ JOIN cs ON cs.x = c GROUP BY vec_id, rows_.f, cs.f),
+m AS (SELECT vec_id, median(v) AS m FROM dct GROUP BY vec_id)
+SELECT vec_id, string_agg(CASE WHEN v > m THEN '1' ELSE '0' END, '' ORDER BY f, g) AS bits FROM dct JOIN m USING (vec_id) GROUP BY vec_id""")
+def pixel_frame_hash(spark, d):
+    """Hashes of decoded gray frames, 32 pixels square, whose shades are the embeddings' components in blocks of four by four."""
+    e = table(spark, d, "embeddings")
+    shade = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 40 * x.cast("double")).cast("int"))))
+    line = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(F.get(F.col("s"), (F.floor(i / 128) * 8 + F.floor(i % 32 / 4)).cast("int"))), 2, "0"))
+    drawn = S.settled(e, ["vec_id"], s=shade).select("vec_id", F.unhex(F.array_join(line, "")).alias("data"))
+    frames = drawn.select(F.col("vec_id").cast("string").alias("path"), F.lit(0).alias("pos"), F.lit(32).alias("height"), F.lit(32).alias("width"), "data")
+    blocks = pixels.frame_blocks(frames).select(F.col("path").cast("long").alias("vec_id"), "embedding")
+    return S.frame_hashes(blocks).select("vec_id", F.lpad(F.bin("h"), 64, "0").alias("bits"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from frameloom.functions import scalars as X
@@ -226,14 +224,12 @@ def log_level_fanout(spark, d):
     return logs.fan_out(levels).groupBy("sink", "level").agg(F.count("*").alias("n"))
 
 
-PATTERNS = (("ti", "TI", True), ("[aeiou]+$", "", True), ("x", "y", False), ("r(.)", "$1r", True))
-
-
-@query(r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name, 'ti', 'TI', 'g'), '[aeiou]+$', '', 'g'), 'r(.)', '\1r', 'g') AS name FROM part")
-def regex_rename_fold(spark, d):
-    """Beyond the inventory's code: enabled patterns applied in order."""
-    name = reduce(lambda n, p: F.regexp_replace(n, p[0], p[1]), [p for p in PATTERNS if p[2]], F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", name.alias("name"))
+@query(f"""WITH s AS (SELECT unnest(CASE {LEVEL_SQL} WHEN 'ERROR' THEN ['console', 'text', 'json', 'errors'] WHEN 'DEBUG' THEN ['text', 'json'] ELSE ['console', 'text', 'json'] END) AS sink FROM events) SELECT sink, count(*) AS lines FROM s GROUP BY sink""")
+def log_sinks_stream(spark, d):
+    """Log records as a stream, written to every sink that takes their level: JSON lines, and text."""
+    e = table(spark, d, "events")
+    record = logs.record(F.col("ts"), logs.level_of(F.col("event_type")), F.lit("app"), F.col("event_type"), F.when(F.col("event_type") == "error", "failed"))
+    return logs.written_sinks(spark, e.select(record.alias("r")).select("r.*"))
 
 
 @query("""WITH l AS (SELECT event_id, user_id, (event_id % 30) * 60 + event_id % 59 AS s FROM events WHERE event_id % 5 <> 0)

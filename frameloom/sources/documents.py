@@ -8,19 +8,25 @@ broken document gives its default, unless a function says otherwise.
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions import scalars as X
+from frameloom.sources.scratch import written
 
 HASHES = "map<string, map<string, struct<hash: array<array<array<boolean>>>, duration: double, last_modified: double, frame_indices: array<int>>>>"
 PAIRS = "array<array<string>>"
 STATS = "input_size long, output_size long, duration double, attempt_count int, params_used map<string, string>, success boolean, date string"
 PATTERNS = "array<struct<pattern: string, replace_with: string, enabled: boolean>>"
 SEGMENTS = "struct<segments: array<struct<start_frame: int, end_frame: int, name: string, color: string>>>"
+ANALYSED = "struct<analyzed_files: map<string, array<array<array<boolean>>>>, ignored_pairs: array<array<string>>>"
+COPY = "struct<source_path: string, dest_path: string>"
 PROJECT = (
     "struct<video_path: string, last_modified: string, segments: array<struct<start: double, `end`: double, name: string, created_at: string>>, "
     "scenes: array<struct<start_frame: int, end_frame: int, created_at: string>>, markers: array<struct<time: double, name: string, color: string, created_at: string>>, "
@@ -28,17 +34,40 @@ PROJECT = (
 )
 
 
-def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = X.VIDEO_EXTENSIONS, ignore_case: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = X.VIDEO_EXTENSIONS, ignore_case: bool = True, hidden: bool = True) -> DataFrame:
     """path, relative, size, modified of all files below ``folder`` with one of the extensions; contents are not read.
 
-    Spark's listing leaves out names that start with a dot or an underscore, and all below such folders.
+    Folders are listed level by level, each level by all executors' tasks through the folder's own file system; Spark's listing would
+    leave out names that start with a dot or underscore. Those that start with a dot, and all below such folders, are ``hidden``.
     """
+    root = folder.rstrip("/") if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+    base = fs.FileSystem.from_uri(root)[1].rstrip("/")
+    prefix = root[: len(root) - len(base)] if root.endswith(base) else "file://"
+
+    def level(batches):
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(place)
+                found = system.get_file_info(fs.FileSelector(path, recursive=False))
+                if found:
+                    rows = [(prefix + f.path, f.path, f.type == fs.FileType.Directory, f.size, f.mtime) for f in found]
+                    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["uri", "path", "folder", "size", "modified"])
+
+    at, out = spark.createDataFrame([(root,)], "uri string"), None
+    while True:
+        found = written(at.mapInArrow(level, "uri string, path string, folder boolean, size long, modified timestamp"), "listing")
+        if not hidden:
+            found = found.where(~X.basename(F.col("path")).startswith("."))
+        files = found.where(~F.col("folder"))
+        out = files if out is None else out.unionByName(files)
+        at = found.where("folder").select("uri")
+        if at.isEmpty():
+            break
+        at = at.repartition(max(1, min(at.count(), 4 * spark.sparkContext.defaultParallelism)))
     path = F.col("path")
     ending = F.lower(X.extension(path)) if ignore_case else X.extension(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
-    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    relative = F.regexp_replace(path, rf"^[A-Za-z0-9+.\-]*:?/*\Q{root}\E/", "")
-    return found.where(ending.isin(*extensions)).select("path", relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return out.where(ending.isin(*extensions)).select(F.col("uri").alias("path"), F.substr(path, F.lit(len(base) + 2)).alias("relative"), "size", "modified")
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
@@ -105,17 +134,37 @@ def project(spark: SparkSession, path: str, video_path: str) -> DataFrame:
     return v.select(F.coalesce("video_path", F.lit(video_path)).alias("video_path"), "last_modified", *[e.alias(c) for c, e in lists.items()], F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
+def project_or_new(spark: SparkSession, path: str, video_path: str) -> DataFrame:
+    """As ``project``; a missing or broken document is first saved with the defaults."""
+    if _text(spark, path).where(F.try_parse_json("value").isNotNull()).isEmpty():
+        save_document(project(spark, path, video_path), path, backup=False)
+    return project(spark, path, video_path)
+
+
+def analysed_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(path, frame_pos, bits) of the analysed files and (a, b) of the ignored pairs, as they were stored; both empty without a document."""
+    doc = document(spark, path, ANALYSED)
+    frames = doc.select(F.explode("value.analyzed_files").alias("path", "hash")).select("path", F.posexplode("hash").alias("frame_pos", "block"))
+    pairs = doc.select(F.explode("value.ignored_pairs").alias("p")).select(F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b")).distinct()
+    return frames.select("path", "frame_pos", F.transform(F.flatten("block"), lambda b: b.cast("int")).alias("bits")), pairs
+
+
+def copy_settings(spark: SparkSession, path: str) -> DataFrame:
+    """One row: source_path, dest_path; null what the document lacks."""
+    return document(spark, path, COPY).select("value.source_path", "value.dest_path")
+
+
 def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
     """Every field that is null or missing gets its default."""
     return rows.withColumns({c: F.coalesce(c, F.lit(x)) if c in rows.columns else F.lit(x) for c, x in defaults.items()})
 
 
-def save_document(rows: DataFrame, path: str, backup: bool = True) -> None:
-    """Write the only row of ``rows`` as a JSON document, so that a reader sees the old or the new one whole.
+def save_document(rows: DataFrame, path: str, backup: bool = True, column: str | None = None) -> None:
+    """Write the only row of ``rows``, or its ``column`` alone, as a JSON document, so that a reader sees the old or the new one whole.
 
     The text goes to a file beside ``path``, the old document is copied to ``path``.bak, then the new one takes its name.
     """
-    text = rows.select(F.to_json(F.struct("*"))).limit(2).collect()
+    text = rows.select(F.to_json(F.struct("*") if column is None else F.col(column))).limit(2).collect()
     if len(text) != 1:
         raise ValueError("a document is one row")
     spark = rows.sparkSession

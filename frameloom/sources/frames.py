@@ -1,7 +1,7 @@
 """Perceptual hashes of decoded frames.
 
-Decoding is left to the caller: a frame comes as rows of 8-bit pixels, gray or blue,
-green, red. Reducing to 32 x 32 by area, smoothing and the cosine transform are linear,
+A decoder turns files into frames; that of uncompressed YUV4MPEG2 is here, others are
+the caller's. A frame comes as rows of 8-bit pixels, gray or blue, green, red. Reducing to 32 x 32 by area, smoothing and the cosine transform are linear,
 so each is a matrix applied from both sides; a batch of frames of one size shares them.
 """
 
@@ -11,10 +11,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDE, CORNER = 32, 8
+#: Bytes of pixels that are reduced together, about.
+STACK = 4 * 1024 * 1024
+#: Frames that are read where a header doesn't say how many there are.
+PROBED = 100
+USUAL_RATE = 30
 
 
 @lru_cache(maxsize=64)
@@ -44,24 +49,36 @@ def cosine_matrix() -> np.ndarray:
     return m
 
 
-def coefficients(pixels: np.ndarray) -> np.ndarray:
-    """height x width (x 3: blue, green, red) of 8 bits to the 64 lowest coefficients, row by row."""
-    gray = np.rint(pixels @ np.array([0.114, 0.587, 0.299])) if pixels.ndim == 3 else pixels.astype(float)
-    small = np.rint(area_matrix(gray.shape[0]) @ gray @ area_matrix(gray.shape[1]).T)
+def _stacked(raw: list[np.ndarray]) -> list[list[float]]:
+    """Coefficients of frames of one size and number of colours, by one product of matrices a step."""
+    pixels = np.stack(raw)
+    gray = np.rint(pixels @ np.array([0.114, 0.587, 0.299])) if pixels.ndim == 4 else pixels.astype(float)
+    small = np.rint(area_matrix(gray.shape[1]) @ gray @ area_matrix(gray.shape[2]).T)
     even = np.rint(smooth_matrix() @ small @ smooth_matrix().T)
-    return (cosine_matrix() @ even @ cosine_matrix().T).astype(np.float32).reshape(-1)
+    return (cosine_matrix() @ even @ cosine_matrix().T).astype(np.float32).reshape(len(raw), -1).tolist()
 
 
 def _blocks(batches):
     for batch in batches:
-        for at in range(batch.num_rows):  # one frame's pixels at a time
-            row = batch.slice(at, 1)
-            path, pos, height, width, data = (row.column(i)[0].as_py() for i in range(5))
-            area, found = (height or 0) * (width or 0), None
-            if data is not None and area > 0 and len(data) in (area, 3 * area):
-                raw = np.frombuffer(data, np.uint8)
-                found = coefficients(raw.reshape((height, width) if len(data) == area else (height, width, 3))).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([pos], pa.int64()), pa.array([found], pa.list_(pa.float32()))], names=["path", "pos", "embedding"])
+        at = 0
+        while at < batch.num_rows:
+            taken, held = 0, 0
+            while at + taken < batch.num_rows and (taken == 0 or held < STACK):  # some frames' pixels at a time
+                held += len(batch.column(4)[at + taken].as_buffer() or b"") if batch.column(4)[at + taken].is_valid else 0
+                taken += 1
+            part = batch.slice(at, taken)
+            at += taken
+            found: list = [None] * taken
+            alike: dict[tuple, list] = {}
+            for i, (height, width, data) in enumerate(zip(*[part.column(c).to_pylist() for c in (2, 3, 4)], strict=True)):
+                area = (height or 0) * (width or 0)
+                if data is not None and height and width and height > 0 and width > 0 and len(data) in (area, 3 * area):
+                    shape = (height, width) if len(data) == area else (height, width, 3)
+                    alike.setdefault(shape, []).append((i, np.frombuffer(data, np.uint8).reshape(shape)))
+            for frames in alike.values():
+                for (i, _), values in zip(frames, _stacked([raw for _, raw in frames]), strict=True):
+                    found[i] = values
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float32()))], names=["path", "pos", "embedding"])
 
 
 def frame_blocks(frames: DataFrame) -> DataFrame:
@@ -71,3 +88,84 @@ def frame_blocks(frames: DataFrame) -> DataFrame:
     """
     columns = [F.col("path").cast("string"), F.col("pos").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("binary")]
     return frames.select(*columns).mapInArrow(_blocks, "path string, pos long, embedding array<float>")
+
+
+def frame_count(said: Column, readable: Column) -> Column:
+    """The header's count, or as many of the first ``PROBED`` frames as can be read; null if there are none."""
+    return F.when(said > 0, said).when(readable > 0, F.least(readable, F.lit(PROBED).cast("long")))
+
+
+def duration(total: Column, fps: Column) -> Column:
+    """Seconds; a rate of 0 stands for the usual one."""
+    return total / F.when(fps == 0, F.lit(USUAL_RATE)).otherwise(fps).cast("double")
+
+
+class Y4M:
+    """Decoder of uncompressed YUV4MPEG2 files, by their luma plane; ``open`` of other formats takes its place.
+
+    Header: the word YUV4MPEG2, fields W (width), H (height), F (rate as n:d), C (chroma, 420 if absent), a line feed; then frames, each a FRAME line and its planes.
+    """
+
+    PLANES = {"mono": 1.0, "420": 1.5, "422": 2.0, "444": 3.0}
+
+    def __init__(self, data: bytes) -> None:
+        head, _, self.body = data.partition(b"\n")
+        words = head.decode("ascii", "replace").split(" ")
+        if words[0] != "YUV4MPEG2":
+            raise ValueError("not a YUV4MPEG2 file")
+        said = {w[0]: w[1:] for w in words[1:] if w}
+        self.width, self.height = int(said["W"]), int(said["H"])
+        n, _, d = said.get("F", "30:1").partition(":")
+        self.fps = int(n) // max(1, int(d or 1))
+        chroma = next((k for k in self.PLANES if said.get("C", "420").startswith(k)), "420")
+        self.area = self.width * self.height
+        self.size = int(self.area * self.PLANES[chroma])
+        self.places: list[int] = []
+        at = 0
+        while (end := self.body.find(b"\n", at)) >= 0 and self.body.startswith(b"FRAME", at) and end + 1 + self.area <= len(self.body):
+            self.places.append(end + 1)
+            at = end + 1 + self.size
+
+    def total(self) -> int:
+        return len(self.places)
+
+    def read(self, i: int) -> bytes | None:
+        """The luma of frame ``i``; null if it can't be read."""
+        return self.body[self.places[i] : self.places[i] + self.area] if 0 <= i < len(self.places) else None
+
+
+def sampled_indices(total: int, short: int = 1000, stride: int = 500, most: int = 10) -> list[int]:
+    """What ``similarity.sampled_frames`` says, for one file in a worker."""
+    raw = [int(total * s) for s in (0.1, 0.3, 0.5, 0.7, 0.9)] if total < short else [i * total // k for k in [min(most, total // stride)] for i in range(k)]
+    found = {max(0, min(i, total - 1)) for i in raw}
+    return sorted(found if len(found) >= 3 else found | set(range(min(5, total))))
+
+
+def decoded_frames(files: DataFrame, decoder=Y4M, most_errors: int = 5) -> DataFrame:
+    """files (path, content) to the sampled frames (path, pos, frame, height, width, data, duration), by a decoder class with width, height, fps, total() and read(i).
+
+    A file that can't be opened or has no frame that can be read gives none; after ``most_errors`` failed frames the rest of a file is left.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, errors = [], 0
+                try:
+                    film = decoder(content or b"")
+                    total = film.total()
+                except (ValueError, KeyError):
+                    continue
+                for i in sampled_indices(total) if total else []:
+                    data = film.read(i)
+                    if data is None:
+                        errors += 1
+                        if errors >= most_errors:
+                            break
+                    else:
+                        rows.append((path, len(rows), i, film.height, film.width, data, total / (film.fps or USUAL_RATE)))
+                if rows:
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "pos", "frame", "height", "width", "data", "duration"])
+
+    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "path string, pos long, frame long, height int, width int, data binary, duration double")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.sources.scratch import scratch_path
+
 ORDER = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 #: Sink to the lowest level it takes.
 SINKS = {"console": "INFO", "text": "DEBUG", "json": "DEBUG", "errors": "ERROR"}
+#: Bytes that a sink's files may take together: files of 100 MB with 10 older ones, 100 MB with 5, 50 MB with 10.
+LIMITS = {"text": 11 * 100 * 1024**2, "json": 6 * 100 * 1024**2, "errors": 11 * 50 * 1024**2}
 
 
 def level_of(kind: Column) -> Column:
@@ -28,13 +34,58 @@ def fan_out(records: DataFrame) -> DataFrame:
     return records.withColumn("sink", F.explode(F.filter(F.array(*[F.when(takes(s, F.col("level")), F.lit(s)) for s in SINKS]), lambda s: s.isNotNull())))
 
 
-def write_sinks(records: DataFrame, folder: str, checkpoint: str):
-    """Start one streaming query that appends each micro-batch to every sink's folder, as JSON lines."""
+def as_text(records: DataFrame) -> DataFrame:
+    """One line a record: time, level, logger and message, and the exception behind it."""
+    known = [c if c in records.columns else F.lit(None).cast("string").alias(c) for c in ("timestamp", "level", "logger", "message", "exception")]
+    return records.select(*known).select(F.concat_ws(" | ", "timestamp", F.rpad("level", 8, " "), "logger", "message", "exception").alias("value"))
+
+
+def expired(files: list[tuple[str, int]], limit: int) -> list[str]:
+    """Of files (path, bytes), newest first: those beyond the first ``limit`` bytes; the newest is kept."""
+    total, out = 0, []
+    for i, (path, size) in enumerate(files):
+        total += size
+        if i and total > limit:
+            out.append(path)
+    return out
+
+
+def rotate(spark: SparkSession, folder: str, limit: int) -> None:
+    """Delete a sink's oldest files so that ``limit`` bytes stay; a sink has few files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return
+    found = [(f.getModificationTime(), f.getPath(), f.getLen()) for f in fs.listStatus(path) if f.isFile() and f.getPath().getName().startswith("part-")]
+    by_name = {p.toString(): p for _, p, _ in found}
+    newest = sorted(((t, p.toString(), n) for t, p, n in found), reverse=True)
+    for name in expired([(p, n) for _, p, n in newest], limit):
+        fs.delete(by_name[name], False)
+
+
+def write_sinks(records: DataFrame, folder: str, checkpoint: str, limits: dict[str, int] = LIMITS):
+    """Start one streaming query that appends each micro-batch to every sink's folder, as JSON lines or text, and keeps each sink within its limit."""
 
     def each(batch: DataFrame, _: int) -> None:
         batch.persist()
         for sink in SINKS:
-            batch.where(takes(sink, F.col("level"))).write.mode("append").json(f"{folder}/{sink}")
+            taken = batch.where(takes(sink, F.col("level")))
+            if sink == "json":
+                taken.write.mode("append").json(f"{folder}/{sink}")
+            else:
+                as_text(taken).write.mode("append").text(f"{folder}/{sink}")
+            if sink in limits:
+                rotate(batch.sparkSession, f"{folder}/{sink}", limits[sink])
         batch.unpersist()
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written_sinks(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """sink, lines of a stream of records that went through ``write_sinks``."""
+    folder = scratch_path(spark, "logs")
+    events.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    write_sinks(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    counts = [spark.read.text(f"{folder}/out/{s}").agg(F.count("*").alias("lines")).select(F.lit(s).alias("sink"), "lines") for s in SINKS]
+    return reduce(DataFrame.unionByName, counts)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from frameloom.functions import scalars as X
+from frameloom.sources.scratch import scratch_path
 
 
 def best_progress(lines: DataFrame, total: float) -> DataFrame:
@@ -27,11 +26,17 @@ def parsed_progress(spark: SparkSession, events: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
     n = F.col("event_id")
     line = F.when(n % 5 == 0, "frame= 10 q=2").otherwise(F.format_string("frame= 1 time=00:%02d:%02d.50 x", n % 30, n % 59))
-    table = f"progress_{uuid.uuid4().hex}"
-    kept = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="frameloom-")
-    query = best_progress(stream.select("user_id", line.alias("line")), 1800.0).writeStream.format("memory").queryName(table).outputMode("complete").option("checkpointLocation", f"{kept}/{table}").trigger(availableNow=True).start()
+    folder = scratch_path(spark, "progress")
+
+    def keep(best: DataFrame, batch: int) -> None:
+        best.write.mode("overwrite").parquet(f"{folder}/best-{batch}")
+
+    best = best_progress(stream.select("user_id", line.alias("line")), 1800.0)
+    query = best.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], best.schema)
+    return spark.read.schema(best.schema).parquet(f"{folder}/best-{query.lastProgress['batchId']}")
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

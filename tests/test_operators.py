@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import scalars as X
-from frameloom.operators import conversion, similarity, validation
+from frameloom.operators import batches, catalog, conversion, similarity, validation
 
 
 @pytest.mark.parametrize(("size", "text"), [(1023, "1023.0 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (1024**4, "1.0 TB"), (1280, "1.2 KB"), (1024**6, "1048576.0 TB")])
@@ -87,7 +87,7 @@ def test_log_sinks(spark, tmp_path):
     spark.createDataFrame([("DEBUG",), ("ERROR",), ("INFO",)], "level string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("level string").parquet(str(tmp_path / "in"))
     logs.write_sinks(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    assert {s: spark.read.schema("level string").json(str(tmp_path / "out" / s)).count() for s in logs.SINKS} == {"console": 2, "text": 3, "json": 3, "errors": 1}
+    assert {s: spark.read.text(str(tmp_path / "out" / s)).count() for s in logs.SINKS} == {"console": 2, "text": 3, "json": 3, "errors": 1}
 
 
 def test_component_labels_of_long_chains(spark):
@@ -97,3 +97,105 @@ def test_component_labels_of_long_chains(spark):
     got = similarity.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r["node"], r["label"]) for r in got) == [*((i, 1) for i in sorted(ids)), (1001, 1001), (1002, 1001), (1003, 1003)]
     assert not similarity.component_labels(spark.createDataFrame([], "a long, b long")).count()
+
+
+def names_one_by_one(existing, wanted):
+    taken, out = set(existing), []
+    for target, ext in wanted:
+        name, k = target + ext, 0
+        while name in taken:
+            k += 1
+            name = f"{target} ({k}){ext}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def test_names_are_unique(spark):
+    rng = random.Random(8)
+    cases = [([], ["a", "a", "a (1)"]), ([], ["a (1)", "a", "a", "a (1)"]), (["a", "a (2)"], ["a"] * 4), ([], ["b"] * 5), (["c (1)"], ["c (1)", "c", "c"])]
+    for _ in range(25):
+        pool = ["t", "t (1)", "t (2)", "t (1) (1)", "u", "u (0)", "v"]
+        cases.append((rng.sample(pool, rng.randint(0, 3)), [rng.choice(pool) for _ in range(rng.randint(1, 12))]))
+    wanted, existing, expected = [], [], {}
+    for i, (held, asked) in enumerate(cases):
+        names = names_one_by_one([f"/{i}/{h}.x" for h in held], [(f"/{i}/{t}", ".x") for t in asked])
+        existing += [(f"/{i}/{h}", ".x") for h in held]
+        for t, name in zip(asked, names, strict=True):
+            expected[len(wanted)] = name
+            wanted.append((len(wanted), f"/{i}/{t}", ".x"))
+    got = catalog.unique_names(spark.createDataFrame(wanted, "k long, target string, ext string"), "k", spark.createDataFrame(existing, "target string, ext string"))
+    assert {r["k"]: r["name"] for r in got.collect()} == expected
+
+
+def test_numbers_across_spans(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 3 else None, k * 7) for k in range(200)], "g int, k long")
+    got = catalog.numbered(rows, ["g"], "k", span=50).collect()
+    for g in (None, 1, 2):
+        assert [r["n"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["k"])] == list(range(1, len([r for r in got if r["g"] == g]) + 1))
+
+
+@pytest.mark.parametrize(("rows", "ok"), [(["h264", None, "h264"], False), (["h264", "h264"], True), (["h264"], False), (["h264", "vp9"], False), ([None, None], True)])
+def test_compatible_like_first(spark, rows, ok):
+    df = spark.createDataFrame([("g", c) for c in rows], "g string, codec string")
+    assert catalog.all_like_first(df, ["g"], "codec").first()["compatible"] is ok
+    probed = df.withColumn("probed", F.col("codec").isNotNull())
+    assert catalog.all_like_first(probed, ["g"], "codec", probed="probed").first()["compatible"] is (ok and None not in rows)
+
+
+@pytest.mark.parametrize(("ending", "ok"), [(e, True) for e in (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".3gp", ".ogv", ".ts", ".m2ts", ".MTS")] + [(e, False) for e in (".mpg", ".mpeg", ".txt", "")])
+def test_file_formats(spark, ending, ok):
+    verdict = validation.file_check(F.lit(True), F.lit(True), F.lit(ending), F.lit(5), validation.mime_of(F.lit(ending)))
+    assert spark.range(1).select(verdict).first()[0] == ("valid" if ok else "unsupported format")
+
+
+@pytest.mark.parametrize(("video", "audio", "errors"), [("mpeg4", "flac", []), ("libx265", "libvorbis", []), ("copy", "opus", ["video codec", "audio codec"]), ("libvpx-vp9", "aac", []), ("h264", "mp3", ["video codec"])])
+def test_codecs(spark, video, audio, errors):
+    found = validation.parameter_errors(F.lit(51), F.lit(video), F.lit(audio), F.lit(None).cast("int"), F.lit(9999))
+    assert spark.range(1).select(found).first()[0] == errors
+
+
+def test_settings_of_broken_texts(spark):
+    rows = spark.createDataFrame([("{",), (None,), ('{"crf": null}',), ('{"attempts": [{"crf": 1}]}',)], "t string").select(conversion.settings_of(F.col("t")).alias("s")).collect()
+    usual = [(28, "medium"), (30, "slow"), (32, "veryslow")]
+    assert [[tuple(a) for a in r.s.attempts] for r in rows] == [usual, usual, usual, [(1, "medium")]]
+    assert all((r.s.crf, r.s.size_threshold, r.s.multiple_attempts) == (28, 104857600, True) for r in rows)
+
+
+def test_mapped_cancels_late_items(spark):
+    items = spark.createDataFrame([(1, "2"), (2, "x"), (3, None)], "k long, t string")
+    got = {r.k: (r.ok, r.value) for r in batches.mapped(items, "k", "t", lambda x: int(x) * 2).collect()}
+    assert got == {1: (True, "4"), 2: (False, None), 3: (False, None)}
+    assert all(r.ok is None for r in batches.mapped(items, "k", "t", int, limit_seconds=-1).collect())
+
+
+def test_groups_and_pairs_of_equal_items(spark):
+    """Equal items, near copies of them, short ones and a chain, against all pairs."""
+    rng, items = random.Random(9), []
+    for i in range(40):
+        base = [rng.getrandbits(64) - (1 << 63) for _ in range(6)] if i % 5 == 0 else list(items[-1][1])
+        if i % 5 in (2, 4):
+            base = [h ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for h in base]
+        items.append((i, base))
+    items += [(100, [1, 2, 3]), (101, [1, 2, 3])]
+    df = spark.createDataFrame(items, "video_id long, hashes array<long>")
+    whole = sorted(map(tuple, similarity.score_pairs(similarity.all_pairs(df)).collect()))
+    assert whole == sorted(map(tuple, similarity.near_duplicates(df).collect()))
+    up = {i: i for i, _ in items}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b, *_ in whole:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    linked = {x for a, b, *_ in whole for x in (a, b)}
+    assert {r.node: r.label for r in similarity.near_groups(df).collect()} == {x: find(x) for x in linked}
+
+
+def test_sinks_expire_oldest_first():
+    from frameloom.streaming import logs
+
+    assert logs.expired([("c", 5), ("b", 5), ("a", 5)], 10) == ["a"]
+    assert logs.expired([("c", 50)], 10) == []

@@ -19,8 +19,9 @@ def test_list_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("xy")
     found = D.list_files(spark, str(tmp_path))
-    assert sorted((r.relative, r["size"]) for r in found.collect()) == [("a.mp4", 2), ("sub/B.AVI", 2), ("sub/deep/c.mkv", 2)]
-    assert sorted(r.relative for r in D.list_files(spark, str(tmp_path), ignore_case=False).collect()) == ["a.mp4", "sub/deep/c.mkv"]
+    assert sorted((r.relative, r["size"]) for r in found.collect()) == [(".e.mp4", 2), (".hid/f.mp4", 2), ("a.mp4", 2), ("sub/B.AVI", 2), ("sub/deep/c.mkv", 2)]
+    assert sorted(r.relative for r in D.list_files(spark, str(tmp_path), ignore_case=False, hidden=False).collect()) == ["a.mp4", "sub/deep/c.mkv"]
+    assert D.list_files(spark, str(tmp_path), extensions=(".none",)).count() == 0
     assert "content" not in found.columns
 
 
@@ -100,6 +101,21 @@ def test_frame_matrices():
     assert np.isclose((frames.cosine_matrix() @ x @ frames.cosine_matrix().T)[k, l], slow)
 
 
+def test_decoded_frames(spark):
+    def film(frames, chroma="C420", head=b"YUV4MPEG2 W8 H4 F25:1 "):
+        planes = {"C420": 16, "Cmono": 0}[chroma]
+        return head + chroma.encode() + b"\n" + b"".join(b"FRAME\n" + bytes([i]) * 32 + bytes(planes) for i in range(frames))
+
+    rows = [("a", film(50)), ("mono", film(3, "Cmono")), ("cut", film(2)[:-20]), ("none", b"x"), ("null", None), ("empty", film(0))]
+    got = frames.decoded_frames(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert {r.path for r in got} == {"a", "mono", "cut"}
+    assert [(r.pos, r.frame, r.height, r.width, r.data[0], r.duration) for r in got if r.path == "a"] == [(p, f, 4, 8, f, 2.0) for p, f in enumerate([5, 15, 25, 35, 45])]
+    assert [r.frame for r in got if r.path == "mono"] == [0, 1, 2]
+    assert [r.frame for r in got if r.path == "cut"] == [0]
+    for total in (1, 4, 90, 999, 1000, 1500, 7000):
+        assert spark.range(1).select(similarity.sampled_frames(F.lit(total))).first()[0] == frames.sampled_indices(total)
+
+
 def test_frame_blocks(spark):
     rng = np.random.default_rng(2)
     smooth = np.add.outer(np.arange(48) * 3, np.arange(80) * 1.0).astype(np.uint8)
