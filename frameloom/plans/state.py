@@ -53,7 +53,7 @@ def conversion_stats_document(spark, d):
 def project_document(spark, d):
     """Projects opened from no document, from a broken one and from a whole one; the first two are saved with defaults first."""
     new, broken, kept = (place(spark, f"project-{n}") for n in ("new", "broken", "kept"))
-    D.save_document(spark.range(1).select(F.lit('{"video_path": ').alias("text")), broken, column="text")
+    D.save_text(spark, '{"video_path": ', broken)
     segments = listed(table(spark, d, "nation"), F.col("n_nationkey").cast("double").alias("start"), (F.col("n_nationkey") + 1.0).alias("end"), F.col("n_name").alias("name"))
     D.save_document(segments.select(F.lit("/own.mkv").alias("video_path"), F.col("value").alias("segments")), kept)
     out = None

@@ -160,20 +160,24 @@ def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
 
 
 def save_document(rows: DataFrame, path: str, backup: bool = True, column: str | None = None) -> None:
-    """Write the only row of ``rows``, or its ``column`` alone, as a JSON document, so that a reader sees the old or the new one whole.
-
-    The text goes to a file beside ``path``, the old document is copied to ``path``.bak, then the new one takes its name.
-    """
+    """Write the only row of ``rows``, or its ``column`` alone, as a JSON document; see ``save_text``."""
     text = rows.select(F.to_json(F.struct("*") if column is None else F.col(column))).limit(2).collect()
     if len(text) != 1:
         raise ValueError("a document is one row")
-    spark = rows.sparkSession
+    save_text(rows.sparkSession, text[0][0], path, backup)
+
+
+def save_text(spark: SparkSession, text: str, path: str, backup: bool = True) -> None:
+    """Write a document so that a reader sees the old or the new one whole.
+
+    The text goes to a file beside ``path``, the old document is copied to ``path``.bak, then the new one takes its name.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs, temp = target.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     try:
         out = fs.create(temp, True)
-        out.write(bytearray(text[0][0].encode()))
+        out.write(bytearray(text.encode()))
         out.close()
         if backup and fs.exists(target):
             jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, jvm.org.apache.hadoop.fs.Path(f"{path}.bak"), False, True, conf)
