@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import string
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.sources.scratch import scratch_path, shared_dir, written
+
+__all__ = ["lower_ascii", "materialize", "scratch_path", "settled", "shared_dir", "slices", "small_batches", "small_side", "table"]
+
 #: Rows of two longs that may be broadcast: 2 million of them take some 50 MB at most.
 BROADCAST_ROWS = 1_000_000
 #: Most rows and bytes of a batch for a Python worker.
@@ -22,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local-mode session may lack the setting; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="frameloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def small_batches(spark: SparkSession):
     """Within, what goes to Python workers goes in batches of ``BATCH``, which bounds the buffers on both sides."""
@@ -55,16 +39,18 @@ def small_batches(spark: SparkSession):
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, no lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(df.sparkSession):
+        return written(df, label)
 
 
 def lower_ascii(col: Column) -> Column:
-    """A-Z to a-z; every other character, accented capitals too, stays."""
-    return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z to a-z; every other character, accented capitals too, stays. Text of ASCII alone takes the faster function."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def settled(rows: DataFrame, kept: list[str], **computed: Column) -> DataFrame:
+    """``kept`` and the computed columns, which pass through a generator of one row: the optimizer doesn't take them into lambdas or below filters."""
+    return rows.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in computed.items()]))))
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
