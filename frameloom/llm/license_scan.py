@@ -1,91 +1,185 @@
-"""License notices found by MinHash bands over windows and verified by containment.
+"""License notices found by MinHash bands over overlapping windows and verified by containment.
 
 Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
-characters; shingles are five words. Windows hold ``WINDOW`` shingles and start every
-``WINDOW`` shingles, so windows share words with their neighbours and every shingle
-lies in one window. A window has one MinHash value a band; a band that equals that of a
-template's shingle retrieves the template. The similarity of a window and a shingle in
-it is 1/2, so with 16 bands of one row the window is missed with probability 0.5**16,
-1.5e-5; longer templates offer more windows, and windows inside a template never miss.
-
-Retrieved (document, template) pairs are verified exactly: the share of the template's
-distinct shingles that the whole document contains must reach ``percent`` / 100.
-
-All is DataFrame expressions; the templates are a bounded parameter, so their bands and
-shingles travel inside the plan. Defined results: null and empty texts, and texts under
-five words, match nothing; templates under five words are refused; repeated documents
-give one row for each template; null ids are kept; extra columns are ignored; an
-empty table gives no rows.
+characters; shingles are five words. A window is ``WINDOW`` consecutive shingles and
+starts at every shingle, so windows share all but one shingle with the next. A window
+has one MinHash value a band; templates are cut into windows alike, and a band value
+that equals one of a template's retrieves the template.
+
+Band settings: a shingle of a template that stands alone in a text (the hardest case, a
+template of one shingle) is the minimum of one of its windows, and so retrieves, with
+probability 2 / (WINDOW + 1) a band: 1/2 for windows of three. All ``BANDS`` bands miss it
+with probability 0.5**20, less than 1e-6; a window that lies whole inside a notice equals a
+window of the template and never misses, so notices of three shingles or more are
+retrieved with certainty.
+
+Retrieved (document, template) pairs are verified exactly, by words: the share of the
+template's distinct shingles that the whole document contains must reach ``percent`` / 100.
+
+All is DataFrame expressions; the templates are a bounded parameter, so their band values
+travel inside the plan. Only retrieved documents are read again, and only shingles that a
+template has are shuffled. Defined results: null and empty texts, and texts under five
+words, match nothing; templates under five words are refused; repeated rows give one row
+for each template, and rows of one id are judged by their texts; null ids are kept; extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.llm.common import materialize, settled, small_side
 from frameloom.llm.decontaminate import words
 
-SHINGLE, WINDOW, BANDS, PERCENT = 5, 2, 16, 80
-
-#: Standard notices of public licenses, by identifier.
+SHINGLE, WINDOW, BANDS, PERCENT = 5, 3, 20, 80
+#: Bands that are computed in one step of generated code, which the JVM compiles only up to a size.
+STEP = 5
+
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_TWO_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+    "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+    "the documentation and/or other materials provided with the distribution."
+)
+
+#: Texts and notices of public licenses, by name.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+        "copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+        "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+        "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-grant": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2.0-notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+    ),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-text": f"{_TWO_CLAUSES} {_DISCLAIMER}",
+    "bsd-3-text": (
+        f"{_TWO_CLAUSES} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        f"permission. {_DISCLAIMER}"
+    ),
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-}
+}
 
 
-def template_shingles(text: str) -> list[str]:
-    """The distinct shingles, words joined by a space."""
+def template_words(text: str) -> list[str]:
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if len(w) < SHINGLE:
         raise ValueError(f"a template needs {SHINGLE} words: {text!r}")
-    return list(dict.fromkeys(" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)))
+    return w
+
 
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
-def template_bands(spark: SparkSession, templates: dict[str, str], bands: int) -> tuple[DataFrame, DataFrame]:
-    """(license, t: its shingle hashes) and (band, value, license), from the templates' shingles hashed as the documents' are."""
-    rows = [(name, s.split(" ")) for name, text in templates.items() for s in template_shingles(text)]
-    hashed = spark.createDataFrame(rows, "license string, w array<string>").select("license", F.xxhash64("w").alias("h"))
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, F.col("h")).alias("value")) for i in range(bands)]))
-    banded = hashed.select("license", values.alias("b")).select("b.band", "b.value", "license").distinct()
-    return hashed.groupBy("license").agg(F.collect_set("h").alias("t")), banded
 
+def _shingle(wh: Column, n: Column, at: Column) -> Column:
+    """Hash of the shingle that starts at word ``at`` (from 0); null if it isn't whole."""
+    return F.when(at + SHINGLE <= n, F.xxhash64(F.slice(wh, at + 1, F.lit(SHINGLE))))
 
-def _band(i: int, *hashes: Column) -> Column:
+
+def _band(i: int, hashes: list[Column]) -> Column:
     """MinHash number i of the shingle hashes that aren't null."""
     mixed = [F.when(h.isNotNull(), F.xxhash64(F.lit(i), h)) for h in hashes]
     return F.least(*mixed) if len(mixed) > 1 else mixed[0]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """doc_id, license, n_shared, n_template of every notice that a document contains."""
-    own, banded = template_bands(docs.sparkSession, templates, bands)
+def _positions(rows: DataFrame, kept: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
+    """``kept``, at and the hash of the shingle there, s0, and of the next ones of its window, for every shingle of the words ``w``."""
+    each = rows.select(*kept, "w", F.size("w").alias("n"), _word_hashes(F.col("w")).alias("wh")).select(*kept, "w", "n", "wh", F.posexplode("wh").alias("at", "_first"))
+    whole = each.where(F.col("at") + SHINGLE <= F.col("n"))
+    return whole.select(*kept, *extra, "at", *[_shingle(F.col("wh"), F.col("n"), F.col("at") + k).alias(f"s{k}") for k in range(WINDOW)])
+
+
+def template_tables(spark: SparkSession, templates: dict[str, str], bands: int) -> tuple[DataFrame, DataFrame]:
+    """(license, h, gram) of the templates' distinct shingles, and (band, value, license) of their windows."""
+    split = spark.createDataFrame([(name, template_words(text)) for name, text in templates.items()], "license string, w array<string>")
+    at = _positions(split, ["license"], (F.array_join(F.slice("w", F.col("at") + 1, F.lit(SHINGLE)), " ").alias("gram"), (F.col("n") - SHINGLE + 1).alias("many")))
+    shingles = at.select("license", F.col("s0").alias("h"), "gram").distinct()
+    # Windows lie whole inside a template, or are all of it.
+    inside = at.where((F.col("at") + WINDOW <= F.col("many")) | (F.col("at") == 0))
+    held = [F.col(f"s{k}") for k in range(WINDOW)]
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, held).alias("value")) for i in range(bands)]))
+    return shingles, inside.select("license", values.alias("b")).select("b.band", "b.value", "license").distinct()
+
+
+def retrieved(docs: DataFrame, banded: DataFrame, bands: int = BANDS) -> DataFrame:
+    """doc_id, row (a hash of the text), license of the templates that a window of the document meets in a band."""
     known: dict[int, list[int]] = {}
     for r in banded.collect():  # the templates, a parameter
         known.setdefault(r["band"], []).append(r["value"])
-    last = F.size("w") - (SHINGLE - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
-    # No filter stands on these arrays, and the generator is an outer one: a filter would be pushed below, and take the split of the text into the lambda.
-    shingled = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", hashes.alias("s"))
-    first = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1, F.lit(WINDOW))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(first, lambda i: F.struct(*[F.get(F.col("s"), i + k).alias(f"h{k}") for k in range(WINDOW)]))
-    each = shingled.select("doc_id", "s", F.inline_outer(windows))
-    held = [F.col(f"h{k}") for k in range(WINDOW)]
-    retrieved = reduce(lambda a, b: a | b, [_band(i, *held).isin(known.get(i, [])) for i in range(bands)])
-    at_bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, *held).alias("value")) for i in range(bands)]))
-    hits = each.where(retrieved).select("doc_id", "s", at_bands.alias("b"))
-    pairs = hits.join(F.broadcast(banded), (F.col("b.band") == banded["band"]) & (F.col("b.value") == banded["value"])).select("doc_id", "license", "s").distinct()
-    shared, size = F.size(F.array_intersect("t", "s")).cast("long"), F.size("t").cast("long")
-    verified = pairs.join(F.broadcast(own), "license").select("doc_id", "license", shared.alias("n_shared"), size.alias("n_template"))
-    return verified.where(F.col("n_shared") * 100 >= F.col("n_template") * percent).distinct()
+    base = settled(docs, ["doc_id"], row=F.xxhash64("text"), w=words(F.col("text")))
+    held = [F.col(f"s{k}") for k in range(WINDOW)]
+    names = ["doc_id", "row", *[f"s{k}" for k in range(WINDOW)]]
+    each = settled(_positions(base, ["doc_id", "row"]).withColumn("met", F.lit(False)), ["doc_id", "row"], **{c: F.col(c) for c in [*names[2:], "met"]})
+    for first in range(0, bands, STEP):
+        step = range(first, min(first + STEP, bands))
+        met = reduce(or_, [_band(i, held).isin(known.get(i, [])) for i in step])
+        each = settled(each, names, met=F.col("met") | met)
+    at_bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, held).alias("value")) for i in range(bands)]))
+    hits = each.where("met").select("doc_id", "row", at_bands.alias("b"))
+    return hits.join(F.broadcast(banded), (F.col("b.band") == banded["band"]) & (F.col("b.value") == banded["value"])).select("doc_id", "row", "license").distinct()
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """doc_id, license, n_shared, n_template of every notice that a document contains."""
+    docs = docs.select("doc_id", "text")
+    shingles, banded = template_tables(docs.sparkSession, templates, bands)
+    shingles, banded = materialize(shingles, "license-shingles"), materialize(banded, "license-bands")
+    size = shingles.groupBy("license").agg(F.count("*").alias("n_template"))
+    pairs = materialize(retrieved(docs, banded, bands), "retrieved").alias("p")
+    rows = materialize(pairs.select(F.col("doc_id").alias("id"), F.col("row").alias("digest")).distinct(), "retrieved-rows")
+    again = docs.join(small_side(rows, rows.count()), docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["digest"]), "left_semi")
+    base = settled(again, ["doc_id"], row=F.xxhash64("text"), w=words(F.col("text")))
+    own = _positions(base, ["doc_id", "row"], (F.array_join(F.slice("w", F.col("at") + 1, F.lit(SHINGLE)), " ").alias("gram"),))
+    held = own.join(F.broadcast(shingles), (own["s0"] == shingles["h"]) & (own["gram"] == shingles["gram"])).select("doc_id", "row", "license", shingles["gram"]).distinct()
+    shared = held.groupBy("doc_id", "row", "license").agg(F.count("*").alias("n_shared")).alias("h")
+    same = F.col("p.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("p.row") == F.col("h.row")) & (F.col("p.license") == F.col("h.license"))
+    verified = shared.join(pairs, same, "left_semi").join(F.broadcast(size), "license")
+    return verified.where(F.col("n_shared") * 100 >= F.col("n_template") * percent).select("doc_id", "license", "n_shared", "n_template").distinct()

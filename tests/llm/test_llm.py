@@ -267,7 +267,7 @@ def test_license_edges(spark, edge, none):
     assert license_scan.scan(edge).count() == 0
     assert license_scan.scan(none).count() == 0
     with pytest.raises(ValueError, match="five|5"):
-        license_scan.template_shingles("too short")
+        license_scan.template_words("too short")
 
 
 def test_search_equals_brute_force(spark):
