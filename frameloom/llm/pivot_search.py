@@ -1,44 +1,63 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors become integers, floor(``scale`` * x). The index keeps for each of them its
-distances to some dozens of pivots, which are chosen far apart from a bounded sample
-(``SAMPLE`` vectors in order of a hash). By the triangle inequality the largest
-difference of two vectors' pivot distances is a lower bound of their distance, hence
+Vectors become integers, floor(``scale`` * x). Pivots are chosen far apart from a bounded
+sample (``SAMPLE`` vectors in order of a hash). A vector's distances to the pivots and its
+length fix its products with them, hence the part of it in the pivots' span and the length
+of the rest; that is how the table keeps them. Two vectors q, x with given distances differ
+at least by the distance of their parts and of their rests' lengths, the largest lower
+bound that the distances allow, at least as good as every triangle inequality; with
     q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2
-has an upper bound. A task evaluates its candidates in order of that bound and stops a
-query when the next bound is below the k-th score so far; ties are evaluated. The
-queries go to the tasks in blocks of at most ``QUERIES``, so what is sent is bounded;
-each task returns k rows a query, and these are merged.
-
-Defined results: vectors that are null, empty or hold null, NaN or infinite
-components take no part, nor do those with a component of 2**17 or more, whose products
-could leave 64 bits; components that a shorter vector lacks count as 0; a query skips
-the rows of its own id; repeated candidate rows rank each, repeated queries answer
-once; null ids take no part; extra columns are ignored; too few candidates give fewer
-rows, an empty table none.
+it is an upper bound of the score: the product of the parts plus that of the rests' lengths.
+A task evaluates its candidates in order of that bound and stops a query when the next bound
+is below the k-th score so far; ties are evaluated.
+
+Queries are a table, cut into blocks of about ``QUERIES``; blocks are broadcast, searched and
+written one after the other, so one block at a time is held. Each task returns k rows a
+query, and these are merged.
+
+Every vector stays. Scores are computed in 64-bit floating point only where the product of
+lengths is below 2**52, so that every partial sum is exact; other vectors, of length 2**26
+or more, are compared by Python integers with all, beside the table.
+
+Defined results: vectors that are null, empty or hold null, NaN or infinite components take
+no part; components that a shorter vector lacks count as 0; scores beyond 64 bits count as
+the largest or smallest long; a query skips the rows of its own id; repeated candidate rows
+rank each; repeated rows ask once, rows of one id with different vectors ask each; null ids
+take no part; extra columns are ignored; too few candidates give fewer rows, an empty table
+none.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import materialize
+from frameloom.llm.common import materialize, scratch_path, small_batches
 
-SCALE, PIVOTS, SAMPLE, QUERIES, CHUNK = 1024, 32, 2048, 2000, 20_000
+SCALE, PIVOTS, SAMPLE, QUERIES, CHUNK = 1024, 48, 2048, 8000, 20_000
+#: Vectors shorter than this have exact products in floating point.
+LENGTH = 2.0**26
+#: Relative error of bounds, from coordinates kept in 32 bits; bounds are raised by it.
+SLACK = 1e-5
+LONG = 2**63 - 1
+#: Queries whose bounds are held at a time.
+TOGETHER = 64
 
 
-def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v: the valid vectors as integers."""
+def valid(vectors: DataFrame) -> DataFrame:
+    """vec_id and x, the vector, of the rows that take part."""
     x = F.col("embedding")
-    valid = F.forall(x, lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float(2**17)))  # NaN is above all numbers
-    return vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & valid).select(F.col("vec_id").cast("long"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
+    return vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
+    """Rows of doubles, short ones filled up with 0."""
+    out = np.zeros((len(column), width))
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
     row = np.repeat(np.arange(len(column)), ends)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
@@ -46,6 +65,18 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def whole_numbers(x: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """floor(scale * x) as doubles, and which rows are short enough for exact products."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        v = np.floor(x * scale)
+        return v, (v * v).sum(1) < LENGTH**2  # infinity and NaN are not
+
+
+def exact(row: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of any finite doubles."""
+    return [math.floor(e * scale) if abs(e) < 2.0**53 else int(e) * scale for e in row.tolist()]
+
+
 def choose_pivots(sample: np.ndarray, many: int) -> np.ndarray:
     """Farthest-first: each pivot is the sample vector farthest from those before."""
     if not len(sample):
@@ -57,71 +88,151 @@ def choose_pivots(sample: np.ndarray, many: int) -> np.ndarray:
     return sample[picked]
 
 
-def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (x @ pivots.T)
-    return np.sqrt(square.astype(float))
+def directions(pivots: np.ndarray) -> np.ndarray:
+    """Orthonormal rows that span the pivots."""
+    out: list[np.ndarray] = []
+    for p in pivots:
+        rest = p.astype(float)
+        for _ in range(2):
+            for d in out:
+                rest = rest - (rest @ d) * d
+        length = np.sqrt(rest @ rest)
+        if length > 1e-6 * max(1.0, np.sqrt(p @ p)):
+            out.append(rest / length)
+    return np.array(out).reshape(len(out), pivots.shape[1])
+
+
+def table_rows(v: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """Of each vector, its coordinates in the pivots' span, the length of the rest, and its length."""
+    part = np.einsum("ij,kj->ik", v, way)
+    square = (v * v).sum(1)
+    rest = np.sqrt(np.maximum(square - (part * part).sum(1), 0))
+    return np.column_stack([part, rest, np.sqrt(square)])
 
 
 def build_index(vectors: DataFrame, scale: int = SCALE, many: int = PIVOTS) -> tuple[DataFrame, int]:
-    """(vec_id, v, far: distances to the pivots), written once, and the vectors' width."""
-    whole = integers(vectors, scale)
-    width = whole.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()["v"].combine_chunks() if width else None
-    pivots = choose_pivots(_matrix(sample, width), many) if width else np.zeros((0, 0), np.int64)
+    """(vec_id, x, far: the pivot table's row, null for long vectors), written once, and the vectors' width."""
+    whole = valid(vectors)
+    width = whole.agg(F.max(F.size("x"))).first()[0] or 0
+    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()["x"].combine_chunks() if width else None
+    way = np.zeros((0, width))
+    if width:
+        v, short = whole_numbers(_matrix(sample, width), scale)
+        way = directions(choose_pivots(v[short], many))
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                far = distances(_matrix(batch.column(1), width), pivots)
-                ends = np.arange(0, far.size + 1, far.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, far.ravel())], names=["vec_id", "v", "far"])
+                v, short = whole_numbers(_matrix(batch.column(1), width), scale)
+                found = table_rows(np.where(short[:, None], v, 0), way).astype(np.float32)
+                ends = np.concatenate([[0], np.cumsum(np.where(short, found.shape[1], 0))]).astype(np.int32)
+                far = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[short].ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), far], names=["vec_id", "x", "far"])
 
-    return materialize(whole.mapInArrow(run, "vec_id long, v array<long>, far array<double>"), "pivot-index"), width
+    kind = whole.schema["x"].dataType.simpleString()
+    return materialize(whole.mapInArrow(run, f"vec_id long, x {kind}, far array<float>"), "pivot-index"), width
 
 
-def eliminate(ids: np.ndarray, x: np.ndarray, far: np.ndarray, query_id: int, q: np.ndarray, q_far: np.ndarray, k: int, best: list[tuple[int, int]], step: int = 64) -> list[tuple[int, int]]:
-    """``best`` (sorted (-score, id), at most k) with the candidates ``x`` taken in."""
-    gap = np.abs(far - q_far).max(1)
-    top = ((q * q).sum() + (x * x).sum(1) - gap * gap) / 2
-    top = np.floor(top + 1e-9 * np.abs(top) + 1.0)  # rounding never lowers a bound
-    order = np.argsort(-top, kind="stable")
+def eliminate(ids: np.ndarray, v: np.ndarray, top: np.ndarray, query_id: int, q: np.ndarray, k: int, best: list[tuple[int, int]], step: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """``best`` (sorted (-score, id), at most k) with the candidates ``v``, of bounds ``top``, taken in; and how many were evaluated."""
+    may = np.flatnonzero(top >= -best[-1][0]) if len(best) == k else np.arange(len(top))
+    order = may[np.argsort(-top[may], kind="stable")]
     at = 0
     while at < len(order) and not (len(best) == k and top[order[at]] < -best[-1][0]):
         part = order[at : at + step]
-        score = x[part] @ q
-        found = [(-int(s), int(i)) for s, i in zip(score, ids[part], strict=True) if i != query_id and (len(best) < k or -s <= best[-1][0])]
-        if found:
-            best = sorted(best + found)[:k]
-        at, step = at + step, min(4 * step, 4096)
-    return best
+        score = np.einsum("ij,j->i", v[part], q)
+        keep = ids[part] != query_id
+        if len(best) == k:
+            keep &= score >= -best[-1][0]
+        if keep.any():
+            best = sorted(best + [(-int(s), int(i)) for s, i in zip(score[keep], ids[part][keep], strict=True)])[:k]
+        at += step
+    return best, min(at, len(order))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, many: int = PIVOTS, block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all other rows for each row where the column ``is_query`` holds."""
+class _Block:
+    """Queries of a block: those short enough for the table, and the others as integers."""
+
+    def __init__(self, rows: pa.Table, width: int, scale: int) -> None:
+        x = _matrix(rows["x"].combine_chunks(), width) if len(rows) else np.zeros((0, width))
+        names, far = rows["vec_id"].to_numpy(), rows["far"].to_pylist()
+        self.v, short = whole_numbers(x, scale)
+        self.names = names
+        self.plain = np.flatnonzero(short)
+        self.far = np.array([far[i] for i in self.plain], float) if len(self.plain) else np.zeros((0, 1))
+        self.long = {int(i): exact(x[i], scale) for i in np.flatnonzero(~short)}
+        self.x, self.scale = x, scale
+
+    def whole(self, i: int) -> list[int]:
+        return self.long.get(i) or exact(self.x[i], self.scale)
+
+
+def _search(block: _Block, width: int, k: int):
+    def clamp(score: int) -> int:
+        return max(-LONG - 1, min(LONG, score))
+
+    def run(batches):
+        best: list[list[tuple[int, int]]] = [[] for _ in block.names]
+        seen = evaluated = 0
+        for batch in batches:
+            for a in range(0, len(batch), CHUNK):
+                piece = batch.slice(a, CHUNK)
+                ids, x = piece.column(0).to_numpy(), _matrix(piece.column(1), width)
+                v, short = whole_numbers(x, block.scale)
+                plain = np.flatnonzero(short)
+                far = np.array(piece.column(2).flatten(), float).reshape(len(plain), -1) if len(plain) else np.zeros((0, 1))
+                for b in range(0, len(block.plain) if len(plain) else 0, TOGETHER):
+                    mine = block.plain[b : b + TOGETHER]
+                    f = block.far[b : b + TOGETHER]
+                    length = np.outer(f[:, -1], far[:, -1])
+                    top = np.floor(f[:, :-1] @ far[:, :-1].T + SLACK * length + 1.0)
+                    for j, i in enumerate(mine):
+                        best[i], n = eliminate(ids[plain], v[plain], top[j], int(block.names[i]), block.v[i], k, best[i])
+                        seen, evaluated = seen + len(plain), evaluated + n
+                others = {int(c): exact(x[c], block.scale) for c in np.flatnonzero(~short)}
+                for i in range(len(block.names)):
+                    rows = others if i not in block.long else {c: others.get(c) or exact(x[c], block.scale) for c in range(len(ids))}
+                    if rows:
+                        q = block.whole(i)
+                        found = [(-clamp(sum(s * t for s, t in zip(q, w, strict=True))), int(ids[c])) for c, w in rows.items() if ids[c] != block.names[i]]
+                        best[i] = sorted(best[i] + found)[:k]
+        rows = [(i, int(block.names[i]), v, -s, seen, evaluated) for i, found in enumerate(best) for s, v in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["asker", "query_id", "vec_id", "score", "seen", "evaluated"])
+
+    return run
+
+
+def answers(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, many: int = PIVOTS, block: int = QUERIES) -> DataFrame:
+    """The tasks' best: part (block), asker, query_id, vec_id, score, and the task's candidates seen and evaluated."""
     index, width = build_index(vectors, scale, many)
-    asked = index.where(is_query).dropDuplicates(["vec_id"])
-    count = asked.count()
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
-    out = spark.createDataFrame([], schema)
-    blocks = -(-count // block)
+    asked = materialize(index.where(is_query).dropDuplicates(["vec_id", "x"]), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    schema = "asker long, query_id long, vec_id long, score long, seen long, evaluated long"
+    folder = scratch_path(spark, "answers")
     for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        sent = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["v"].combine_chunks(), width) if len(part) else np.zeros((0, width), np.int64), np.array(part["far"].to_pylist(), float)))
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "x").toArrow()
+        sent = spark.sparkContext.broadcast(_Block(rows, width, scale))
 
         def run(batches, sent=sent):
-            names, q, q_far = sent.value
-            best: list[list[tuple[int, int]]] = [[] for _ in names]
-            for batch in batches:
-                for a in range(0, len(batch), CHUNK):
-                    piece = batch.slice(a, CHUNK)
-                    ids, x, far = piece.column(0).to_numpy(), _matrix(piece.column(1), width), np.array(piece.column(2).flatten()).reshape(len(piece), -1)
-                    for i in range(len(names)):
-                        best[i] = eliminate(ids, x, far, int(names[i]), q[i], q_far[i], k, best[i])
-            rows = [(int(names[i]), v, -s) for i, found in enumerate(best) for s, v in found]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
-
-        out = out.unionByName(index.mapInArrow(run, schema))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield from _search(sent.value, width, k)(batches)
+
+        with small_batches(spark):
+            index.mapInArrow(run, schema).write.parquet(f"{folder}/part={b}")
+        sent.destroy()
+    return spark.read.schema(f"{schema}, part int").option("basePath", folder).parquet(folder)
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, many: int = PIVOTS, block: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of all other rows for each row where the column ``is_query`` holds."""
+    order = Window.partitionBy("part", "asker").orderBy(F.desc("score"), "vec_id")
+    found = answers(vectors, is_query, k, scale, many, block)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def evaluated_share(vectors: DataFrame, is_query, k: int = 10, many: int = PIVOTS) -> float:
+    """Of all (query, candidate) pairs, the share that elimination left to be evaluated; in blocks of one task each it is that of the tasks that answered."""
+    tasks = answers(vectors, is_query, k, many=many).select("part", "seen", "evaluated").distinct()
+    total = tasks.agg(F.sum("evaluated"), F.sum("seen")).first()
+    return (total[0] or 0) / (total[1] or 1)

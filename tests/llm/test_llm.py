@@ -1,5 +1,6 @@
 import collections
 import gzip
+import math
 import pathlib
 import random
 import re
@@ -274,20 +275,37 @@ def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[50:60] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (500, [float("nan")] * 16), (600, [None] * 16), (700, []), (None, x[1].tolist()), (100, x[100].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = np.floor(1024 * x.astype(float)).astype(np.int64)
+    x[7, 3], x[8, 2], x[200, 5], x[9, 1] = 2.0**17, -(2.0**40), 2.0**30, 2.0**16
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (500, [float("nan")] * 16), (600, [None] * 16), (700, []), (800, [float("inf")]), (None, x[1].tolist()), (100, x[100].tolist()), (201, [3.0e38, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("z") for c in ("x", "far", "query_id", "score", "part")})
+    whole = {i: [math.floor(1024 * e) for e in v.tolist()] for i, v in enumerate(x.astype(float))}
+    whole[201] = [int(float(np.float32(3.0e38))) * 1024, 1024, *[0] * 14]
     got = collections.defaultdict(list)
-    for r in sorted(pivot_search.search(df, F.col("vec_id") % 100 == 0, block=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(pivot_search.search(df, F.col("vec_id") % 100 == 0, many=12, block=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    ids = [*range(300), 100]
+    ids = [*range(300), 100, 201]
+    seen = [(i, whole[i]) for i in range(300)] + [(100, whole[100])] + [(201, whole[201])]
+    seen = [(i, [math.floor(1024 * e) for e in x[201].astype(float).tolist()]) if n == 201 else (i, w) for n, (i, w) in enumerate(seen)]
+    assert len(seen) == len(ids)
     for q in (0, 100, 200):
-        best = sorted((-int(whole[i] @ whole[q]), i) for i in ids if i != q)[:10]
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(w, whole[q], strict=True)))), i) for i, w in seen if i != q)[:10]
         assert got[q] == [(i, -s) for s, i in best]
     assert set(got) == {0, 100, 200}
     assert pivot_search.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_rows_of_one_query_id_ask_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [5.0, 1.0]), (2, [1.0, 5.0])]
+    got = pivot_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 5 * 2**20), (1, 2, 5 * 2**20), (2, 1, 2**20), (2, 2, 2**20)]
+
+
+def test_pivots_eliminate(spark):
+    """Of random directions, the hardest case, most candidates go before they are evaluated once the pivots are three quarters of the width."""
+    share = pivot_search.evaluated_share(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").coalesce(1), F.col("vec_id") % 100 == 0)
+    assert share < 0.4
+
+
 def test_fixity_finds_damage(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(700)] + [(None, None, None), (5, "http://h/again", "x"), (9000, "u", "v")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
