@@ -340,20 +340,20 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """The rows of ``docs`` without near-duplicates: one row of each component stays, of smallest id, null ids last.
 
     Rows are told apart by their id and a 64-bit hash of their text, never by the id alone.
-    Rows without shingles stay; rows equal in id and text stay once.
+    Rows without shingles stay; rows equal in id and text stay once. Columns keep their names, whatever they are.
     """
     seen = _named(docs, words, percent, BLOCK, keyed=True)
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     full = seen.where("n > 0").select("c", row.alias("row"))
     stays = full.groupBy("c").agg(F.min("row").alias("stays"))
     gone = full.join(stays, "c").where("row <> stays").select("row.doc_id", "row.key").distinct()
-    out = materialize(gone, "dropped")
+    out = materialize(gone.toDF("id", "digest"), "dropped")
 
     def same(rows: DataFrame) -> Column:
-        return docs["doc_id"].eqNullSafe(rows["doc_id"]) & (F.xxhash64(docs["text"]) == rows["key"])
+        return docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["digest"])
 
     left = docs.join(small_side(out, out.count()), same(out), "left_anti")
-    twice = materialize(seen.groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "key"), "twice")
+    twice = materialize(seen.groupBy("doc_id", "key").agg(F.count("*").alias("many")).where("many > 1").select("doc_id", "key").toDF("id", "digest"), "twice")
     many = twice.count()
     if not many:
         return left

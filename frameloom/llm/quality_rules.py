@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.llm.common import settled
+
 #: Labelled rows used for fitting at most, taken in order of a hash of the id.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -33,7 +35,7 @@ def statistics(text: Column) -> dict[str, Column]:
     n = F.length(text).cast("double")
     tokens = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.split(text, "\n")
-    many, rows = F.size(tokens).cast("double"), F.size(lines).cast("double")
+    many, rows = F.size(tokens).cast("double"), F.when(n > 0, F.size(lines)).otherwise(0).cast("double")
 
     def share(count: Column, of: Column) -> Column:
         return F.when(of > 0, count / of).otherwise(F.lit(0.0))
@@ -79,11 +81,11 @@ class RuleModel:
             z += w * holds(rule, x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
-        """The score over columns named as ``NAMES``."""
+    def column(self, prefix: str = "s_") -> Column:
+        """The score over columns named as ``NAMES`` after ``prefix``."""
 
         def condition(rule) -> Column:
-            return reduce(lambda a, b: a & b, [(F.col(f"_s_{NAMES[i]}") > t) if above else (F.col(f"_s_{NAMES[i]}") <= t) for i, t, above in rule])
+            return reduce(lambda a, b: a & b, [(F.col(f"{prefix}{NAMES[i]}") > t) if above else (F.col(f"{prefix}{NAMES[i]}") <= t) for i, t, above in rule])
 
         z = F.lit(float(self.intercept))
         for rule, w in zip(self.rules, self.weights, strict=True):
@@ -184,11 +186,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
     return RuleModel(b, tuple(rules[keep[i]] for i in used), tuple(float(w[i]) for i in used))
 
 
-def with_statistics(docs: DataFrame, *kept: Column | str) -> DataFrame:
+def with_statistics(docs: DataFrame, *kept: str, prefix: str = "s_") -> DataFrame:
     """``kept`` columns and the statistics, passed through a generator of one row: a filter on them stays above it and computes none again."""
-    computed = docs.select(*kept, *[c.alias(f"_c_{k}") for k, c in statistics(docs["text"]).items()])
-    row = F.struct(*[F.col(f"_c_{k}").alias(f"_s_{k}") for k in NAMES])
-    return computed.select("*", F.inline_outer(F.array(row))).drop(*[f"_c_{k}" for k in NAMES])
+    return settled(docs, list(kept), **{f"{prefix}{k}": c for k, c in statistics(docs["text"]).items()})
+
+
+def unused(columns: list[str], prefix: str = "s_") -> str:
+    """``prefix`` made longer until no column starts with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,20 +205,22 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """Fit on the first ``sample_rows`` labelled rows, in hash order, that aren't held out."""
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_y in (0, 1)").where(~held_out(F.col("_id")))
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
-    rows = with_statistics(docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")), "_y").toPandas()
-    y = rows.pop("_y").to_numpy(float)
+    marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).where("y in (0, 1)").where(~held_out(F.col("id")))
+    chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
+    texts = docs.select(F.col("doc_id"), "text")
+    rows = with_statistics(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).select("y", "text"), "y").toPandas()
+    y = rows.pop("y").to_numpy(float)
     order = np.lexsort(rows.to_numpy(float).T) if len(rows) else np.arange(0)  # the same model however rows arrive
     return fit_rules(rows.to_numpy(float).reshape(len(y), len(NAMES))[order], y[order])
 
 
 def scored(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
-    return with_statistics(docs, "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    found = with_statistics(docs.select("doc_id", "text"), "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns."""
-    marked = with_statistics(docs, "*")
-    return marked.where(model.column() >= threshold).select(*[docs[c] for c in docs.columns])
+    prefix = unused(docs.columns)
+    return with_statistics(docs, *docs.columns, prefix=prefix).where(model.column(prefix) >= threshold).select(*docs.columns)

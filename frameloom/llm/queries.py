@@ -118,8 +118,8 @@ FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = url_reputation.outcomes_from_labels(table(spark, sf_dir, "labels"))
-    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes)
+    pages = table(spark, sf_dir, "pages")
+    return url_reputation.judge_urls(pages, url_reputation.outcomes_from_labels(pages, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {

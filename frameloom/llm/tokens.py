@@ -3,7 +3,8 @@
 A byte-level BPE file without normalizer encodes the pieces of its fixed split
 pattern one by one. Texts are therefore split first, and each distinct piece is
 encoded once per worker process; the ids are those of encoding the text whole. Files
-of any other kind encode whole texts. Strings of special tokens are ordinary text.
+of any other kind, and texts that hold a token added to the vocabulary, are encoded whole,
+as the library does by default.
 """
 
 from __future__ import annotations
@@ -59,7 +60,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         split = said.get("pre_tokenizer") or {}
@@ -68,6 +68,8 @@ class Encoder:
             and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         )
         self.ids_of = Remembered(self.tokenizer.model)
+        added = [t["content"] for t in said.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,8 +78,14 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         if not self.by_piece:
             return self._plain([t or "" for t in texts])
-        known = self.ids_of.__getitem__
-        return [b"".join(map(known, (BYTE_LEVEL if NOT_LATIN.search(t) else LATIN).findall(t))) if t else b"" for t in texts]
+        known, added = self.ids_of.__getitem__, self.added
+
+        def ids(t: str) -> bytes:
+            if added is not None and added.search(t):
+                return self._plain([t])[0]
+            return b"".join(map(known, (BYTE_LEVEL if NOT_LATIN.search(t) else LATIN).findall(t)))
+
+        return [ids(t) if t else b"" for t in texts]
 
 
 def encoder(path: str) -> Encoder:

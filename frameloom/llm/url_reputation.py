@@ -5,7 +5,10 @@ the longest fitting rule decides. Urls without a rule are judged by the share of
 bad pages expected of their host: labelled outcomes are shrunk with beta-binomial
 priors, from all labels to the public suffix, from the suffix to the registered
 domain and from there to the host. A host is blocked when even the lower bound of
-its posterior bad share exceeds ``max_bad``.
+its posterior bad share, the ``RISK`` quantile of its beta distribution, exceeds ``max_bad``.
+
+Outcomes: a page shows the document whose number is its path's second part, as in
+/en/685.html; the labels of that document are the page's.
 
 Everything is DataFrame expressions. Defined results: a null url, or one without
 ``://``, has empty host and path, no rule and the verdict allow; repeated pages are
@@ -20,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import lower_ascii, materialize
+from frameloom.llm import beta
+from frameloom.llm.common import lower_ascii, materialize, settled
 
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of two labels under which names are registered, unless others are given: common ones, not the whole public list.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx")
 
 #: (verdict, host, path prefix)
@@ -33,8 +37,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MAX_BAD = 0.3
-Z = 1.645
+MAX_BAD, RISK = 0.3, 0.05
 
 
 def url_host(url: Column) -> Column:
@@ -58,12 +61,12 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def public_suffix(host: Column) -> Column:
+def public_suffix(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     """The last two labels if they are a known suffix, else the last one; an address stays whole."""
     last_two = F.substring_index(host, ".", -2)
     return (
         F.when(host.rlike(r"^[0-9.]+(:[0-9]+)?$|^\["), host)
-        .when(last_two.isin(*TWO_LABEL_SUFFIXES), last_two)
+        .when(last_two.isin(*suffixes), last_two)
         .otherwise(F.substring_index(host, ".", -1))
     )
 
@@ -91,13 +94,13 @@ def _shrink(groups: DataFrame, prior: str, known: str, out: str) -> DataFrame:
     return groups.withColumns({f"{out}_a": kappa * m + bad, f"{out}_b": kappa * (1 - m) + n - bad})
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, risk: float = RISK, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per host: host, n_labelled, n_bad, bad_mean, bad_bound.
 
     pages: page_id, host. outcomes: page_id, bad (0 or 1; null rows are left out).
     """
     once = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    suffix = public_suffix(F.col("host"))
+    suffix = public_suffix(F.col("host"), suffixes)
     hosts = (
         pages.where("host <> ''").join(once, "page_id", "left").groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -119,14 +122,15 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     domains = _shrink(up(hosts, "suffix", "domain").join(suffixes.select("suffix", *prior("suffix")), "suffix"), "suffix_mean", "suffix_weight", "domain")
     each = _shrink(hosts.join(domains.select("domain", *prior("domain")), "domain"), "domain_mean", "domain_weight", "host")
     a, b = F.col("host_a"), F.col("host_b")
-    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return each.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (a / (a + b)).alias("bad_mean"), (a / (a + b) - z * deviation).alias("bad_bound"))
+    parts = settled(each, ["host", "n", "bad", "host_a", "host_b"], log_b=beta.log_beta(a, b))
+    bound = settled(parts, ["host", "n", "bad", "host_a", "host_b"], bad_bound=beta.quantile(risk, a, b, F.col("log_b")))
+    return bound.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (a / (a + b)).alias("bad_mean"), "bad_bound")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, risk: float = RISK, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Every row of ``pages`` (page_id, url) with host, path, rule, verdict and the evidence."""
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    known = host_reputation(parsed.select("page_id", "host"), outcomes, z)
+    known = materialize(host_reputation(parsed.select("page_id", "host"), outcomes, risk, suffixes), "host-reputation")
     ruled = parsed.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
     return ruled.join(known, "host", "left").select(
@@ -135,7 +139,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: floa
     )
 
 
-def outcomes_from_labels(labels: DataFrame) -> DataFrame:
-    """A page is bad if it is labelled of low quality or toxic."""
+def outcomes_from_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, bad of the pages whose path names a labelled document: bad if it is of low quality or toxic."""
+    number = F.regexp_extract(url_path(F.col("url")), r"^/[^/]*/([0-9]{1,18})(?![0-9])", 1).try_cast("long")
+    shown = pages.select("page_id", number.alias("doc_id")).where("page_id is not null and doc_id is not null")
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
-    return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    known = labels.select("doc_id", bad.alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad")).where("bad is not null")
+    return shown.join(known, "doc_id").select("page_id", "bad")

@@ -8,10 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from frameloom.llm import components, decontaminate, jaccard_join, license_scan, packing, pivot_search, quality_rules, queries, shingles, token_store, tokens, unigram_counts, url_reputation, warc_fixity
+from frameloom.llm import beta, components, decontaminate, jaccard_join, license_scan, packing, pivot_search, quality_rules, queries, shingles, token_store, tokens, unigram_counts, url_reputation, warc_fixity
 
 SF = "/root/testdata/sf0.001"
 PATH = tokens.public_path()
@@ -28,7 +29,8 @@ def edge(spark):
     base = prose(rng, 400)
     rows = [(1, ""), (2, None), (3, "Hello World"), (3, "Hello World"), (None, "some words without an id"), (4, prose(rng, 30_000)), (5, base), (6, base + " x"), (7, base.upper()), (8, "   \n\t "), (9, "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    extra = {c: F.lit("z") for c in ("n_words", "component_id", "score", "node", "label", "n", "h", "w", "length", "start", "license", "row", "size")}
+    clashing = ("n_words", "component_id", "score", "node", "label", "n", "h", "w", "length", "start", "license", "row", "size", "id", "digest", "key", "y", "hit", "at", "met", "s0", "gram", "head", "_id", "_y", "_out", "_twice", "_bad_id", "_c_n_words", "s_n_words", "_s_n_words", "_key", "_doc", "_class")
+    extra = {c: F.lit("z") for c in clashing}
     return df.withColumns(extra)
 
 
@@ -122,7 +124,7 @@ def test_shingles_are_of_words():
 
 
 def ids_of(text, end):
-    return [*tokens.encoder(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+    return [*tokenizers.Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def test_packing_round_trip(edge):
@@ -172,9 +174,12 @@ def test_token_store_round_trip(spark, edge, tmp_path):
 
 
 def test_encoder_equals_whole_texts():
-    texts = ["a b  c", "x\x1cy \x85z", "日本語 ２３ ½²³", "don't we'll\n\n\n x", "<|endoftext|> hi", "é̀ ſ ž ƀ\r\n\t", None, " "]
-    e = tokens.encoder(PATH)
-    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    """As the library encodes them that nothing was set on, tokens added to the vocabulary too."""
+    texts = ["<|endoftext|>", "x <|endoftext|> hi<|endoftext|>", "a b  c", "x\x1cy \x85z", "日本語 ２３ ½²³", "don't we'll\n\n\n x", "<|endoftext|> hi", "é̀ ſ ž ƀ\r\n\t", None, " "]
+    plain = tokenizers.Tokenizer.from_file(PATH)
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(PATH).encode(texts)]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [50256]
 
 
 def test_unigram_counts_equal_viterbi(edge):
@@ -223,6 +228,52 @@ def test_quality_edges(spark, edge, none):
     assert quality_rules.scored(none, quality_rules.train(none, labels)).count() == 0
 
 
+def test_compiled_rules_score_as_the_model(spark, edge):
+    """The column against the model's own scores of the statistics, and these against counts by hand."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_rules.train(docs, labels)
+    assert model.rules
+    for rows in (docs, edge):
+        stats = quality_rules.with_statistics(rows, "text").toPandas()
+        x = stats[[f"s_{n}" for n in quality_rules.NAMES]].to_numpy(float)
+        want = sorted(round(float(v), 12) for v in model.score(x))
+        assert want == sorted(round(r["score"], 12) for r in quality_rules.scored(rows, model).collect())
+        for text, row in zip(stats["text"], stats.to_dict("records"), strict=True):
+            text = text or ""
+            words, lines = text.split(), text.split("\n")
+            assert (row["s_n_chars"], row["s_n_words"]) == (len(text), len([w for w in re.split(r"[ \t\n\x0B\f\r]+", text) if w]))
+            assert row["s_distinct_lines"] == (len(set(lines)) / len(lines) if text else 0)
+            assert row["s_bangs"] == (text.count("!") / row["s_n_words"] if words and row["s_n_words"] else 0)
+            assert row["s_digits"] == (len(re.findall("[0-9]", text)) / len(text) if text else 0)
+    assert not [v for r in quality_rules.with_statistics(edge.where("coalesce(text, '') = ''"), "doc_id").collect() for k, v in r.asDict().items() if k != "doc_id" and v]
+
+
+def test_many_test_windows_in_passes(spark):
+    """Over 50,000 windows, and more hashes than one pass takes, give what plain search gives."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 110)) for i in range(560)]
+    docs = [(i, prose(rng, 30) + " " + " ".join(items[i][1].split()[10 : 10 + 5 * (i % 4)]) + " " + prose(rng, 10)) for i in range(40)] + [(None, None), (7, items[5][1])]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (900, "a b c")], "item_id long, text string")
+    assert decontaminate.item_windows(t).count() > 50_000
+    windows = collections.defaultdict(set)
+    for i, text in [*items, (900, "a b c")]:
+        w = decontaminate_words(text)
+        for p in range(max(1, len(w) - 9)):
+            windows[tuple(w[p : p + 10])].add(i)
+    want = collections.Counter()
+    for i, text in docs:
+        w, hit, found = decontaminate_words(text or ""), set(), set()
+        for size in (3, 10):
+            for p in range(len(w) - size + 1):
+                if (items_of := windows.get(tuple(w[p : p + size]))) and (size == 10 or len(w[p : p + size]) == 3):
+                    hit |= set(range(p, p + size))
+                    found |= items_of
+        want[i, len(w), len(hit), len(found), len(hit) > 0] += 1
+    for per_pass in (2_000_000, 20_000):
+        got = decontaminate.report(d, t, per_pass=per_pass).collect()
+        assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == want
+
+
 def test_decontamination_edges(spark, edge, none):
     long_text = next(r["text"] for r in edge.collect() if r["doc_id"] == 4).split()
     items = spark.createDataFrame([(1, " ".join(long_text[100:112])), (2, "HELLO, world"), (3, None), (4, ""), (2, "hello world"), (None, "one")], "item_id long, text string")
@@ -356,6 +407,85 @@ def test_url_rules_and_reputation(spark):
     assert (got[1]["host"], got[1]["path"], got[4]["host"]) == ("a.example.org", "/es/1", "")
 
 
+def beta_below(x, a, b, steps=4000):
+    """Distribution function by summing the density in logits."""
+    z = np.linspace(-60, 60, 40 * steps + 1)
+    log_p = a * -np.log1p(np.exp(-z)) + b * -np.log1p(np.exp(z))
+    weight = np.exp(log_p - log_p.max())
+    return weight[z <= np.log(x / (1 - x))].sum() / weight.sum()
+
+
+@pytest.mark.parametrize(("a", "b"), [(0.3, 1.2), (1.0, 1.0), (2.5, 7.0), (40.0, 3.0), (300.0, 900.0), (9000.0, 100.0)])
+def test_beta_quantiles(spark, a, b):
+    row = spark.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    x = row.select(beta.quantile(0.05, F.col("a"), F.col("b"), beta.log_beta(F.col("a"), F.col("b")))).first()[0]
+    assert abs(beta_below(x, a, b) - 0.05) < 2e-3
+    assert math.isclose(row.select(beta.log_gamma(F.col("a"))).first()[0], math.lgamma(a), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_reputation_by_hand(spark):
+    """The shrinkage recomputed in plain Python, and the labels that pages get from their paths."""
+    rng = random.Random(17)
+    pages, bad = [], {}
+    for i in range(600):
+        host = f"h{i % 7}.d{i % 3}.{'co.uk' if i % 2 else 'net'}"
+        pages.append((i, f"http://{host}/en/{1000 + i}{rng.choice(['', '.html', '/', '?x=1'])}"))
+        if i % 5:
+            bad[1000 + i] = int(rng.random() < (0.9 if i % 7 == 0 else 0.1))
+    pages += [(900, "http://only.org/about"), (901, None), (902, "http://h0.d0.net/en/1000x")]
+    labels = [(d, 1 - b, None) for d, b in bad.items()] + [(5000, None, None), (None, 0, 1)]
+    p, y = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    outcomes = {r["page_id"]: r["bad"] for r in url_reputation.outcomes_from_labels(p, y).collect()}
+    assert outcomes == {d - 1000: b for d, b in bad.items()}
+    hosts = collections.defaultdict(lambda: [0, 0])
+    for i, url in pages:
+        if url:
+            h = hosts[url.split("/")[2]]
+            if i in outcomes:
+                h[0] += 1
+                h[1] += outcomes[i]
+
+    def suffix(h):
+        return "co.uk" if h.endswith("co.uk") else h.split(".")[-1]
+
+    def domain(h):
+        return h if h == suffix(h) else ".".join(h.split(".")[-len(suffix(h).split(".")) - 1 :])
+
+    def level(groups, prior):
+        over = sum(n * (k / n - prior[g][0]) ** 2 / (prior[g][0] * (1 - prior[g][0])) - 1 for g, (n, k) in groups.items() if n > 1)
+        pairs, many = sum(n - 1 for n, _ in groups.values() if n > 1), sum(n > 1 for n, _ in groups.values())
+        rho = min(max(over / pairs if many > 1 else 0.5, 1e-3), 0.5)
+        out = {}
+        for g, (n, k) in groups.items():
+            m, known = prior[g]
+            kappa = min((1 - rho) / rho, known)
+            out[g] = (kappa * m + k, kappa * (1 - m) + n - k)
+        return out
+
+    def up(name):
+        out = collections.defaultdict(lambda: [0, 0])
+        for h, (n, k) in hosts.items():
+            out[name(h)][0] += n
+            out[name(h)][1] += k
+        return out
+
+    total, all_bad = sum(n for n, _ in hosts.values()), sum(k for _, k in hosts.values())
+    first = ((all_bad + 1) / (total + 2), total + 2)
+    suffixes = level(up(suffix), {suffix(h): first for h in hosts})
+    mean = {g: (a / (a + b), a + b) for g, (a, b) in suffixes.items()}
+    domains = level(up(domain), {domain(h): mean[suffix(h)] for h in hosts})
+    mean = {g: (a / (a + b), a + b) for g, (a, b) in domains.items()}
+    want = level(hosts, {h: mean[domain(h)] for h in hosts})
+    found = {r["host"]: r for r in url_reputation.judge_urls(p, url_reputation.outcomes_from_labels(p, y), max_bad=0.3).where("host <> ''").collect()}
+    assert set(found) == set(hosts)
+    for h, (a, b) in want.items():
+        assert math.isclose(found[h]["bad_mean"], a / (a + b), rel_tol=1e-9)
+        assert abs(beta_below(found[h]["bad_bound"], a, b) - 0.05) < 3e-3
+        assert found[h]["verdict"] == ("block" if found[h]["bad_bound"] > 0.3 else "allow")
+    assert {found[h]["verdict"] for h in hosts if h.startswith("h0.")} == {"block"}
+    assert {found[h]["verdict"] for h in hosts if not h.startswith("h0.")} == {"allow"}
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns)
@@ -367,6 +497,29 @@ def test_pipeline(spark):
     assert jaccard_join.components(kept, 5, 80).where("doc_id <> component_id").count() == 0
 
 
+def test_pipeline_of_odd_tables(spark, edge, none, tmp_path):
+    """Nulls, repeats, long texts, clashing columns and an empty table go through all stages; a stage's rows keep their columns."""
+    spark.createDataFrame([(5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, edge, str(tmp_path)).columns == edge.columns, stage
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in rows}
+    assert {2, 3, None, 4, 5, 8, 9} <= kept
+    assert 6 not in kept
+    none.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_empty_tables(spark, none, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert token_store.round_trip(spark, none, PATH).count() == 0
+    assert warc_fixity.audit_report(warc_fixity.replica(pages), warc_fixity.replica(pages)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert url_reputation.judge_urls(pages, url_reputation.outcomes_from_labels(pages, labels)).count() == 0
+
+
 def test_empty_documents(none):
     assert jaccard_join.components(none).count() == 0
     assert packing.pack_documents(none, PATH).count() == 0
