@@ -18,9 +18,10 @@ component that links form.
    left when the overlap so far plus what remains on either side can't reach the
    threshold, or when all its sets already are in the walker's component. Links are
    decided on whole sets.
-4. Coarse groups above ``block`` nodes are split: every block meets the first one,
-   then, unless that joined all nodes, all pairs of blocks that hold a node outside the
-   largest component meet. No group is gathered whole and nothing is capped.
+4. Coarse groups above ``block`` nodes are split: every block meets the first one, which
+   joins what is alike. Then the nodes outside the largest component, in chunks, meet
+   every block; links inside that component change nothing. No group is gathered whole
+   and nothing is capped.
 
 Defined results: a null or empty text, or one without words, has no shingles and links
 with nothing; fewer words than the shingle size make one shingle; repeated rows are
@@ -36,6 +37,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +50,13 @@ WORDS, PERCENT = 4, 85
 #: Nodes of a coarse group that one task takes.
 BLOCK = 300
 #: Prefix shingles that one bucket holds, about.
-BUCKET = 1_000_000
+BUCKET = 400_000
 #: Prefix shingles that are packed together before they are dealt out.
 PACK = 500_000
+#: Place of common shingles in the order of rarity.
+COMMON = 2**40
+#: Rows of a component from which on it is joined by broadcast.
+HOT = 1000
 
 
 def prefix_share(n, percent: int):
@@ -78,68 +84,105 @@ def node_table(docs: DataFrame, words: int, percent: int, keyed: bool = False) -
     return docs.select(F.col("doc_id").cast("long"), "text", *key).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _pack(words: int, percent: int, bits: int):
-    """Deal the extended prefixes of all texts to 2**bits buckets by their leading bits."""
+PACKED = "bucket long, pack long, low binary, owner binary, nodes binary, sizes binary, common binary"
 
-    def flush(hashes, nodes, sizes):
+
+def _six(h: np.ndarray) -> bytes:
+    """The low six bytes of each hash; the bucket says the rest, or more."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(part), 8), np.uint8)
+    wide[:, :6] = part
+    return wide.reshape(-1).view(np.uint64)
+
+
+def _narrow(local: np.ndarray, many: int) -> bytes:
+    return local.astype(np.uint32 if many > 65_536 else np.uint16).tobytes()
+
+
+def _pack(words: int, percent: int, bits: int, often: int):
+    """Deal the extended prefixes of all texts to 2**bits buckets by their leading bits.
+
+    Shingles of ``often`` nodes or more of a pack go to a bucket of their own, -1, with the whole hash, and are named as common in theirs.
+    """
+
+    def flush(pack: int, hashes, nodes, sizes):
         h, count = np.concatenate(hashes), np.array([len(x) for x in hashes])
         owner = np.repeat(np.arange(len(count), dtype=np.uint32), count)
-        home = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-        order = np.argsort(home, kind="stable")
-        h, owner, home = h[order], owner[order], home[order]
         names, lengths = np.array(nodes, np.int64), np.array(sizes, np.uint32)
-        cuts = np.flatnonzero(np.diff(home)) + 1
-        out: dict[str, list] = {"bucket": [], "low": [], "owner": [], "nodes": [], "sizes": []}
-        for a, b in zip([0, *cuts], [*cuts, len(h)], strict=True):
-            used, local = np.unique(owner[a:b], return_inverse=True)
-            low = np.ascontiguousarray(h[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-            out["bucket"].append(int(home[a]))
-            out["low"].append(low.tobytes())
-            out["owner"].append(local.astype(np.uint32 if len(used) > 65_536 else np.uint16).tobytes())
-            out["nodes"].append(names[used].tobytes())
-            out["sizes"].append(lengths[used].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("low", "owner", "nodes", "sizes")]], names=list(out))
+        distinct, back, many = np.unique(h, return_inverse=True, return_counts=True)
+        hot = many >= often
+        common, on = distinct[hot], hot[back]
+        out: dict[str, list] = {c.split()[0]: [] for c in PACKED.split(", ")}
+
+        def add(bucket: int, number: int, low: bytes, owner: np.ndarray, shared: bytes) -> None:
+            used, local = np.unique(owner, return_inverse=True)
+            for column, value in zip(out.values(), (bucket, number, low, _narrow(local, len(used)), names[used].tobytes(), lengths[used].tobytes(), shared), strict=True):
+                column.append(value)
+
+        if len(common):
+            add(-1, pack, h[on].tobytes(), owner[on], b"")
+        h, owner = h[~on], owner[~on]
+
+        def home(x: np.ndarray) -> np.ndarray:
+            return (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+
+        place, shared = home(h), home(common)
+        order = np.argsort(place, kind="stable")
+        h, owner, place = h[order], owner[order], place[order]
+        for bucket in np.union1d(place, shared):
+            a, b = np.searchsorted(place, bucket, "left"), np.searchsorted(place, bucket, "right")
+            add(int(bucket), 0, _six(h[a:b]), owner[a:b], _six(common[shared == bucket]))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def run(batches):
         forget()
-        hashes, nodes, sizes, total = [], [], [], 0
+        task = TaskContext.get().partitionId()
+        seen, hashes, nodes, sizes, total, packs = set(), [], [], [], 0, 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = shingles(text, words)
-                if not len(found):
+                if not len(found) or (node := _node(found)) in seen:  # copies within a pack count once
                     continue
+                seen.add(node)
                 hashes.append(found[: 2 * prefix_share(len(found), percent) - 1])
-                nodes.append(_node(found))
+                nodes.append(node)
                 sizes.append(len(found))
                 total += len(hashes[-1])
                 if total >= PACK:
-                    yield flush(hashes, nodes, sizes)
-                    hashes, nodes, sizes, total = [], [], [], 0
+                    yield flush(task << 32 | packs, hashes, nodes, sizes)
+                    seen, hashes, nodes, sizes, total, packs = set(), [], [], [], 0, packs + 1
         if hashes:
-            yield flush(hashes, nodes, sizes)
+            yield flush(task << 32 | packs, hashes, nodes, sizes)
 
     return run
 
 
 def _shared(bits: int):
-    """Of one bucket: the prefix shingles that at least two nodes have, with the number of those nodes."""
+    """Of one bucket: the prefix shingles that at least two nodes have, with the number of those nodes, or ``COMMON``."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         give_back()
+        apart = int(key[0]) < 0
         hs, nodes, sizes = [], [], []
         for low, owner, names, lengths in zip(pdf["low"], pdf["owner"], pdf["nodes"], pdf["sizes"], strict=True):
             names, lengths = np.frombuffer(names, np.int64), np.frombuffer(lengths, np.uint32)
             local = np.frombuffer(owner, np.uint32 if len(names) > 65_536 else np.uint16)
-            wide = np.zeros((len(local), 8), np.uint8)
-            wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-            hs.append(wide.reshape(-1).view(np.uint64))
+            hs.append(np.frombuffer(low, np.uint64) if apart else _from_six(low))
             nodes.append(names[local])
             sizes.append(lengths[local])
         h, node, n = np.concatenate(hs), np.concatenate(nodes), np.concatenate(sizes)
+        if apart:
+            return pd.DataFrame({"node": node, "n": n.astype(np.int64), "h": h.view(np.int64), "df": np.full(len(h), COMMON)})
+        common = np.unique(np.concatenate([_from_six(c) for c in pdf["common"]]))
         order = np.argsort(h)
         h, node, n = h[order], node[order], n[order]
         same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-        often = same[1:] | same[:-1]
+        often = (same[1:] | same[:-1]) | np.isin(h, common)
         h, node, n = h[often], node[often], n[often]
         order = np.lexsort((node, h))
         h, node, n = h[order], node[order], n[order]
@@ -147,7 +190,7 @@ def _shared(bits: int):
         first[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
         h, node, n = h[first], node[first], n[first]
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        df = count[back]
+        df = np.where(np.isin(h, common), COMMON, count[back])
         on = df > 1
         whole = (np.uint64(int(key[0])) << np.uint64(64 - bits) if bits else np.uint64(0)) | h[on]
         return pd.DataFrame({"node": node[on], "n": n[on].astype(np.int64), "h": whole.view(np.int64), "df": df[on].astype(np.int64)})
@@ -262,15 +305,19 @@ def _join_group(percent: int, labelled: bool):
     return run
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, keys: the nodes that may have partners, each with shingles of which any partner has one."""
+def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, often: int | None = None) -> DataFrame:
+    """node, keys: the nodes that may have partners, each with shingles of which any partner has one.
+
+    A shingle is common where a pack has it ``often``: so often that rarer ones can't fill a bucket from all packs.
+    """
     total = nodes.agg(F.sum("kept")).first()[0] or 0
     bits = max(4, (max(1, total // BUCKET) - 1).bit_length())
-    packs = docs.select("text").mapInArrow(_pack(words, percent, bits), "bucket long, low binary, owner binary, nodes binary, sizes binary")
-    shared = packs.groupBy("bucket").applyInPandas(_shared(bits), "node long, n long, h long, df long")
+    often = often or max(2, BUCKET // max(1, total // PACK))
+    packs = docs.select("text").mapInArrow(_pack(words, percent, bits, often), PACKED)
+    shared = packs.groupBy("bucket", "pack").applyInPandas(_shared(bits), "node long, n long, h long, df long")
     least = F.expr(f"({percent}L * n + 99) div 100")  # the smallest partner
     need = least - F.expr(f"({percent}L * (({percent}L * n + 99) div 100) + 99) div 100") + 1
-    found = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("have")).withColumn("need", need.cast("int"))
+    found = shared.groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("have")).withColumn("need", need.cast("int"))
     return found.where("size(have) >= need").select("node", F.expr("transform(slice(have, 1, size(have) - need + 1), x -> x.h)").alias("keys"))
 
 
@@ -308,12 +355,15 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: in
     label = large.select("node", "group", "mine", "blocks").distinct().join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     label = materialize(label, "labels")
     top = label.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
-    rest = label.join(top, "group").where("label <> top").select("group", "mine", "blocks").distinct()
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = rest.select("group", "mine", other.alias("with")).where("mine <> with").select("group", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j")).distinct()
-    tasks = pairs.select("group", "i", "j", F.explode(F.array("i", "j")).alias("mine"))
-    again = large.select("node", "group", "mine", "grams").join(label.select("node", "label"), "node").join(tasks, ["group", "mine"])
-    return found.unionByName(again.groupBy("group", "i", "j").applyInPandas(_join_group(percent, True), "a long, b long"))
+    outside = label.join(top, "group").where("label <> top")
+    chunked = outside.groupBy("group").agg(F.ceil(F.count("*") / block).alias("chunks"))
+    rest = materialize(outside.join(chunked, "group").select("node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "outside")
+    if rest.isEmpty():
+        return found
+    sets = large.join(label.select("node", "label"), "node")
+    lone = sets.join(rest, "node").select("node", "group", "label", "grams", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    every = sets.join(chunked, "group").select("node", "group", "label", "grams", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("mine").alias("block"))
+    return found.unionByName(lone.unionByName(every).groupBy("group", "chunk", "block").applyInPandas(_join_group(percent, True), "a long, b long"))
 
 
 def _named(docs: DataFrame, words: int, percent: int, block: int, keyed: bool = False) -> DataFrame:
@@ -327,13 +377,22 @@ def _named(docs: DataFrame, words: int, percent: int, block: int, keyed: bool =
     return materialize(named.select("doc_id", "n", "c", *(["key"] if keyed else [])), "named")
 
 
+def _grouped(rows: DataFrame, *found: Column) -> DataFrame:
+    """``rows`` with aggregates of their component ``c``. Components of ``HOT`` rows or more, of which there are few, are joined by broadcast; no task gets all rows of one."""
+    each = materialize(rows.groupBy("c").agg(*found, F.count("*").alias("members")), "components")
+    names = [c for c in each.columns if c not in ("c", "members")]
+    hot = each.where(F.col("members") >= HOT).drop("members")
+    marked = rows.join(small_side(hot.withColumn("hot", F.lit(True)), hot.count()), "c", "left")
+    rest = marked.where("hot is null").drop("hot", *names).join(each.where(F.col("members") < HOT).drop("members"), "c")
+    return marked.where("hot").drop("hot").select(*rest.columns).unionByName(rest)
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     named = _named(docs, words, percent, block)
     empty = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = named.where("n > 0")
-    first = full.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return full.join(first, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    full = _grouped(named.where("n > 0"), F.min("doc_id").alias("component_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
 def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -345,8 +404,7 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     seen = _named(docs, words, percent, BLOCK, keyed=True)
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     full = seen.where("n > 0").select("c", row.alias("row"))
-    stays = full.groupBy("c").agg(F.min("row").alias("stays"))
-    gone = full.join(stays, "c").where("row <> stays").select("row.doc_id", "row.key").distinct()
+    gone = _grouped(full, F.min("row").alias("stays")).where("row <> stays").select("row.doc_id", "row.key").distinct()
     out = materialize(gone.toDF("id", "digest"), "dropped")
 
     def same(rows: DataFrame) -> Column:
