@@ -18,10 +18,12 @@ component that links form.
    left when the overlap so far plus what remains on either side can't reach the
    threshold, or when all its sets already are in the walker's component. Links are
    decided on whole sets.
-4. Coarse groups above ``block`` nodes are split: every block meets the first one, which
-   joins what is alike. Then the nodes outside the largest component, in chunks, meet
-   every block; links inside that component change nothing. No group is gathered whole
-   and nothing is capped.
+4. Coarse groups above ``block`` nodes get the prefix filter once more, on whole sets and
+   in their own order of rarity; nodes that share a passage and little else part there.
+   What is still larger is split: every block meets the first one, which joins what is
+   alike, then the nodes outside the largest component meet each other and those inside;
+   links inside that component change nothing. No group is gathered whole and nothing
+   is capped.
 
 Defined results: a null or empty text, or one without words, has no shingles and links
 with nothing; fewer words than the shingle size make one shingle; repeated rows are
@@ -68,9 +70,9 @@ def _node(found: np.ndarray) -> int:
     return int.from_bytes(digest(found)[:8], "little", signed=True)
 
 
-def node_table(docs: DataFrame, words: int, percent: int, keyed: bool = False) -> DataFrame:
-    """doc_id, n (shingles), node (name of the set), kept (length of its extended prefix); if ``keyed`` also key, a hash of the text."""
-    names = ["doc_id", "n", "node", "kept", *(["key"] if keyed else [])]
+def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n (shingles), node (name of the set), kept (length of its extended prefix), key (a hash of the text)."""
+    names = ["doc_id", "n", "node", "kept", "key"]
 
     def run(batches):
         forget()
@@ -80,8 +82,7 @@ def node_table(docs: DataFrame, words: int, percent: int, keyed: bool = False) -
             kept = [min(k, 2 * prefix_share(k, percent) - 1) if k else 0 for k in n]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(kept, pa.int64()), *batch.columns[2:]], names=names)
 
-    key = [F.xxhash64("text").alias("key")] if keyed else []
-    return docs.select(F.col("doc_id").cast("long"), "text", *key).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 PACKED = "bucket long, pack long, low binary, owner binary, nodes binary, sizes binary, common binary"
@@ -310,7 +311,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, ofte
 
     A shingle is common where a pack has it ``often``: so often that rarer ones can't fill a bucket from all packs.
     """
-    total = nodes.agg(F.sum("kept")).first()[0] or 0
+    total = nodes.agg(F.sum(F.col("kept") * F.col("members"))).first()[0] or 0
     bits = max(4, (max(1, total // BUCKET) - 1).bit_length())
     often = often or max(2, BUCKET // max(1, total // PACK))
     packs = docs.select("text").mapInArrow(_pack(words, percent, bits, often), PACKED)
@@ -324,26 +325,58 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, ofte
 def _grams(words: int):
     def run(batches):
         forget()
+        seen: set[int] = set()  # repeated rows of one id and text give their set once a task
         for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
-            mine = [i for i, (s, node) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if _node(s) == node]
+            mine = []
+            for i, (s, node) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)):
+                if node not in seen and _node(s) == node:
+                    seen.add(node)
+                    mine.append(i)
             take = pa.array(mine, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array([sets[i].tobytes() for i in mine], pa.binary())], names=["node", "label", "size", "grams"])
 
     return run
 
 
+def _members(batches):
+    """Sets as arrays of longs."""
+    for batch in slices(batches):
+        grams = [np.frombuffer(g, np.int64) for g in batch.column(3).to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
+        held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["node", "label", "hs"])
+
+
+def refined(sets: DataFrame, percent: int) -> DataFrame:
+    """node, label, size of finer groups of large coarse ones: the prefix filter once more, on whole sets in their group's own order of rarity; nodes without partners drop out."""
+    each = sets.mapInArrow(_members, "node long, label long, hs array<long>").select("node", "label", F.size("hs").cast("long").alias("n"), F.explode("hs").alias("h"))
+    often = each.groupBy("label", "h").agg(F.count("*").alias("df")).where("df > 1")
+    have = each.join(often, ["label", "h"]).groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("have"))
+    left = F.expr(f"cast(n - ({percent}L * n + 99) div 100 + 1 - (n - size(have)) as int)")  # of the prefix, what is shared
+    keyed = materialize(have.withColumn("left", left).where("left > 0").select("node", "label", F.expr("transform(slice(have, 1, left), x -> x.h)").alias("keys")), "refined")
+    at = keyed.select("node", "label", F.explode("keys").alias("h"))
+    meet = at.groupBy("label", "h").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("label", "h", "b")
+    finer = connected_components(at.join(meet, ["label", "h"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    return materialize(finer.join(finer.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size"), "finer")
+
+
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): nodes that the threshold links, enough of them to join every component."""
+    """(a, b): nodes that the threshold links, enough of them to join every component. nodes: node, one (id and text hash of a document that has the set), members."""
     may = materialize(candidates(docs, nodes, words, percent), "candidates")
     keyed = may.select("node", F.explode("keys").alias("h"))
     meet = keyed.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("h", "b")
     coarse = connected_components(keyed.join(meet, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     coarse = coarse.join(coarse.groupBy("label").agg(F.count("*").alias("size")), "label")
-    one = nodes.join(coarse, "node").groupBy("node", "label", "size").agg(F.min("doc_id").alias("_id"))
-    one = materialize(one, "coarse")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(small_side(one, one.count()), F.col("_doc").eqNullSafe(F.col("_id")))
+    one = materialize(nodes.join(coarse, "node").select("node", "label", "size", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key")), "coarse")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    texts = given.join(small_side(one, one.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key")))
     sets = materialize(texts.select("text", "node", "label", "size").mapInArrow(_grams(words), "node long, label long, size long, grams binary"), "sets")
+    coarse = sets.where(F.col("size") > block).dropDuplicates(["node"])
+    if not coarse.isEmpty():
+        finer = refined(coarse.select("node", "label", "size", "grams"), percent)
+        again = coarse.select("node", "grams").join(finer, "node").select("node", "label", "size", "grams")
+        sets = materialize(sets.where(F.col("size") <= block).unionByName(again), "finer-sets")
     blocks = F.ceil(F.col("size") / block)
     mine = F.pmod(F.xxhash64("node"), blocks)
     dealt = sets.withColumn("part", F.explode(F.when(blocks < 2, F.array(F.lit(0).cast("long"))).when(mine > 0, F.array(mine)).otherwise(F.sequence(F.lit(1).cast("long"), blocks - 1))))
@@ -355,36 +388,46 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: in
     label = large.select("node", "group", "mine", "blocks").distinct().join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     label = materialize(label, "labels")
     top = label.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
-    outside = label.join(top, "group").where("label <> top")
-    chunked = outside.groupBy("group").agg(F.ceil(F.count("*") / block).alias("chunks"))
-    rest = materialize(outside.join(chunked, "group").select("node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "outside")
-    if rest.isEmpty():
+    apart = label.join(top, "group").withColumn("outside", F.col("label") != F.col("top"))
+    count = apart.groupBy("group").agg(F.ceil(F.count_if("outside") / block).alias("chunks"), F.ceil(F.count_if(~F.col("outside")) / block).alias("inner")).where("chunks > 0")
+    at = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(F.col("chunks") + F.pmod(F.xxhash64("node"), F.col("inner")))
+    placed = materialize(apart.join(count, "group").select("node", "group", "label", "chunks", (F.col("chunks") + F.col("inner")).alias("parts"), at.alias("at")), "placed")
+    if placed.isEmpty():
         return found
-    sets = large.join(label.select("node", "label"), "node")
-    lone = sets.join(rest, "node").select("node", "group", "label", "grams", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    every = sets.join(chunked, "group").select("node", "group", "label", "grams", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("mine").alias("block"))
-    return found.unionByName(lone.unionByName(every).groupBy("group", "chunk", "block").applyInPandas(_join_group(percent, True), "a long, b long"))
+    # Parts of nodes outside come first; each meets itself with every later part.
+    first = F.sequence(F.lit(0).cast("long"), F.least("at", F.col("chunks") - 1))
+    as_second = F.transform(F.filter(first, lambda i: i < F.col("at")), lambda i: F.struct(i.alias("i"), F.col("at").alias("j")))
+    as_first = F.transform(F.when((F.col("at") < F.col("chunks")) & (F.col("at") + 1 < F.col("parts")), F.sequence(F.col("at") + 1, F.col("parts") - 1)).otherwise(F.array().cast("array<long>")), lambda j: F.struct(F.col("at").alias("i"), j.alias("j")))
+    alone = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))
+    tasks = placed.select("node", "group", "label", F.inline(F.coalesce(alone, F.concat(as_second, as_first))))
+    again = large.select("node", "grams").join(tasks, "node")
+    return found.unionByName(again.groupBy("group", "i", "j").applyInPandas(_join_group(percent, True), "a long, b long"))
+
+
+def _spread(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``each`` (key, members: rows of the key, ...). Keys of ``HOT`` rows or more, of which there are few, are joined by broadcast; no task gets all rows of one."""
+    names = [c for c in each.columns if c not in (key, "members")]
+    hot = each.where(F.col("members") >= HOT).drop("members")
+    marked = rows.join(small_side(hot.withColumn("hot", F.lit(True)), hot.count()), key, "left")
+    rest = marked.where("hot is null").drop("hot", *names).join(each.where(F.col("members") < HOT).drop("members"), key)
+    return marked.where("hot").select(*rest.columns).unionByName(rest)
 
 
-def _named(docs: DataFrame, words: int, percent: int, block: int, keyed: bool = False) -> DataFrame:
-    """doc_id, n, c (name of the component) and, if ``keyed``, key of every row of ``docs``."""
+def _named(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """doc_id, n, c (name of the component) and key (a hash of the text) of every row of ``docs``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     docs = docs.select("doc_id", "text")
-    nodes = materialize(node_table(docs, words, percent, keyed), "nodes")
+    rows = materialize(node_table(docs, words, percent), "rows")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.count("*").alias("members"), F.max("kept").alias("kept")), "nodes")
     label = connected_components(links(docs, nodes, words, percent, block))
-    named = nodes.join(label.select("node", "label"), "node", "left").withColumn("c", F.coalesce("label", "node"))
-    return materialize(named.select("doc_id", "n", "c", *(["key"] if keyed else [])), "named")
+    each = nodes.join(label.select("node", "label"), "node", "left").select("node", "members", F.coalesce("label", "node").alias("c"))
+    return materialize(_spread(rows, "node", materialize(each, "labels")).select("doc_id", "n", "c", "key"), "named")
 
 
 def _grouped(rows: DataFrame, *found: Column) -> DataFrame:
-    """``rows`` with aggregates of their component ``c``. Components of ``HOT`` rows or more, of which there are few, are joined by broadcast; no task gets all rows of one."""
-    each = materialize(rows.groupBy("c").agg(*found, F.count("*").alias("members")), "components")
-    names = [c for c in each.columns if c not in ("c", "members")]
-    hot = each.where(F.col("members") >= HOT).drop("members")
-    marked = rows.join(small_side(hot.withColumn("hot", F.lit(True)), hot.count()), "c", "left")
-    rest = marked.where("hot is null").drop("hot", *names).join(each.where(F.col("members") < HOT).drop("members"), "c")
-    return marked.where("hot").drop("hot").select(*rest.columns).unionByName(rest)
+    """``rows`` with aggregates of their component ``c``."""
+    return _spread(rows, "c", materialize(rows.groupBy("c").agg(*found, F.count("*").alias("members")), "components"))
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -401,7 +444,7 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     Rows are told apart by their id and a 64-bit hash of their text, never by the id alone.
     Rows without shingles stay; rows equal in id and text stay once. Columns keep their names, whatever they are.
     """
-    seen = _named(docs, words, percent, BLOCK, keyed=True)
+    seen = _named(docs, words, percent, BLOCK)
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     full = seen.where("n > 0").select("c", row.alias("row"))
     gone = _grouped(full, F.min("row").alias("stays")).where("row <> stays").select("row.doc_id", "row.key").distinct()

@@ -104,7 +104,7 @@ def test_frequent_shingles_lose_no_link(spark, monkeypatch):
         rows.append((i, " ".join([*own, line] if i % 3 else own), own))
     rows = [(i, t) for i, t, _ in rows] + [(200 + i, rows[0][1]) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    nodes = jaccard_join.node_table(df, 4, 85)
+    nodes = jaccard_join.node_table(df, 4, 85).withColumn("members", F.lit(1))
     assert jaccard_join.candidates(df, nodes, 4, 85, often=2).count() >= jaccard_join.candidates(df, nodes, 4, 85, often=10**9).count() > 0
     for block in (1000, 5):
         assert collections.Counter(map(tuple, jaccard_join.components(df, block=block).collect())) == brute_components(rows, 4, 85)
