@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import give_back, materialize, slices, small_side
 from frameloom.llm.components import Forest, connected_components
-from frameloom.llm.shingles import digest, shingles
+from frameloom.llm.shingles import digest, mix, shingles
 from frameloom.llm.tokens import forget
 
 WORDS, PERCENT = 4, 85
@@ -104,8 +104,27 @@ def _narrow(local: np.ndarray, many: int) -> bytes:
     return local.astype(np.uint32 if many > 65_536 else np.uint16).tobytes()
 
 
-def _pack(words: int, percent: int, bits: int, often: int):
-    """Deal the extended prefixes of all texts to 2**bits buckets by their leading bits.
+def _of_texts(words: int, percent: int):
+    """Of texts: node, size and the extended prefix of each."""
+
+    def entries(batch):
+        for text in batch.column(0).to_pylist():
+            found = shingles(text, words)
+            if len(found):
+                yield _node(found), len(found), found[: 2 * prefix_share(len(found), percent) - 1]
+
+    return entries
+
+
+def _of_sets(batch):
+    """Of (node, label, grams): node, size and the whole set, hashed with the label, so that only sets of one group meet."""
+    for node, label, grams in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+        found = np.frombuffer(grams, np.uint64)
+        yield node, len(found), mix(found ^ mix(np.array([label], np.int64).view(np.uint64)))
+
+
+def _pack(entries, bits: int, often: int):
+    """Deal hashes to 2**bits buckets by their leading bits.
 
     Shingles of ``often`` nodes or more of a pack go to a bucket of their own, -1, with the whole hash, and are named as common in theirs.
     """
@@ -145,15 +164,14 @@ def _pack(words: int, percent: int, bits: int, often: int):
         task = TaskContext.get().partitionId()
         seen, hashes, nodes, sizes, total, packs = set(), [], [], [], 0, 0
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, words)
-                if not len(found) or (node := _node(found)) in seen:  # copies within a pack count once
+            for node, size, found in entries(batch):
+                if node in seen:  # copies within a pack count once
                     continue
                 seen.add(node)
-                hashes.append(found[: 2 * prefix_share(len(found), percent) - 1])
+                hashes.append(found)
                 nodes.append(node)
-                sizes.append(len(found))
-                total += len(hashes[-1])
+                sizes.append(size)
+                total += len(found)
                 if total >= PACK:
                     yield flush(task << 32 | packs, hashes, nodes, sizes)
                     seen, hashes, nodes, sizes, total, packs = set(), [], [], [], 0, packs + 1
@@ -306,22 +324,27 @@ def _join_group(percent: int, labelled: bool):
     return run
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, often: int | None = None) -> DataFrame:
-    """node, keys: the nodes that may have partners, each with shingles of which any partner has one.
+def _keys(rows: DataFrame, entries, total: int, need: Column, often: int | None = None) -> DataFrame:
+    """node, keys of the nodes that share at least ``need`` of their hashes: in order of rarity, as many as leave ``need`` - 1.
 
-    A shingle is common where a pack has it ``often``: so often that rarer ones can't fill a bucket from all packs.
+    A hash is common where a pack has it ``often``: so often that rarer ones can't fill a bucket from all packs.
     """
-    total = nodes.agg(F.sum(F.col("kept") * F.col("members"))).first()[0] or 0
     bits = max(4, (max(1, total // BUCKET) - 1).bit_length())
     often = often or max(2, BUCKET // max(1, total // PACK))
-    packs = docs.select("text").mapInArrow(_pack(words, percent, bits, often), PACKED)
+    packs = rows.mapInArrow(_pack(entries, bits, often), PACKED)
     shared = packs.groupBy("bucket", "pack").applyInPandas(_shared(bits), "node long, n long, h long, df long")
-    least = F.expr(f"({percent}L * n + 99) div 100")  # the smallest partner
-    need = least - F.expr(f"({percent}L * (({percent}L * n + 99) div 100) + 99) div 100") + 1
     found = shared.groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("have")).withColumn("need", need.cast("int"))
     return found.where("size(have) >= need").select("node", F.expr("transform(slice(have, 1, size(have) - need + 1), x -> x.h)").alias("keys"))
 
 
+def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, often: int | None = None) -> DataFrame:
+    """node, keys: the nodes that may have partners, each with shingles of which any partner has one."""
+    total = nodes.agg(F.sum(F.col("kept") * F.col("members"))).first()[0] or 0
+    least = F.expr(f"({percent}L * n + 99) div 100")  # the smallest partner
+    need = least - F.expr(f"({percent}L * (({percent}L * n + 99) div 100) + 99) div 100") + 1
+    return _keys(docs.select("text"), _of_texts(words, percent), total, need, often)
+
+
 def _grams(words: int):
     def run(batches):
         forget()
@@ -339,26 +362,17 @@ def _grams(words: int):
     return run
 
 
-def _members(batches):
-    """Sets as arrays of longs."""
-    for batch in slices(batches):
-        grams = [np.frombuffer(g, np.int64) for g in batch.column(3).to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-        held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["node", "label", "hs"])
-
-
 def refined(sets: DataFrame, percent: int) -> DataFrame:
-    """node, label, size of finer groups of large coarse ones: the prefix filter once more, on whole sets in their group's own order of rarity; nodes without partners drop out."""
-    each = sets.mapInArrow(_members, "node long, label long, hs array<long>").select("node", "label", F.size("hs").cast("long").alias("n"), F.explode("hs").alias("h"))
-    often = each.groupBy("label", "h").agg(F.count("*").alias("df")).where("df > 1")
-    have = each.join(often, ["label", "h"]).groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("have"))
-    left = F.expr(f"cast(n - ({percent}L * n + 99) div 100 + 1 - (n - size(have)) as int)")  # of the prefix, what is shared
-    keyed = materialize(have.withColumn("left", left).where("left > 0").select("node", "label", F.expr("transform(slice(have, 1, left), x -> x.h)").alias("keys")), "refined")
-    at = keyed.select("node", "label", F.explode("keys").alias("h"))
-    meet = at.groupBy("label", "h").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("label", "h", "b")
-    finer = connected_components(at.join(meet, ["label", "h"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    return materialize(finer.join(finer.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size"), "finer")
+    """node, label, size, grams of large coarse groups (node, label, size, grams) in finer ones: the prefix filter once more, on whole sets and in their group's own order of rarity.
+
+    Nodes without partners drop out. Nodes and the keys that they have are one graph, whose components are the groups.
+    """
+    total = sets.agg(F.sum(F.octet_length("grams") / 8).cast("long")).first()[0] or 0
+    keyed = materialize(_keys(sets.select("node", "label", "grams"), _of_sets, total, F.expr(f"({percent}L * n + 99) div 100")), "refined")
+    groups = connected_components(keyed.select(F.col("node").alias("a"), F.explode("keys").alias("b")))
+    named = sets.select("node", "grams").join(groups, "node")
+    size = named.groupBy("label").agg(F.count("*").alias("size"))
+    return named.join(size, "label").where("size > 1").select("node", "label", "size", "grams")
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
@@ -374,9 +388,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: in
     sets = materialize(texts.select("text", "node", "label", "size").mapInArrow(_grams(words), "node long, label long, size long, grams binary"), "sets")
     coarse = sets.where(F.col("size") > block).dropDuplicates(["node"])
     if not coarse.isEmpty():
-        finer = refined(coarse.select("node", "label", "size", "grams"), percent)
-        again = coarse.select("node", "grams").join(finer, "node").select("node", "label", "size", "grams")
-        sets = materialize(sets.where(F.col("size") <= block).unionByName(again), "finer-sets")
+        sets = materialize(sets.where(F.col("size") <= block).unionByName(refined(coarse, percent)), "finer-sets")
     blocks = F.ceil(F.col("size") / block)
     mine = F.pmod(F.xxhash64("node"), blocks)
     dealt = sets.withColumn("part", F.explode(F.when(blocks < 2, F.array(F.lit(0).cast("long"))).when(mine > 0, F.array(mine)).otherwise(F.sequence(F.lit(1).cast("long"), blocks - 1))))
