@@ -44,7 +44,7 @@ SLOT_LEVELS = 3
 NO_ID, BEHIND = -1, -2
 #: Bytes after the last member that are read at a time.
 CHUNK = 1024 * 1024
-LEVEL = 6
+LEVEL = 2
 LONG = pa.int64()
 LEAF = pa.schema([("page_id", LONG), ("file", LONG), ("slot", LONG), ("copy", LONG), ("record", LONG), ("start", LONG), ("end", LONG), ("hash", pa.string())])
 INDEX = pa.schema([*list(LEAF)[:-1], ("at", LONG), ("size", LONG), ("digest", pa.binary()), ("uri", pa.string())])
