@@ -29,16 +29,9 @@ SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name to expression, all doubles, finite, 0 for an empty text."""
+def _counts(text: Column) -> dict[str, Column]:
+    """What the statistics are made of: words and lines as arrays, and numbers of characters; all 0 or empty for an empty text."""
     text = F.coalesce(text, F.lit(""))
-    n = F.length(text).cast("double")
-    tokens = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.split(text, "\n")
-    many, rows = F.size(tokens).cast("double"), F.when(n > 0, F.size(lines)).otherwise(0).cast("double")
-
-    def share(count: Column, of: Column) -> Column:
-        return F.when(of > 0, count / of).otherwise(F.lit(0.0))
 
     def only(characters: str) -> Column:
         return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("double")
@@ -46,19 +39,40 @@ def statistics(text: Column) -> dict[str, Column]:
     def count(character: str) -> Column:
         return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))).cast("double")
 
+    return {
+        "n": F.length(text).cast("double"),
+        "tokens": F.array_remove(F.split(text, r"\s+"), ""),
+        "lines": F.split(text, "\n"),
+        "upper": only("A-ZÀ-Þ"),
+        "digits": only("0-9"),
+        "symbols": only(r"#$%&*@^~<>=+_{}\[\]\\"),
+        "bangs": count("!"),
+        "bars": count("|"),
+        "stops": count("."),
+        "commas": count(","),
+    }
+
+
+def _sizes(of: dict[str, Column]) -> dict[str, Column]:
+    """Numbers in place of the arrays."""
+    arrays = {"many": of["tokens"], "distinct_words": F.array_distinct(of["tokens"]), "rows": of["lines"], "distinct_lines": F.array_distinct(of["lines"])}
+    return {k: c for k, c in of.items() if k not in ("tokens", "lines")} | {k: F.size(c).cast("double") for k, c in arrays.items()}
+
+
+def _shares(of: dict[str, Column]) -> dict[str, Column]:
+    """Name to statistic, all doubles, finite, 0 for an empty text."""
+    n, many, rows = of["n"], of["many"], F.when(of["n"] > 0, of["rows"]).otherwise(F.lit(0.0))
+
+    def share(count: Column, of: Column) -> Column:
+        return F.when(of > 0, count / of).otherwise(F.lit(0.0))
+
     return {
         "n_chars": n,
         "n_words": many,
         "word_length": share(n, many),
-        "upper": share(only("A-ZÀ-Þ"), n),
-        "digits": share(only("0-9"), n),
-        "symbols": share(only(r"#$%&*@^~<>=+_{}\[\]\\"), n),
-        "bangs": share(count("!"), many),
-        "bars": share(count("|"), many),
-        "stops": share(count("."), many),
-        "commas": share(count(","), many),
-        "distinct_words": share(F.size(F.array_distinct(tokens)).cast("double"), many),
-        "distinct_lines": share(F.size(F.array_distinct(lines)).cast("double"), rows),
+        **{k: share(of[k], n) for k in ("upper", "digits", "symbols")},
+        **{k: share(of[k], many) for k in ("bangs", "bars", "stops", "commas", "distinct_words")},
+        "distinct_lines": share(of["distinct_lines"], rows),
         "line_words": share(many, rows),
     }
 
@@ -187,8 +201,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 
 
 def with_statistics(docs: DataFrame, *kept: str, prefix: str = "s_") -> DataFrame:
-    """``kept`` columns and the statistics, passed through a generator of one row: a filter on them stays above it and computes none again."""
-    return settled(docs, list(kept), **{f"{prefix}{k}": c for k, c in statistics(docs["text"]).items()})
+    """``kept`` columns and the statistics, passed through generators of one row: words are split once a text, and a filter on the statistics stays above and computes none again."""
+
+    def named(found: dict[str, Column]) -> dict[str, Column]:
+        return {f"{prefix}{k}": c for k, c in found.items()}
+
+    counts = _counts(docs["text"])
+    counted = settled(docs, list(kept), **named(counts))
+    sizes = _sizes({k: F.col(f"{prefix}{k}") for k in counts})
+    sized = settled(counted, list(kept), **named(sizes))
+    return settled(sized, list(kept), **named(_shares({k: F.col(f"{prefix}{k}") for k in sizes})))
 
 
 def unused(columns: list[str], prefix: str = "s_") -> str:
