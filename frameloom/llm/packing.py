@@ -33,8 +33,8 @@ from frameloom.llm.common import materialize, slices
 from frameloom.llm.tokens import encoder
 
 SIZE, WIDTH, END_ID = 2048, 8, 1
-#: Pieces that are ranked in one bucket, about.
-RANKED = 200_000
+#: Pieces that share one value of the salt, about; a bucket holds those of one class.
+RANKED = 20_000
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
