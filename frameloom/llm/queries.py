@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import decontaminate, jaccard_join, license_scan, packing, pivot_search, quality_rules, token_store, unigram_counts, url_reputation, warc_fixity
+from frameloom.llm import decontaminate, jaccard_join, leaderboard, license_scan, packing, pivot_search, quality_rules, token_store, unigram_counts, url_reputation, warc_fixity
 from frameloom.llm.common import table
 from frameloom.llm.tokens import public_path
 
@@ -122,11 +122,16 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, url_reputation.outcomes_from_labels(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_revenue_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, vendors, items = (table(spark, sf_dir, n) for n in ("sale_lines", "vendors", "items"))
+    return leaderboard.change_feed(spark, lines, vendors, items).withColumnRenamed("group_id", "nation_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_cutting_stock_packing, op2_ngram_jaccard_join, op3_license_scan, op4_quality_rules, op5_pivot_search,
-        op6_token_store, op7_warc_fixity, op8_unigram_token_counts, op9_benchmark_decontamination, op10_url_reputation,
+        op6_token_store, op7_warc_fixity, op8_unigram_token_counts, op9_benchmark_decontamination, op10_url_reputation, op11_revenue_ladder,
     )
 }
 ORACLES = {"op3_license_scan": _op3_sql(), "op5_pivot_search": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
