@@ -53,6 +53,8 @@ FEED = "group_id int, arrival_day long, item_id long, batch int, change string,
 CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # stores are many and small
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 
