@@ -18,12 +18,17 @@ component that links form.
    left when the overlap so far plus what remains on either side can't reach the
    threshold, or when all its sets already are in the walker's component. Links are
    decided on whole sets.
-4. Coarse groups above ``block`` nodes get the prefix filter once more, on whole sets and
-   in their own order of rarity; nodes that share a passage and little else part there.
-   What is still larger is split: every block meets the first one, which joins what is
-   alike, then the nodes outside the largest component meet each other and those inside;
-   links inside that component change nothing. No group is gathered whole and nothing
-   is capped.
+4. Coarse groups above ``block`` nodes are not gathered. They get the prefix filter once
+   more, on whole sets and in their group's own order of rarity; two linked nodes share
+   one of the keys that it leaves them. The nodes of a key that at most ``block`` have are
+   one trie, and keys of the same nodes are one; so texts that have a passage in common
+   with all others, and little else, only meet those that share the rest. Nodes with a
+   key of more nodes are alike in nearly all they have: they are split into blocks, every
+   block meets the first one, which joins what is alike, then the nodes outside the
+   largest component meet each other and those inside; links inside that component
+   change nothing. Only that last step can grow with the square of a group, if most of
+   its nodes consist of shingles that more than ``block`` nodes have and still aren't
+   alike. Nothing is capped.
 
 Defined results: a null or empty text, or one without words, has no shingles and links
 with nothing; fewer words than the shingle size make one shingle; repeated rows are
@@ -66,7 +71,7 @@ def prefix_share(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _node(found: np.ndarray) -> int:
+def node_name(found: np.ndarray) -> int:
     return int.from_bytes(digest(found)[:8], "little", signed=True)
 
 
@@ -80,7 +85,7 @@ def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             n = [len(s) for s in sets]
             kept = [min(k, 2 * prefix_share(k, percent) - 1) if k else 0 for k in n]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(kept, pa.int64()), *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([node_name(s) for s in sets], pa.int64()), pa.array(kept, pa.int64()), *batch.columns[2:]], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -111,7 +116,7 @@ def _of_texts(words: int, percent: int):
         for text in batch.column(0).to_pylist():
             found = shingles(text, words)
             if len(found):
-                yield _node(found), len(found), found[: 2 * prefix_share(len(found), percent) - 1]
+                yield node_name(found), len(found), found[: 2 * prefix_share(len(found), percent) - 1]
 
     return entries
 
@@ -334,7 +339,7 @@ def _keys(rows: DataFrame, entries, total: int, need: Column, often: int | None
     packs = rows.mapInArrow(_pack(entries, bits, often), PACKED)
     shared = packs.groupBy("bucket", "pack").applyInPandas(_shared(bits), "node long, n long, h long, df long")
     found = shared.groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("have")).withColumn("need", need.cast("int"))
-    return found.where("size(have) >= need").select("node", F.expr("transform(slice(have, 1, size(have) - need + 1), x -> x.h)").alias("keys"))
+    return found.where("size(have) >= need").select("node", F.expr("transform(slice(have, 1, greatest(size(have) - need + 1, 0)), x -> x.h)").alias("keys"))
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, words: int, percent: int, often: int | None = None) -> DataFrame:
@@ -353,7 +358,7 @@ def _grams(words: int):
             sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
             mine = []
             for i, (s, node) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)):
-                if node not in seen and _node(s) == node:
+                if node not in seen and node_name(s) == node:
                     seen.add(node)
                     mine.append(i)
             take = pa.array(mine, pa.int64())
@@ -362,42 +367,61 @@ def _grams(words: int):
     return run
 
 
-def refined(sets: DataFrame, percent: int) -> DataFrame:
-    """node, label, size, grams of large coarse groups (node, label, size, grams) in finer ones: the prefix filter once more, on whole sets and in their group's own order of rarity.
+def listed(sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of large coarse groups (node, label, grams): tries (trie, node) of nodes that share a key of at most ``block`` nodes, and groups (node, label) of nodes that share other keys.
 
-    Nodes without partners drop out. Nodes and the keys that they have are one graph, whose components are the groups.
+    Two linked nodes are together in one of them. Nodes without partners drop out.
     """
     total = sets.agg(F.sum(F.octet_length("grams") / 8).cast("long")).first()[0] or 0
-    keyed = materialize(_keys(sets.select("node", "label", "grams"), _of_sets, total, F.expr(f"({percent}L * n + 99) div 100")), "refined")
-    groups = connected_components(keyed.select(F.col("node").alias("a"), F.explode("keys").alias("b")))
-    named = sets.select("node", "grams").join(groups, "node")
-    size = named.groupBy("label").agg(F.count("*").alias("size"))
-    return named.join(size, "label").where("size > 1").select("node", "label", "size", "grams")
+    keys = _keys(sets.select("node", "label", "grams"), _of_sets, total, F.expr(f"({percent}L * n + 99) div 100"))
+    keyed = materialize(keys.select("node", F.explode("keys").alias("h")), "list-keys")
+    counted = materialize(keyed.groupBy("h").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1"), "lists")
+    few = keyed.join(counted.where(F.col("members") <= block).select("h"), "h").groupBy("h").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    tries = few.select("nodes").distinct().select(F.xxhash64("nodes").alias("trie"), F.explode("nodes").alias("node")).distinct()
+    often = _spread(keyed, "h", counted.where(F.col("members") > block)).where("node <> first")
+    return tries, connected_components(often.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): nodes that the threshold links, enough of them to join every component. nodes: node, one (id and text hash of a document that has the set), members."""
+def coarse_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, label: groups of nodes that share a key of the prefix filter; two linked nodes are in one."""
     may = materialize(candidates(docs, nodes, words, percent), "candidates")
-    keyed = may.select("node", F.explode("keys").alias("h"))
-    meet = keyed.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("h", "b")
-    coarse = connected_components(keyed.join(meet, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    keyed = materialize(may.select("node", F.explode("keys").alias("h")), "keys")
+    meet = keyed.groupBy("h").agg(F.min("node").alias("b"), F.count("*").alias("members")).where("members > 1")
+    return connected_components(_spread(keyed, "h", materialize(meet, "meet")).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+
+
+def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: int = BLOCK, grouping=coarse_groups) -> DataFrame:
+    """(a, b): nodes that the threshold links, enough of them to join every component. nodes: node, one (id and text hash of a document that has the set), members.
+
+    ``grouping`` gives groups that no link crosses.
+    """
+    coarse = grouping(docs, nodes, words, percent)
     coarse = coarse.join(coarse.groupBy("label").agg(F.count("*").alias("size")), "label")
     one = materialize(nodes.join(coarse, "node").select("node", "label", "size", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key")), "coarse")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     texts = given.join(small_side(one, one.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key")))
     sets = materialize(texts.select("text", "node", "label", "size").mapInArrow(_grams(words), "node long, label long, size long, grams binary"), "sets")
     coarse = sets.where(F.col("size") > block).dropDuplicates(["node"])
-    if not coarse.isEmpty():
-        sets = materialize(sets.where(F.col("size") <= block).unionByName(refined(coarse, percent)), "finer-sets")
+    found = materialize(sets.where(F.col("size") <= block).groupBy("label").applyInPandas(_join_group(percent, False), "a long, b long"), "links")
+    if coarse.isEmpty():
+        return found
+    coarse = materialize(coarse.select("node", "label", "grams"), "large-groups")
+    tries, hot = listed(coarse, percent, block)
+    met = coarse.select("node", "grams").join(tries, "node").groupBy("trie").applyInPandas(_join_group(percent, False), "a long, b long")
+    found = materialize(found.unionByName(met), "links")
+    size = hot.groupBy("label").agg(F.count("*").alias("size"))
+    alike = coarse.select("node", "grams").join(hot.join(size, "label"), "node")
+    return found.unionByName(_by_blocks(materialize(alike, "alike"), percent, block))
+
+
+def _by_blocks(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join every component within groups (node, label, size, grams), without gathering one."""
     blocks = F.ceil(F.col("size") / block)
     mine = F.pmod(F.xxhash64("node"), blocks)
-    dealt = sets.withColumn("part", F.explode(F.when(blocks < 2, F.array(F.lit(0).cast("long"))).when(mine > 0, F.array(mine)).otherwise(F.sequence(F.lit(1).cast("long"), blocks - 1))))
-    found = materialize(dealt.groupBy("label", "part").applyInPandas(_join_group(percent, False), "a long, b long"), "links")
-    large = materialize(sets.where(F.col("size") > block).select("node", F.col("label").alias("group"), mine.alias("mine"), blocks.alias("blocks"), "grams"), "large")
-    if large.isEmpty():
-        return found
+    part = F.explode(F.when(blocks < 2, F.array(F.lit(0).cast("long"))).when(mine > 0, F.array(mine)).otherwise(F.sequence(F.lit(1).cast("long"), blocks - 1)))
+    found = materialize(sets.withColumn("part", part).groupBy("label", "part").applyInPandas(_join_group(percent, False), "a long, b long"), "block-links")
     parts = connected_components(found)
-    label = large.select("node", "group", "mine", "blocks").distinct().join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = sets.select("node", F.col("label").alias("group"), mine.alias("mine"), blocks.alias("blocks")).distinct().join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     label = materialize(label, "labels")
     top = label.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
     apart = label.join(top, "group").withColumn("outside", F.col("label") != F.col("top"))
@@ -412,7 +436,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: in
     as_first = F.transform(F.when((F.col("at") < F.col("chunks")) & (F.col("at") + 1 < F.col("parts")), F.sequence(F.col("at") + 1, F.col("parts") - 1)).otherwise(F.array().cast("array<long>")), lambda j: F.struct(F.col("at").alias("i"), j.alias("j")))
     alone = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))
     tasks = placed.select("node", "group", "label", F.inline(F.coalesce(alone, F.concat(as_second, as_first))))
-    again = large.select("node", "grams").join(tasks, "node")
+    again = sets.select("node", "grams").join(tasks, "node")
     return found.unionByName(again.groupBy("group", "i", "j").applyInPandas(_join_group(percent, True), "a long, b long"))
 
 
@@ -425,14 +449,14 @@ def _spread(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
     return marked.where("hot").select(*rest.columns).unionByName(rest)
 
 
-def _named(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+def _named(docs: DataFrame, words: int, percent: int, block: int, grouping=coarse_groups) -> DataFrame:
     """doc_id, n, c (name of the component) and key (a hash of the text) of every row of ``docs``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     docs = docs.select("doc_id", "text")
     rows = materialize(node_table(docs, words, percent), "rows")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.count("*").alias("members"), F.max("kept").alias("kept")), "nodes")
-    label = connected_components(links(docs, nodes, words, percent, block))
+    label = connected_components(links(docs, nodes, words, percent, block, grouping))
     each = nodes.join(label.select("node", "label"), "node", "left").select("node", "members", F.coalesce("label", "node").alias("c"))
     return materialize(_spread(rows, "node", materialize(each, "labels")).select("doc_id", "n", "c", "key"), "named")
 
@@ -442,9 +466,9 @@ def _grouped(rows: DataFrame, *found: Column) -> DataFrame:
     return _spread(rows, "c", materialize(rows.groupBy("c").agg(*found, F.count("*").alias("members")), "components"))
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, grouping=coarse_groups) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    named = _named(docs, words, percent, block)
+    named = _named(docs, words, percent, block, grouping)
     empty = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     full = _grouped(named.where("n > 0"), F.min("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
