@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import decontaminate, jaccard_join, leaderboard, license_scan, packing, pivot_search, prefix_trie, quality_rules, token_store, unigram_counts, url_reputation, warc_fixity
+from frameloom.llm import decontaminate, jaccard_join, leaderboard, license_scan, minhash_dedup, packing, pivot_search, prefix_trie, quality_rules, token_store, unigram_counts, url_reputation, warc_fixity
 from frameloom.llm.common import table
 from frameloom.llm.tokens import public_path
 
@@ -127,6 +127,10 @@ def op11_revenue_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.change_feed(spark, lines, vendors, items).withColumnRenamed("group_id", "nation_id")
 
 
+def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -135,7 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_cutting_stock_packing, op2_ngram_jaccard_join, op3_license_scan, op4_quality_rules, op5_pivot_search,
-        op6_token_store, op7_warc_fixity, op8_unigram_token_counts, op9_benchmark_decontamination, op10_url_reputation, op11_revenue_ladder, op13_conversation_trie,
+        op6_token_store, op7_warc_fixity, op8_unigram_token_counts, op9_benchmark_decontamination, op10_url_reputation, op11_revenue_ladder, op12_tensored_minhash, op13_conversation_trie,
     )
 }
 ORACLES = {"op3_license_scan": _op3_sql(), "op5_pivot_search": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
