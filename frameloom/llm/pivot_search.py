@@ -12,15 +12,16 @@ A task evaluates its candidates in order of that bound and stops a query when th
 is below the k-th score so far; ties are evaluated.
 
 Queries are a table, cut into blocks of about ``QUERIES``; blocks are broadcast, searched and
-written one after the other, so one block at a time is held. Each task returns k rows a
-query, and these are merged.
+written one after the other, so one block at a time is held. A query's k-th score in the
+sample is a floor that all tasks start from, so a task returns only what may be among the k
+best, and these rows are merged.
 
 Every vector stays. Scores are computed in 64-bit floating point only where the product of
 lengths is below 2**52, so that every partial sum is exact; other vectors, of length 2**26
 or more, are compared by Python integers with all, beside the table.
 
-Defined results: vectors that are null, empty or hold null, NaN or infinite components take
-no part; components that a shorter vector lacks count as 0; scores beyond 64 bits count as
+Defined results: vectors that are null or hold null, NaN or infinite components take no
+part; components that a shorter vector lacks count as 0, so an empty vector scores 0; scores beyond 64 bits count as
 the largest or smallest long; a query skips the rows of its own id; repeated candidate rows
 rank each; repeated rows ask once, rows of one id with different vectors ask each; null ids
 take no part; extra columns are ignored; too few candidates give fewer rows, an empty table
@@ -52,7 +53,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and x, the vector, of the rows that take part."""
     x = F.col("embedding")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return vectors.where(F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -110,14 +111,15 @@ def table_rows(v: np.ndarray, way: np.ndarray) -> np.ndarray:
     return np.column_stack([part, rest, np.sqrt(square)])
 
 
-def build_index(vectors: DataFrame, scale: int = SCALE, many: int = PIVOTS) -> tuple[DataFrame, int]:
-    """(vec_id, x, far: the pivot table's row, null for long vectors), written once, and the vectors' width."""
+def build_index(vectors: DataFrame, scale: int = SCALE, many: int = PIVOTS) -> tuple[DataFrame, int, tuple[np.ndarray, np.ndarray]]:
+    """(vec_id, x, far: the pivot table's row, empty for long vectors), written once, the vectors' width, and the short vectors of the sample: ids and integers."""
     whole = valid(vectors)
     width = whole.agg(F.max(F.size("x"))).first()[0] or 0
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()["x"].combine_chunks() if width else None
-    way = np.zeros((0, width))
+    way, sample = np.zeros((0, width)), (np.zeros(0, np.int64), np.zeros((0, width)))
     if width:
-        v, short = whole_numbers(_matrix(sample, width), scale)
+        rows = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
+        v, short = whole_numbers(_matrix(rows["x"].combine_chunks(), width), scale)
+        sample = rows["vec_id"].to_numpy()[short], v[short]
         way = directions(choose_pivots(v[short], many))
 
     def run(batches):
@@ -130,22 +132,22 @@ def build_index(vectors: DataFrame, scale: int = SCALE, many: int = PIVOTS) -> t
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), far], names=["vec_id", "x", "far"])
 
     kind = whole.schema["x"].dataType.simpleString()
-    return materialize(whole.mapInArrow(run, f"vec_id long, x {kind}, far array<float>"), "pivot-index"), width
+    return materialize(whole.mapInArrow(run, f"vec_id long, x {kind}, far array<float>"), "pivot-index"), width, sample
 
 
-def eliminate(ids: np.ndarray, v: np.ndarray, top: np.ndarray, query_id: int, q: np.ndarray, k: int, best: list[tuple[int, int]], step: int = 64) -> tuple[list[tuple[int, int]], int]:
-    """``best`` (sorted (-score, id), at most k) with the candidates ``v``, of bounds ``top``, taken in; and how many were evaluated."""
-    may = np.flatnonzero(top >= -best[-1][0]) if len(best) == k else np.arange(len(top))
+def eliminate(ids: np.ndarray, v: np.ndarray, top: np.ndarray, query_id: int, q: np.ndarray, k: int, best: list[tuple[int, int]], floor: float = -math.inf, step: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """``best`` (sorted (-score, id), at most k) with the candidates ``v``, of bounds ``top``, taken in; and how many were evaluated. Scores under ``floor`` aren't among the k best."""
+    least = max(floor, -best[-1][0]) if len(best) == k else floor
+    may = np.flatnonzero(top >= least)
     order = may[np.argsort(-top[may], kind="stable")]
     at = 0
-    while at < len(order) and not (len(best) == k and top[order[at]] < -best[-1][0]):
+    while at < len(order) and top[order[at]] >= least:
         part = order[at : at + step]
         score = np.einsum("ij,j->i", v[part], q)
-        keep = ids[part] != query_id
-        if len(best) == k:
-            keep &= score >= -best[-1][0]
+        keep = (ids[part] != query_id) & (score >= least)
         if keep.any():
             best = sorted(best + [(-int(s), int(i)) for s, i in zip(score[keep], ids[part][keep], strict=True)])[:k]
+            least = max(floor, -best[-1][0]) if len(best) == k else floor
         at += step
     return best, min(at, len(order))
 
@@ -153,7 +155,7 @@ def eliminate(ids: np.ndarray, v: np.ndarray, top: np.ndarray, query_id: int, q:
 class _Block:
     """Queries of a block: those short enough for the table, and the others as integers."""
 
-    def __init__(self, rows: pa.Table, width: int, scale: int) -> None:
+    def __init__(self, rows: pa.Table, width: int, scale: int, sample: tuple[np.ndarray, np.ndarray], k: int) -> None:
         x = _matrix(rows["x"].combine_chunks(), width) if len(rows) else np.zeros((0, width))
         names, far = rows["vec_id"].to_numpy(), rows["far"].to_pylist()
         self.v, short = whole_numbers(x, scale)
@@ -162,6 +164,12 @@ class _Block:
         self.far = np.array([far[i] for i in self.plain], float) if len(self.plain) else np.zeros((0, 1))
         self.long = {int(i): exact(x[i], scale) for i in np.flatnonzero(~short)}
         self.x, self.scale = x, scale
+        self.floor = np.full(len(names), -math.inf)
+        if len(sample[0]) > k:
+            for a in range(0, len(self.plain), TOGETHER):
+                mine = self.plain[a : a + TOGETHER]
+                score = np.where(sample[0][None, :] == names[mine][:, None], -math.inf, np.einsum("ij,kj->ik", self.v[mine], sample[1]))
+                self.floor[mine] = np.partition(score, -k, axis=1)[:, -k]
 
     def whole(self, i: int) -> list[int]:
         return self.long.get(i) or exact(self.x[i], self.scale)
@@ -187,7 +195,7 @@ def _search(block: _Block, width: int, k: int):
                     length = np.outer(f[:, -1], far[:, -1])
                     top = np.floor(f[:, :-1] @ far[:, :-1].T + SLACK * length + 1.0)
                     for j, i in enumerate(mine):
-                        best[i], n = eliminate(ids[plain], v[plain], top[j], int(block.names[i]), block.v[i], k, best[i])
+                        best[i], n = eliminate(ids[plain], v[plain], top[j], int(block.names[i]), block.v[i], k, best[i], block.floor[i])
                         seen, evaluated = seen + len(plain), evaluated + n
                 others = {int(c): exact(x[c], block.scale) for c in np.flatnonzero(~short)}
                 for i in range(len(block.names)):
@@ -205,7 +213,7 @@ def _search(block: _Block, width: int, k: int):
 
 def answers(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, many: int = PIVOTS, block: int = QUERIES) -> DataFrame:
     """The tasks' best: part (block), asker, query_id, vec_id, score, and the task's candidates seen and evaluated."""
-    index, width = build_index(vectors, scale, many)
+    index, width, sample = build_index(vectors, scale, many)
     spark = vectors.sparkSession
     asked = materialize(index.where(is_query).dropDuplicates(["vec_id", "x"]), "queries")
     blocks = max(1, -(-asked.count() // block))
@@ -213,7 +221,7 @@ def answers(vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, many:
     folder = scratch_path(spark, "answers")
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "x").toArrow()
-        sent = spark.sparkContext.broadcast(_Block(rows, width, scale))
+        sent = spark.sparkContext.broadcast(_Block(rows, width, scale, sample, k))
 
         def run(batches, sent=sent):
             yield from _search(sent.value, width, k)(batches)
