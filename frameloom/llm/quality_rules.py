@@ -229,8 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on the first ``sample_rows`` labelled rows, in hash order, that aren't held out."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).where("y in (0, 1)").where(~held_out(F.col("id")))
     chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
-    texts = docs.select(F.col("doc_id"), "text")
-    rows = with_statistics(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).select("y", "text"), "y").toPandas()
+    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("y", "text", F.xxhash64("id").alias("at"), "id", F.xxhash64("text").alias("digest"))
+    # An id can have any number of rows: those learned from are bounded after the join.
+    rows = with_statistics(texts, "y", "at", "id", "digest").orderBy("at", "id", "digest", "y").limit(sample_rows).drop("at", "id", "digest").toPandas()
     y = rows.pop("y").to_numpy(float)
     order = np.lexsort(rows.to_numpy(float).T) if len(rows) else np.arange(0)  # the same model however rows arrive
     return fit_rules(rows.to_numpy(float).reshape(len(y), len(NAMES))[order], y[order])
