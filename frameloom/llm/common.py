@@ -14,8 +14,8 @@ from frameloom.sources.scratch import scratch_path, shared_dir, written
 
 __all__ = ["lower_ascii", "materialize", "scratch_path", "settled", "shared_dir", "slices", "small_batches", "small_side", "table"]
 
-#: Rows of two longs that may be broadcast: 2 million of them take some 50 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast, as ``small_side`` measures them.
+BROADCAST_BYTES = 48 * 1024 * 1024
 #: Most rows and bytes of a batch for a Python worker.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
@@ -53,9 +53,19 @@ def settled(rows: DataFrame, kept: list[str], **computed: Column) -> DataFrame:
     return rows.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in computed.items()]))))
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a narrow table of ``rows`` counted rows if it is within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def measured(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take in a hash table, about: 32 a row, 16 a column, and what strings and binaries hold."""
+    loose = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    if any(kind.startswith(("array", "map", "struct")) for _, kind in df.dtypes):
+        raise TypeError("only flat rows are measured")
+    held = [F.sum(F.octet_length(F.col(f"`{c}`"))) for c in loose]
+    rows, *texts = df.agg(F.count("*"), *held).first()
+    return rows * (32 + 16 * len(df.columns)) + sum(t or 0 for t in texts)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast a table, read again cheaply, if its measured bytes are within the bound; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
 def give_back() -> None:

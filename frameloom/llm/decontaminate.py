@@ -94,7 +94,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, per_pass: int = PE
     parts = [_candidates(docs, hashes.where(F.pmod("h", F.lit(passes)) == p), keys, lengths, p == 0) for p in range(passes)]
     found = materialize(reduce(DataFrame.unionByName, parts), "window-hits")
     hits = found.where("gram is not null").select(*keys, "row", "pos", "len", "h", "gram")
-    verified = hits.join(small_side(tests, tests.count()), ["len", "h", "gram"])
+    verified = hits.join(small_side(tests), ["len", "h", "gram"])
     spans = F.array_sort(F.collect_set(F.struct("pos", "len")))
     judged = verified.groupBy(*keys, "row").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     judged = materialize(judged, "judged")
@@ -116,4 +116,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> Da
     bad = scan(docs, items, size).where(F.size("spans") > 0).select("doc_id", "row").distinct()
     bad = materialize(bad.toDF("id", "digest"), "contaminated")
     same = docs["doc_id"].eqNullSafe(bad["id"]) & (F.xxhash64(docs["text"]) == bad["digest"])
-    return docs.join(small_side(bad, bad.count()), same, "left_anti")
+    return docs.join(small_side(bad), same, "left_anti")

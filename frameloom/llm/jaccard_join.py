@@ -399,7 +399,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block: in
     coarse = coarse.join(coarse.groupBy("label").agg(F.count("*").alias("size")), "label")
     one = materialize(nodes.join(coarse, "node").select("node", "label", "size", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key")), "coarse")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
-    texts = given.join(small_side(one, one.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key")))
+    texts = given.join(small_side(one), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key")))
     sets = materialize(texts.select("text", "node", "label", "size").mapInArrow(_grams(words), "node long, label long, size long, grams binary"), "sets")
     coarse = sets.where(F.col("size") > block).dropDuplicates(["node"])
     found = materialize(sets.where(F.col("size") <= block).groupBy("label").applyInPandas(_join_group(percent, False), "a long, b long"), "links")
@@ -444,7 +444,7 @@ def _spread(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``each`` (key, members: rows of the key, ...). Keys of ``HOT`` rows or more, of which there are few, are joined by broadcast; no task gets all rows of one."""
     names = [c for c in each.columns if c not in (key, "members")]
     hot = each.where(F.col("members") >= HOT).drop("members")
-    marked = rows.join(small_side(hot.withColumn("hot", F.lit(True)), hot.count()), key, "left")
+    marked = rows.join(small_side(hot.withColumn("hot", F.lit(True))), key, "left")
     rest = marked.where("hot is null").drop("hot", *names).join(each.where(F.col("members") < HOT).drop("members"), key)
     return marked.where("hot").select(*rest.columns).unionByName(rest)
 
@@ -489,10 +489,9 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     def same(rows: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["digest"])
 
-    left = docs.join(small_side(out, out.count()), same(out), "left_anti")
+    left = docs.join(small_side(out), same(out), "left_anti")
     twice = materialize(seen.groupBy("doc_id", "key").agg(F.count("*").alias("many")).where("many > 1").select("doc_id", "key").toDF("id", "digest"), "twice")
-    many = twice.count()
-    if not many:
+    if twice.isEmpty():
         return left
-    single = left.join(small_side(twice, many), same(twice), "left_anti")
-    return single.unionByName(left.join(small_side(twice, many), same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
+    single = left.join(small_side(twice), same(twice), "left_anti")
+    return single.unionByName(left.join(small_side(twice), same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

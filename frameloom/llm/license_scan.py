@@ -164,7 +164,7 @@ def retrieved(docs: DataFrame, banded: DataFrame, bands: int = BANDS) -> DataFra
         each = settled(each, names, met=F.col("met") | met)
     at_bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, held).alias("value")) for i in range(bands)]))
     hits = each.where("met").select("doc_id", "row", at_bands.alias("b"))
-    return hits.join(F.broadcast(banded), (F.col("b.band") == banded["band"]) & (F.col("b.value") == banded["value"])).select("doc_id", "row", "license").distinct()
+    return hits.join(small_side(banded), (F.col("b.band") == banded["band"]) & (F.col("b.value") == banded["value"])).select("doc_id", "row", "license").distinct()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
@@ -175,11 +175,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     size = shingles.groupBy("license").agg(F.count("*").alias("n_template"))
     pairs = materialize(retrieved(docs, banded, bands), "retrieved").alias("p")
     rows = materialize(pairs.select(F.col("doc_id").alias("id"), F.col("row").alias("digest")).distinct(), "retrieved-rows")
-    again = docs.join(small_side(rows, rows.count()), docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["digest"]), "left_semi")
+    again = docs.join(small_side(rows), docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["digest"]), "left_semi")
     base = settled(again, ["doc_id"], row=F.xxhash64("text"), w=words(F.col("text")))
     own = _positions(base, ["doc_id", "row"], (F.array_join(F.slice("w", F.col("at") + 1, F.lit(SHINGLE)), " ").alias("gram"),))
-    held = own.join(F.broadcast(shingles), (own["s0"] == shingles["h"]) & (own["gram"] == shingles["gram"])).select("doc_id", "row", "license", shingles["gram"]).distinct()
+    held = own.join(small_side(shingles), (own["s0"] == shingles["h"]) & (own["gram"] == shingles["gram"])).select("doc_id", "row", "license", shingles["gram"]).distinct()
     shared = held.groupBy("doc_id", "row", "license").agg(F.count("*").alias("n_shared")).alias("h")
     same = F.col("p.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("p.row") == F.col("h.row")) & (F.col("p.license") == F.col("h.license"))
-    verified = shared.join(pairs, same, "left_semi").join(F.broadcast(size), "license")
+    verified = shared.join(pairs, same, "left_semi").join(small_side(size), "license")
     return verified.where(F.col("n_shared") * 100 >= F.col("n_template") * percent).select("doc_id", "license", "n_shared", "n_template").distinct()

@@ -355,13 +355,15 @@ def test_search_equals_brute_force(spark):
     for r in sorted(pivot_search.search(df, F.col("vec_id") % 100 == 0, many=12, block=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     ids = [*range(300), 100, 201]
+    whole[700] = [0] * 16
     seen = [(i, whole[i]) for i in range(300)] + [(100, whole[100])] + [(201, whole[201])]
     seen = [(i, [math.floor(1024 * e) for e in x[201].astype(float).tolist()]) if n == 201 else (i, w) for n, (i, w) in enumerate(seen)]
     assert len(seen) == len(ids)
-    for q in (0, 100, 200):
+    seen.append((700, whole[700]))
+    for q in (0, 100, 200, 700):
         best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(w, whole[q], strict=True)))), i) for i, w in seen if i != q)[:10]
         assert got[q] == [(i, -s) for s, i in best]
-    assert set(got) == {0, 100, 200}
+    assert set(got) == {0, 100, 200, 700}
     assert pivot_search.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
