@@ -54,13 +54,14 @@ def settled(rows: DataFrame, kept: list[str], **computed: Column) -> DataFrame:
 
 
 def measured(df: DataFrame) -> int:
-    """Bytes that the rows of ``df`` take in a hash table, about: 32 a row, 16 a column, and what strings and binaries hold."""
+    """Bytes that the rows of ``df`` take in a hash table, about: 32 a row, 16 a column or field, and what strings and binaries hold."""
     loose = [c for c, kind in df.dtypes if kind in ("string", "binary")]
-    if any(kind.startswith(("array", "map", "struct")) for _, kind in df.dtypes):
+    nested = [kind for _, kind in df.dtypes if "<" in kind]
+    if any(word in kind for kind in nested for word in ("array", "map", "string", "binary")):
         raise TypeError("only flat rows are measured")
-    held = [F.sum(F.octet_length(F.col(f"`{c}`"))) for c in loose]
-    rows, *texts = df.agg(F.count("*"), *held).first()
-    return rows * (32 + 16 * len(df.columns)) + sum(t or 0 for t in texts)
+    rows, *texts = df.agg(F.count("*"), *[F.sum(F.octet_length(F.col(f"`{c}`"))) for c in loose]).first()
+    fields = len(df.columns) + sum(kind.count(":") for kind in nested)
+    return rows * (32 + 16 * fields) + sum(t or 0 for t in texts)
 
 
 def small_side(df: DataFrame) -> DataFrame:
