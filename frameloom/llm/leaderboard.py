@@ -55,6 +55,7 @@ CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # stores are many and small
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # a new watermark is kept in the checkpoint and holds from the next start on
 }
 
 
@@ -66,8 +67,9 @@ def cents(value: F.Column) -> F.Column:
 
 def cut(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFrame:
     """sale_lines as scored lines with their batch: group_id (the vendor's nation) and item_id are null where a line is ignored."""
-    places = vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id")).hint("shuffle_hash")
-    prices = items.where("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known")).hint("shuffle_hash")
+    # Written, so that both sides of the joins are plain shuffles, whose hot keys adaptive execution splits.
+    places = materialize(vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id")), "places").hint("shuffle_hash")
+    prices = materialize(items.where("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known")), "prices").hint("shuffle_hash")
     text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")])
     own = lines.select("item_id", "vendor_id", "quantity", "amount", "flag", F.unix_date(F.col("shipped_at").cast("date")).cast("long").alias("shipped"), F.crc32(text).alias("h"))
     s = F.coalesce("shipped", FIRST_DAY + F.col("h") % UNDATED)
