@@ -4,11 +4,12 @@
 puts one after the other into the folder that a Structured Streaming query reads, and
 starts that query anew for each batch on one checkpoint.
 
-1. Tasks sum the cents of equal (group, item, arrival day, event day) before the shuffle,
-   so a hot item costs one row a task and day.
-2. The event day is the watermark's column: lines that lie more than ``late_days`` behind
-   the largest event day of earlier batches are dropped by Spark; lines without a group
-   or an item count for that day and are then left out.
+1. Tasks sum the cents of equal (group, item, arrival day) before the shuffle, so a hot
+   item costs one row a task and day.
+2. A start drops the lines that lie more than ``late_days`` behind the largest event day
+   of all earlier batches, ignored lines included. That day comes of the batches as they
+   were written, so it is the same whenever a start is repeated; a watermark of the
+   stream would drop late lines one micro-batch after it rose, and take an empty one.
 3. State is kept by (group, part); part is a hash of the item, and there are so many
    parts that one holds about ``ITEMS_PER_KEY`` items, whatever a group's share of the
    rows. A key's MapState is its ladder: band (number of binary digits of the revenue, 0
@@ -48,6 +49,7 @@ ITEMS_PER_KEY = 4096
 #: Sums that a task holds before it passes them on.
 HELD = 200_000
 LINES = "group_id int, item_id long, arrival_day long, event_day long, cents long"
+SUMS = "group_id int, item_id long, arrival_day long, cents long"
 BOARDS = "group_id int, part int, arrival_day long, item_id long, revenue long, shown boolean"
 FEED = "group_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 CONF = {
@@ -55,7 +57,6 @@ CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # stores are many and small
     "spark.sql.streaming.minBatchesToRetain": "2",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # a new watermark is kept in the checkpoint and holds from the next start on
 }
 
 
@@ -90,10 +91,10 @@ def batch_of(day: F.Column) -> F.Column:
 
 def _summed(batches):
     """Sums of equal lines, as far as a task holds them."""
-    keys = ["group_id", "item_id", "arrival_day", "event_day"]
+    keys = ["group_id", "item_id", "arrival_day"]
 
     def sums(parts: list) -> pa.Table:
-        return pa.Table.from_batches(parts).group_by(keys).aggregate([("cents", "sum")]).rename_columns([*keys, "cents"])
+        return pa.Table.from_batches(parts).select([*keys, "cents"]).group_by(keys).aggregate([("cents", "sum")]).rename_columns([*keys, "cents"])
 
     held, rows = [], 0
     for batch in batches:
@@ -196,17 +197,18 @@ def part_boards(spark: SparkSession, lines: DataFrame, parts: int, late_days: in
     """Boards of parts (``BOARDS``) after each day that changed them, and all arrival days, of lines (``LINES``, batch)."""
     home = scratch_path(spark, "ladder")
     lines.select(*[c.split()[0] for c in LINES.split(", ")], "batch").write.partitionBy("batch").parquet(f"{home}/cut")
-    calendar = spark.read.schema(f"{LINES}, batch int").parquet(f"{home}/cut").groupBy("batch").agg(F.collect_set("arrival_day").alias("days")).collect()
+    found = spark.read.schema(f"{LINES}, batch int").parquet(f"{home}/cut").groupBy("batch").agg(F.max("event_day").alias("latest"), F.collect_set("arrival_day").alias("days"))
+    calendar = sorted(found.collect(), key=lambda r: r["batch"])  # a row a batch
     stream = spark.readStream.schema(LINES).parquet(f"{home}/feed/*")
-    # A row is late if it isn't after the watermark; event days are whole, so a millisecond more keeps the last day that counts.
-    dated = stream.mapInArrow(_summed, LINES).withColumn("at", F.timestamp_seconds(F.col("event_day") * 86_400)).withWatermark("at", f"{late_days} days 1 millisecond")
-    # The condition names the watermark's column, or the optimizer would take it below the watermark, and ignored lines would not count for it.
-    counted = dated.where(F.col("item_id").isNotNull() | F.col("at").isNull()).withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
-    boards = counted.groupBy("group_id", "part").transformWithStateInPandas(Ladder(top), BOARDS, "Append", "EventTime")
+    seen = None
     with _stateful(spark):
-        for batch in sorted(r["batch"] for r in calendar):
-            _move(spark, f"{home}/cut/batch={batch}", f"{home}/feed/{batch}")
+        for r in calendar:
+            _move(spark, f"{home}/cut/batch={r['batch']}", f"{home}/feed/{r['batch']}")
+            counted = stream.where("item_id is not null" if seen is None else f"item_id is not null and event_day + {late_days} >= {seen}")
+            placed = counted.mapInArrow(_summed, SUMS).withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
+            boards = placed.groupBy("group_id", "part").transformWithStateInPandas(Ladder(top), BOARDS, "Append", "None")
             boards.writeStream.format("parquet").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start(f"{home}/boards").awaitTermination()
+            seen = max(r["latest"], r["latest"] if seen is None else seen)
     if not calendar:
         return spark.createDataFrame([], BOARDS), []
     return spark.read.schema(BOARDS).parquet(f"{home}/boards"), sorted({d for r in calendar for d in r["days"]})
