@@ -9,6 +9,8 @@ the rest must be at least three, similar on average and even.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,24 +120,37 @@ def alike(items: DataFrame) -> DataFrame:
     return items.withColumn("_d", digest).join(first, ["_d", "hashes"]).select("video_id", "rep", "hashes")
 
 
-def flips(x: Column, bits: int, most: int) -> Column:
-    """Array of all values that differ from the low ``bits`` of ``x`` in at most ``most`` (0 or 1) of them."""
-    masks = [0] + [1 << i for i in range(bits)] * (most > 0)
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: x.bitwiseXOR(m))
+#: Bits in which frames differ at most that pairs can be found for by bands; of more, nearly all frames are near each other.
+WIDEST = 25
 
 
-def blocked_pairs(items: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Pairs that can reach ``similarity``, without comparing all: lossless for mean similarities of at least 0.88.
+def masks(width: int, most: int) -> list[int]:
+    """All values of ``width`` bits with at most ``most`` of them set."""
+    return [sum(1 << i for i in bits) for k in range(most + 1) for bits in combinations(range(width), k)]
 
-    Some kept frame is at least as similar as the mean, so it differs in at most
-    floor(64 (1 - t)) bits, 7 or fewer; of four bands of 16 bits one differs in at most one
-    bit. Pairs meet on (position, band, bits) of interior frames, one side with all values
-    a bit away. Below 0.88 more, shorter bands are equal in one place.
+
+def flips(x: Column, width: int, most: int) -> Column:
+    """Array of all values that differ from the low ``width`` bits of ``x`` in at most ``most`` of them."""
+    listed = F.split(F.lit(",".join(map(str, masks(width, most)))), ",").cast("array<long>")
+    return F.transform(listed, lambda m: x.bitwiseXOR(m))
+
+
+def band_plan(most: int) -> tuple[int, int, int]:
+    """Bands, and flipped bits on either side, with which frames meet that differ in at most ``most`` bits.
+
+    Of ``bands`` bands one differs in at most most / bands bits, as many as both sides flip together. Few and long bands tell frames apart,
+    and dealing the flips to both sides keeps their number near the square root of what one side would need.
     """
-    most = int(BITS * (1 - similarity) + 1e-9)
-    bands, near = (4, 1) if most < 8 else (most + 1, 0)
-    if most < 4:
-        near = 0
+    bands = 4 if most < 8 else 3
+    reach = most // bands
+    return bands, reach // 2, reach - reach // 2
+
+
+def close_pairs(items: DataFrame, most: int) -> DataFrame:
+    """a, b (a < b) of all items with an interior frame at the same position that differs in at most ``most`` (up to ``WIDEST``) bits; equal to comparing all, by multi-index hashing."""
+    if not 0 <= most <= WIDEST:
+        raise ValueError(f"frames are found within 0 to {WIDEST} bits")
+    bands, near, far = band_plan(most)
     cuts = [BITS * i // bands for i in range(bands + 1)]
     frames = items.select("video_id", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h")).where("pos > 0 and pos < n - 1")
 
@@ -145,26 +160,39 @@ def blocked_pairs(items: DataFrame, similarity: float = MIN_SIMILARITY) -> DataF
             width = cuts[i + 1] - cuts[i]
             bits = F.shiftrightunsigned("h", BITS - cuts[i + 1]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             parts.append(F.struct(F.lit(i).alias("band"), flips(bits, width, reach).alias("near")))
-        each = frames.select(F.col("video_id").alias(name), "pos", F.inline(F.array(*parts)))
-        return each.select(name, "pos", "band", F.explode("near").alias("bits"))
+        each = frames.select(F.col("video_id").alias(name), F.col("h").alias(f"h{name}"), "pos", F.inline(F.array(*parts)))
+        return each.select(name, f"h{name}", "pos", "band", F.explode("near").alias("bits"))
 
-    met = keys(0, "x").join(keys(near, "y"), ["pos", "band", "bits"]).where("x <> y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = keys(near, "x").join(keys(far, "y"), ["pos", "band", "bits"]).where((F.col("x") != F.col("y")) & (F.bit_count(F.col("hx").bitwiseXOR(F.col("hy"))) <= most))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def with_hashes(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs (a, b) with hashes_a and hashes_b."""
     left = items.select(F.col("video_id").alias("a"), F.col("hashes").alias("hashes_a"))
     right = items.select(F.col("video_id").alias("b"), F.col("hashes").alias("hashes_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
 
 
+def blocked_pairs(items: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """Pairs that can reach ``similarity``, with their hashes, without comparing all.
+
+    Some kept frame is at least as similar as the mean, so it differs in at most
+    floor(64 (1 - t)) bits; pairs without such a frame can't be alike.
+    """
+    return with_hashes(close_pairs(items, int(BITS * (1 - similarity) + 1e-9)), items)
+
+
 def near_links(items: DataFrame, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> tuple[DataFrame, DataFrame]:
     """Every item with its rep, and the scored pairs (a, b, similarity, spread) of different reps; equal items are compared once."""
     members = written(alike(items), "items")
     reps = members.where("video_id = rep").select("video_id", "hashes")
-    pairs = blocked_pairs(reps, similarity) if similarity >= 0.85 else all_pairs(reps)
+    pairs = blocked_pairs(reps, similarity)
     return members, score_pairs(pairs, similarity, deviation)
 
 
 def near_duplicates(items: DataFrame, ignored: DataFrame | None = None, similarity: float = MIN_SIMILARITY, deviation: float = MAX_DEVIATION) -> DataFrame:
-    """All pairs that are alike: found between different items by bands (all pairs below 0.85, where bands can't tell items apart), then given to equal items; ignored pairs go."""
+    """All pairs that are alike: found between different items by bands, at any similarity from 0.61 on, then given to equal items; ignored pairs go."""
     members, links = near_links(items, similarity, deviation)
     a, b = members.select(F.col("rep").alias("ra"), F.col("video_id").alias("x")), members.select(F.col("rep").alias("rb"), F.col("video_id").alias("y"), F.size("hashes").alias("n"))
     across = links.join(a, links["a"] == F.col("ra")).join(b, links["b"] == F.col("rb"))

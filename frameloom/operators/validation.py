@@ -58,7 +58,7 @@ def batch_check(files: Column, valid: Column, most: int = LARGEST_BATCH) -> Colu
     """Array of the errors of a whole batch; those of its files are rows of their own."""
     found = F.array(
         F.when(files == 0, "no file"), F.when(files > most, F.concat(F.lit("too many files ("), files.cast("string"), F.lit(f" > {most})"))),
-        F.when(valid == 0, "no valid file"),
+        F.when((files > 0) & (valid == 0), "no valid file"),
     )
     return F.filter(found, lambda e: e.isNotNull())
 

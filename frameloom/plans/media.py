@@ -23,13 +23,15 @@ sims AS (SELECT x.video_id AS a, y.video_id AS b, x.pos, {SAME.format('x.bits',
 KEPT_SQL = f"""{SIMS_SQL}, med AS (SELECT a, b, median(sim) AS m FROM sims GROUP BY a, b),
 mad AS (SELECT a, b, any_value(m) AS m, median(abs(sim - m)) AS mad FROM sims JOIN med USING (a, b) GROUP BY a, b),
 kept AS (SELECT a, b, pos, sim FROM sims JOIN mad USING (a, b) WHERE mad = 0 OR abs(0.6745::DOUBLE * (sim - m) / mad) < 3.5)"""
-NEXT_SQL = SIMS_SQL.replace("x.video_id < y.video_id", "y.video_id - x.video_id BETWEEN 1 AND 4")
-IGNORED_SQL = "ignored AS (SELECT DISTINCT x.video_id AS a, y.video_id AS b FROM n x JOIN n y ON x.video_id < y.video_id WHERE (x.video_id + y.video_id) % 7 = 0)"
+#: A bounded list, one pair for every second item: with one of its copies, or with none that exists.
+IGNORED_SQL = "ignored AS (SELECT DISTINCT video_id AS a, video_id + 1000000 * (1 + video_id % 3) AS b FROM n WHERE video_id < 1000000 AND video_id % 2 = 0)"
 #: Every item, and copies of it: equal ones (1000000 on), and ones with two bits of every frame turned (2000000 on), the more the later the frame (3000000 on).
 PLANTED_SQL = f"""{FRAMES_SQL}, planted AS (SELECT video_id, pos, bits FROM frames UNION ALL SELECT video_id + 1000000, pos, bits FROM frames WHERE video_id % 3 = 0
   UNION ALL SELECT video_id + 2000000, pos, list_transform(bits, lambda b, i: CASE WHEN i IN (video_id % 60 + 1, video_id % 60 + 3) THEN 1 - b ELSE b END) FROM frames WHERE video_id % 4 = 0
   UNION ALL SELECT video_id + 3000000, pos, list_transform(bits, lambda b, i: CASE WHEN i <= 4 * pos THEN 1 - b ELSE b END) FROM frames WHERE video_id % 5 = 0)"""
 PLANTED_PAIRS_SQL = KEPT_SQL.replace(FRAMES_SQL, PLANTED_SQL).replace("FROM frames x JOIN frames y", "FROM planted x JOIN planted y").replace("count(*) AS n FROM frames GROUP", "count(*) AS n FROM planted GROUP")
+#: All pairs of which an interior frame at one position differs in at most 7 bits.
+CLOSE_SQL = PLANTED_PAIRS_SQL.split(", med AS")[0] + ", near AS (SELECT DISTINCT a, b FROM sims WHERE sim >= 57 / 64.0::DOUBLE)"
 SCORED_SQL = "scored AS (SELECT a, b, avg(sim) AS m, stddev_pop(sim) AS s FROM kept GROUP BY a, b HAVING count(*) >= 3)"
 NEAR_SQL = f"WITH {PLANTED_PAIRS_SQL}, {IGNORED_SQL}, {SCORED_SQL} SELECT a, b, round(m * 100, 7) AS similarity, round(s, 9) AS spread FROM scored ANTI JOIN ignored USING (a, b) WHERE m >= 0.9::DOUBLE AND s <= 0.1::DOUBLE"
 
@@ -61,21 +63,17 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, copies, own)
 
 
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of items whose ids differ by 1 to 4, with their hashes."""
-    own = items(spark, sf_dir)
-    left = own.select(F.col("video_id").alias("a"), F.col("hashes").alias("hashes_a"), F.explode(F.sequence(F.col("video_id") + 1, F.col("video_id") + 4)).alias("b"))
-    return left.join(own.select(F.col("video_id").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b")
+def close(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Planted items, and their pairs with a frame within 7 bits, with hashes."""
+    own = written(planted(spark, sf_dir), "planted")
+    return own, S.with_hashes(S.close_pairs(own, 7), own)
 
 
 def ignored(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) with (a + b) % 7 = 0, in either order."""
-    v = (frames(spark, sf_dir) if of is None else of).select("video_id").distinct()
-    keyed = v.select(F.col("video_id").alias("a"), (F.col("video_id") % 7).alias("r"))
-    other = v.select(F.col("video_id").alias("b"), ((7 - F.col("video_id") % 7) % 7).alias("r"))
-    pairs = keyed.join(other, "r").where("a < b")
-    odd = F.col("a") % 2 == 1
-    return pairs.select(F.when(odd, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(odd, F.col("a")).otherwise(F.col("b")).alias("b"))
+    """Of every second item, a pair with one of its copies, in either order."""
+    v = (frames(spark, sf_dir) if of is None else of).select("video_id").distinct().where("video_id < 1000000 and video_id % 2 = 0")
+    a, b, odd = F.col("video_id"), F.col("video_id") + 1_000_000 * (1 + F.col("video_id") % 3), F.col("video_id") % 4 == 0
+    return v.select(F.when(odd, b).otherwise(a).alias("a"), F.when(odd, a).otherwise(b).alias("b"))
 
 
 @query(f"WITH {BITS_SQL} SELECT vec_id, array_to_string(bits, '') AS bits FROM bits")
@@ -103,31 +101,40 @@ def all_pairs_theta_join(spark, d):
     return S.all_pairs(items(spark, d)).select("a", "b")
 
 
-@query(f"WITH {FRAMES_SQL}, n AS (SELECT DISTINCT video_id FROM frames), {IGNORED_SQL} SELECT x.video_id AS a, y.video_id AS b FROM n x JOIN n y ON y.video_id - x.video_id BETWEEN 1 AND 4 ANTI JOIN ignored i ON i.a = x.video_id AND i.b = y.video_id")
+@query(f"WITH {CLOSE_SQL}, {IGNORED_SQL} SELECT a, b FROM near ANTI JOIN ignored USING (a, b)")
 def anti_join_ignored_pairs(spark, d):
-    return S.without_pairs(neighbours(spark, d).select("a", "b"), ignored(spark, d))
+    """All close pairs of items, without those that are ignored."""
+    own, pairs = close(spark, d)
+    return S.without_pairs(pairs.select("a", "b"), ignored(spark, d, own))
 
 
-@query(f"WITH {NEXT_SQL} SELECT a, b, pos, sim FROM sims")
+@query(f"WITH {CLOSE_SQL} SELECT a, b, pos, sim FROM sims JOIN near USING (a, b)")
 def frame_zip_similarity(spark, d):
-    pairs = neighbours(spark, d)
+    _, pairs = close(spark, d)
     return pairs.select("a", "b", F.posexplode(S.frame_similarities(F.col("hashes_a"), F.col("hashes_b"))).alias("pos", "sim")).withColumn("pos", F.col("pos") + 1)
 
 
-@query(f"WITH {KEPT_SQL.replace(SIMS_SQL, NEXT_SQL)} SELECT a, b, CAST(count(*) AS BIGINT) AS frames, round(avg(sim), 9) AS mean FROM kept GROUP BY a, b")
+@query(f"WITH {PLANTED_PAIRS_SQL}, near AS (SELECT DISTINCT a, b FROM sims WHERE sim >= 57 / 64.0::DOUBLE) SELECT a, b, CAST(count(*) AS BIGINT) AS frames, round(avg(sim), 9) AS mean FROM kept JOIN near USING (a, b) GROUP BY a, b")
 def mad_outlier_filter(spark, d):
-    pairs = neighbours(spark, d)
+    _, pairs = close(spark, d)
     kept = S.without_outliers(pairs.select("a", "b", S.frame_similarities(F.col("hashes_a"), F.col("hashes_b")).alias("s")), "s", "k")
     return kept.select("a", "b", F.size("k").cast("long").alias("frames"), F.round(S.mean_of(F.col("k")), 9).alias("mean"))
 
 
-@query(f"""WITH {FRAMES_SQL} SELECT x.video_id AS a, y.video_id AS b, avg({SAME.format('x.bits', 'y.bits')} * 100 / 64.0::DOUBLE) >= 55 AS similar
-  FROM frames x JOIN frames y ON x.pos = y.pos AND y.video_id - x.video_id BETWEEN 1 AND 4 GROUP BY 1, 2""")
+@query(f"""WITH {CLOSE_SQL} SELECT x.video_id AS a, y.video_id AS b, avg({SAME.format('x.bits', 'y.bits')} * 100 / 64.0::DOUBLE) >= 95 AS similar
+  FROM near JOIN planted x ON x.video_id = a JOIN planted y ON y.video_id = b AND y.pos = x.pos GROUP BY 1, 2""")
 def are_similar_strict(spark, d):
-    """All frames, equal numbers of frames, mean percentage of equal bits of at least 55."""
+    """All frames, equal numbers of frames, mean percentage of equal bits of at least 95."""
+    _, pairs = close(spark, d)
     percent = F.zip_with("hashes_a", "hashes_b", lambda x, y: S.hamming_similarity(x, y) * 100)
     same = F.size("hashes_a") == F.size("hashes_b")
-    return neighbours(spark, d).select("a", "b", F.when(same, S.mean_of(percent) >= 55).otherwise(F.lit(False)).alias("similar"))
+    return pairs.select("a", "b", F.when(same, S.mean_of(percent) >= 95).otherwise(F.lit(False)).alias("similar"))
+
+
+@query(f"WITH {PLANTED_PAIRS_SQL}, {SCORED_SQL} SELECT a, b, round(m * 100, 7) AS similarity, round(s, 9) AS spread FROM scored WHERE m >= 0.75::DOUBLE AND s <= 0.1::DOUBLE")
+def radius_search(spark, d):
+    """Items alike at a low threshold, 0.75: frames within 16 bits of each other meet in bands whose bits are flipped on both sides."""
+    return S.near_duplicates(written(planted(spark, d), "planted"), similarity=0.75)
 
 
 @query(NEAR_SQL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import scalars as X
 from frameloom.operators import catalog as K
+from frameloom.operators import intervals as I
 from frameloom.plans.base import query, table
 
 COMMANDS_SQL = "cmd AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'end' ELSE 'cancel' END AS command FROM events WHERE event_type IN ('view', 'click', 'error'))"
@@ -55,13 +56,23 @@ def segment_export_plan(spark, d):
 
 @query(f"""WITH {SEGMENTS_SQL} SELECT e.user_id, e.event_id, min(begin) AS begin FROM events e JOIN seg ON seg.user_id = e.user_id AND e.event_id BETWEEN begin AND finish GROUP BY e.user_id, e.event_id""")
 def point_in_segment(spark, d):
-    """The first segment that holds the event, both ends included; segments of a user don't nest, so the last one begun decides."""
-    points = table(spark, d, "events").select("user_id", F.col("event_id").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("finish"))
-    begun = segments(spark, d).select("user_id", F.col("begin").alias("at"), F.lit(0).alias("kind"), "finish")
-    w = Window.partitionBy("user_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct(F.col("at").alias("begin"), "finish")), ignorenulls=True).over(w)
-    both = points.unionByName(begun).withColumn("s", last)
-    return both.where("kind = 1 and at <= s.finish").select("user_id", F.col("at").alias("event_id"), F.col("s.begin").alias("begin"))
+    """The first segment, in order of their begin, that holds the event, both ends included."""
+    points = table(spark, d, "events").select("user_id", F.col("event_id").alias("at"))
+    found = I.first_covering(points, segments(spark, d).withColumn("place", F.col("begin")), "user_id", "at", "begin", "finish", "place")
+    return found.select("user_id", F.col("at").alias("event_id"), "begin")
+
+
+OVERLAPS_SQL = "o AS (SELECT user_id, event_id AS place, event_id - event_id % 37 AS begin, event_id - event_id % 37 + CASE WHEN event_id % 50 = 0 THEN 4000 ELSE event_id % 700 END AS finish FROM events WHERE event_type IN ('view', 'signup'))"
+
+
+@query(f"WITH {OVERLAPS_SQL} SELECT e.user_id, e.event_id, min_by(o.begin, o.place) AS begin, min(o.place) AS place FROM events e JOIN o ON o.user_id = e.user_id AND e.event_id BETWEEN o.begin AND o.finish GROUP BY e.user_id, e.event_id")
+def point_in_overlapping_segments(spark, d):
+    """Segments that nest and overlap, as users may draw them: the first in list order that holds the event."""
+    e = table(spark, d, "events")
+    begin, n = F.col("event_id") - F.col("event_id") % 37, F.col("event_id")
+    drawn = e.where(F.col("event_type").isin("view", "signup")).select("user_id", n.alias("place"), begin.alias("begin"), (begin + F.when(n % 50 == 0, 4000).otherwise(n % 700)).alias("finish"))
+    found = I.first_covering(e.select("user_id", "event_id"), drawn, "user_id", "event_id", "begin", "finish", "place")
+    return found.select("user_id", "event_id", "begin", "place")
 
 
 @query("SELECT a.event_id, b.event_type AS key_type FROM events a JOIN events b ON b.event_id = a.event_id - a.event_id % 60 AND a.event_id <> 0")

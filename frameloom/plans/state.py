@@ -99,18 +99,19 @@ def copy_settings_document(spark, d):
     return D.copy_settings(spark, path)
 
 
-@query(f"WITH {FRAMES_SQL} SELECT 'frame' AS kind, concat('/v', video_id) AS a, CAST(pos AS VARCHAR) AS b, array_to_string(bits, '') AS bits FROM frames WHERE video_id < 25 UNION ALL SELECT 'pair', n_name, concat(n_name, ' ', n_regionkey), '' FROM nation")
+@query(f"WITH {FRAMES_SQL} SELECT 'frame' AS kind, concat('/v', video_id) AS a, CAST(pos AS VARCHAR) AS b, array_to_string(bits, '') AS bits FROM frames UNION ALL SELECT 'pair', n_name, concat(n_name, ' ', n_regionkey), '' FROM nation")
 def analysed_files_document(spark, d):
-    """The store of analysed files: a bounded list of items with their frames' bits, and pairs as they were noted."""
+    """The store of analysed files, as documents of about a hundred items each: all items with their frames' bits, and pairs as they were noted."""
     bit = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substr(F.col("s"), i + 1, F.lit(1)) == "1")
     block = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("b", r * 8 + 1, 8))
-    own = frames(spark, d).where("video_id < 25").select("video_id", "pos", F.lpad(F.bin("h"), 64, "0").alias("s"))
+    own = frames(spark, d).select("video_id", "pos", F.lpad(F.bin("h"), 64, "0").alias("s"))
     own = S.settled(own, ["video_id", "pos"], b=bit).select("video_id", F.struct("pos", block.alias("block")).alias("f"))
     items = own.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["block"]).alias("hash"))
-    entries = items.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/v"), F.col("video_id").cast("string")), F.col("hash")))).alias("analyzed_files"))
-    pairs = table(spark, d, "nation").agg(F.collect_list(F.array("n_name", F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")))).alias("ignored_pairs"))
-    path = place(spark, "analysed")
-    D.save_document(entries.crossJoin(pairs), path)  # one row each
+    entry = F.struct(F.concat(F.lit("/v"), F.col("video_id").cast("string")), F.col("hash"))
+    stored = items.groupBy(F.expr("video_id div 100").alias("_part")).agg(F.map_from_entries(F.collect_list(entry)).alias("analyzed_files")).drop("_part")
+    pairs = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.array("n_name", F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")))).alias("ignored_pairs")).select("ignored_pairs")
+    path = scratch_path(spark, "analysed")
+    D.save_documents(stored.unionByName(pairs, allowMissingColumns=True), path)
     found, ignored = D.analysed_files(spark, path)
     return found.select(F.lit("frame").alias("kind"), F.col("path").alias("a"), F.col("frame_pos").cast("string").alias("b"), F.array_join("bits", "").alias("bits")).unionByName(
         ignored.select(F.lit("pair").alias("kind"), "a", "b", F.lit("").alias("bits")))

@@ -156,11 +156,14 @@ def batches(spark, d):
     return files(spark, d).select("source", X.basename(p).alias("name"), F.lower(X.extension(p)).isin(*V.FORMATS).alias("ok"))
 
 
-@query(f"""WITH {BATCH_SQL} SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS valid, array_to_string(list_filter([CASE WHEN count(*) > 40 THEN concat('too many files (', count(*), ' > 40)') END, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'no valid file' END], lambda e: e IS NOT NULL), ',') AS errors,
-  count(*) <= 40 AND count(*) FILTER (WHERE ok) = count(*) AS accepted FROM f GROUP BY source""")
+@query(f"""WITH {BATCH_SQL}, b AS (SELECT DISTINCT source FROM f UNION SELECT r_name FROM region), c AS (SELECT b.source, count(f.source) AS n, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS valid FROM b LEFT JOIN f USING (source) GROUP BY 1)
+SELECT source, n, valid, array_to_string(list_filter([CASE WHEN n = 0 THEN 'no file' END, CASE WHEN n > 40 THEN concat('too many files (', n, ' > 40)') END, CASE WHEN n > 0 AND valid = 0 THEN 'no valid file' END], lambda e: e IS NOT NULL), ',') AS errors,
+  n BETWEEN 1 AND 40 AND valid = n AS accepted FROM c""")
 def validate_batch(spark, d):
-    """Sources as batches of at most 40 files: the batch's own errors; accepted if there are none, of files neither."""
-    g = batches(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"))
+    """Sources as batches of at most 40 files, and regions as batches of none: the batch's own errors; accepted if there are none, of files neither."""
+    found = batches(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"))
+    none = table(spark, d, "region").select(F.col("r_name").alias("source"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("valid"))
+    g = found.unionByName(none).groupBy("source").agg(F.sum("n").alias("n"), F.sum("valid").alias("valid"))
     errors = V.batch_check(F.col("n"), F.col("valid"), most=40)
     return g.select("source", "n", "valid", F.array_join(errors, ",").alias("errors"), ((F.size(errors) == 0) & (F.col("valid") == F.col("n"))).alias("accepted"))
 

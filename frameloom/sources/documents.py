@@ -142,13 +142,26 @@ def project_or_new(spark: SparkSession, path: str, video_path: str) -> DataFrame
 
 
 def analysed_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(path, frame_pos, bits) of the analysed files and (a, b) of the ignored pairs, as they were stored; both empty without a document."""
-    doc = document(spark, path, ANALYSED)
+    """(path, frame_pos, bits) of the analysed files and (a, b) of the ignored pairs, as they were stored; both empty without a document.
+
+    ``path`` is a document, or a folder of them as ``save_documents`` writes it: one a line, each with some of the files and pairs.
+    """
+    try:
+        doc = spark.read.text(path).select(F.from_json("value", ANALYSED).alias("value"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        doc = spark.createDataFrame([], f"value {ANALYSED}")
     frames = doc.select(F.explode("value.analyzed_files").alias("path", "hash")).select("path", F.posexplode("hash").alias("frame_pos", "block"))
     pairs = doc.select(F.explode("value.ignored_pairs").alias("p")).select(F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b")).distinct()
     return frames.select("path", "frame_pos", F.transform(F.flatten("block"), lambda b: b.cast("int")).alias("bits")), pairs
 
 
+def save_documents(rows: DataFrame, folder: str) -> None:
+    """Write every row as a document, one a line, by the tasks that hold the rows; nothing goes through the driver."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
+
+
 def copy_settings(spark: SparkSession, path: str) -> DataFrame:
     """One row: source_path, dest_path; null what the document lacks."""
     return document(spark, path, COPY).select("value.source_path", "value.dest_path")

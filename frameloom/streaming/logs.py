@@ -40,10 +40,14 @@ def as_text(records: DataFrame) -> DataFrame:
     return records.select(*known).select(F.concat_ws(" | ", "timestamp", F.rpad("level", 8, " "), "logger", "message", "exception").alias("value"))
 
 
-def expired(files: list[tuple[str, int]], limit: int) -> list[str]:
-    """Of files (path, bytes), newest first: those beyond the first ``limit`` bytes; the newest is kept."""
+#: Records of a sink's file; those of a batch beyond them go to a further one.
+FILE_RECORDS = 500_000
+
+
+def expired(batches: list[tuple[str, int]], limit: int) -> list[str]:
+    """Of batches (folder, bytes), newest first: those beyond the first ``limit`` bytes; the newest is kept."""
     total, out = 0, []
-    for i, (path, size) in enumerate(files):
+    for i, (path, size) in enumerate(batches):
         total += size
         if i and total > limit:
             out.append(path)
@@ -51,32 +55,39 @@ def expired(files: list[tuple[str, int]], limit: int) -> list[str]:
 
 
 def rotate(spark: SparkSession, folder: str, limit: int) -> None:
-    """Delete a sink's oldest files so that ``limit`` bytes stay; a sink has few files."""
+    """Delete a sink's oldest batches so that ``limit`` bytes stay; a sink has few."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return
-    found = [(f.getModificationTime(), f.getPath(), f.getLen()) for f in fs.listStatus(path) if f.isFile() and f.getPath().getName().startswith("part-")]
-    by_name = {p.toString(): p for _, p, _ in found}
-    newest = sorted(((t, p.toString(), n) for t, p, n in found), reverse=True)
-    for name in expired([(p, n) for _, p, n in newest], limit):
-        fs.delete(by_name[name], False)
+    found = {int(f.getPath().getName().partition("=")[2]): f.getPath() for f in fs.listStatus(path) if f.isDirectory() and f.getPath().getName().startswith("batch=")}
+    newest = [(str(n), fs.getContentSummary(found[n]).getLength()) for n in sorted(found, reverse=True)]
+    for name in expired(newest, limit):
+        fs.delete(found[int(name)], True)
+
+
+def write_batch(batch: DataFrame, number: int, folder: str, limits: dict[str, int] = LIMITS) -> None:
+    """Give a micro-batch to every sink that takes its records: JSON lines, or text.
+
+    A sink has one folder a batch, whose files are named by their task; Spark commits them together. A batch that is
+    repeated after a failure replaces its own folder, so each record is there once, and one that rotation took stays away.
+    """
+    batch.persist()
+    spark = batch.sparkSession
+    for sink in SINKS:
+        taken = batch.where(takes(sink, F.col("level")))
+        lines = taken.select(F.to_json(F.struct("*")).alias("value")) if sink == "json" else as_text(taken)
+        lines.write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).text(f"{folder}/{sink}/batch={number}")
+        if sink in limits:
+            rotate(spark, f"{folder}/{sink}", limits[sink])
+    batch.unpersist()
 
 
 def write_sinks(records: DataFrame, folder: str, checkpoint: str, limits: dict[str, int] = LIMITS):
-    """Start one streaming query that appends each micro-batch to every sink's folder, as JSON lines or text, and keeps each sink within its limit."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        for sink in SINKS:
-            taken = batch.where(takes(sink, F.col("level")))
-            if sink == "json":
-                taken.write.mode("append").json(f"{folder}/{sink}")
-            else:
-                as_text(taken).write.mode("append").text(f"{folder}/{sink}")
-            if sink in limits:
-                rotate(batch.sparkSession, f"{folder}/{sink}", limits[sink])
-        batch.unpersist()
+    """Start one streaming query that gives each micro-batch to every sink, once whatever fails, and keeps each sink within its limit."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        write_batch(batch, number, folder, limits)
 
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -87,5 +98,5 @@ def written_sinks(spark: SparkSession, events: DataFrame) -> DataFrame:
     events.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
     write_sinks(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    counts = [spark.read.text(f"{folder}/out/{s}").agg(F.count("*").alias("lines")).select(F.lit(s).alias("sink"), "lines") for s in SINKS]
+    counts = [spark.read.schema("value string, batch long").text(f"{folder}/out/{s}").agg(F.count("*").alias("lines")).select(F.lit(s).alias("sink"), "lines") for s in SINKS]
     return reduce(DataFrame.unionByName, counts)
