@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import importlib
+import multiprocessing
+import pkgutil
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,17 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mapped(items: DataFrame, key: str, item: str, f: Callable, limit_seconds: float = 300.0) -> DataFrame:
+def _called(f: Callable, x, handlers: dict[type[Exception], Callable]) -> tuple:
+    """ok, value, error; the first handler whose type the error is of, in the order they were given, gives the value instead."""
+    try:
+        return True, str(f(x)), None
+    except Exception as e:  # noqa: BLE001  (whatever the caller's function raises is a result)
+        said = f"{type(e).__name__}: {e}"
+        for kind, handler in handlers.items():
+            if isinstance(e, kind):
+                try:
+                    return False, str(handler(x, e)), said
+                except Exception:  # noqa: BLE001  (a handler that fails changes nothing)
+                    break
+        return False, None, said
+
+
+def mapped(items: DataFrame, key: str, item: str, f: Callable, limit_seconds: float = 300.0, handlers: dict[type[Exception], Callable] | None = None) -> DataFrame:
     """key, ok, value, error of ``f`` called for the text of every item.
 
-    A call that raises gives ok false and the error's text. What a task hasn't begun ``limit_seconds`` after its start is cancelled: ok is null.
+    A call that raises gives ok false and the error's text, and as its value what the handler of its type, if any, makes of the item and the error.
+    What a task hasn't begun ``limit_seconds`` after its start is cancelled: ok is null.
     """
 
     def one(x):
-        try:
-            return True, str(f(x)), None
-        except Exception as e:  # noqa: BLE001  (whatever the caller's function raises is a result)
-            return False, None, f"{type(e).__name__}: {e}"
+        return _called(f, x, handlers or {})
 
     def run(batches):
         began = time.monotonic()
@@ -34,6 +51,66 @@ def mapped(items: DataFrame, key: str, item: str, f: Callable, limit_seconds: fl
     return items.select(key, F.col(item).cast("string")).mapInArrow(run, f"{key} {kind}, ok boolean, value string, error string")
 
 
+class _Helper:
+    """A process beside the worker that calls the function, and can be ended."""
+
+    def __init__(self, f: Callable) -> None:
+        forked = multiprocessing.get_context("fork")
+        self.here, there = forked.Pipe()
+
+        def serve() -> None:
+            self.here.close()
+            with contextlib.suppress(EOFError):
+                while True:
+                    there.send(_called(f, there.recv(), {}))
+
+        self.process = forked.Process(target=serve, daemon=True)
+        self.process.start()
+        there.close()
+
+    def call(self, x, seconds: float) -> tuple | None:
+        """The result, or null if there is none after so many seconds or the process is gone."""
+        try:
+            self.here.send(x)
+            return self.here.recv() if self.here.poll(seconds) else None
+        except (EOFError, OSError):
+            return None
+
+    def end(self) -> None:
+        self.process.kill()
+        self.process.join()
+        self.here.close()
+
+
+def mapped_within(items: DataFrame, key: str, item: str, f: Callable, seconds: float) -> DataFrame:
+    """As ``mapped``, with a deadline for every single item: one that takes longer, or takes its process down, has ok false and the error says so; the others go on.
+
+    Calls run in one helper process a task, which is killed and replaced when an item hangs, so such an item costs its limit and no more.
+    """
+
+    def run(batches):
+        helper = None
+        try:
+            for batch in batches:
+                found = []
+                for x in batch.column(1).to_pylist():
+                    helper = helper or _Helper(f)
+                    result = helper.call(x, seconds)
+                    if result is None:
+                        hung = helper.process.is_alive()
+                        helper.end()
+                        helper, result = None, (False, None, f"TimeoutError: over {seconds:g} s" if hung else "ChildProcessError: the helper ended")
+                    found.append(result)
+                columns = [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "ok", "value", "error"])
+        finally:
+            if helper is not None:
+                helper.end()
+
+    kind = items.schema[key].dataType.simpleString()
+    return items.select(key, F.col(item).cast("string")).mapInArrow(run, f"{key} {kind}, ok boolean, value string, error string")
+
+
 @dataclass(frozen=True)
 class Transform:
     name: str
@@ -63,6 +140,27 @@ class Transforms:
             if isinstance(other, Transforms) and other is not self:
                 self.known = other.known | self.known
 
+    def discover_package(self, package) -> dict[str, str]:
+        """Take over the transforms of the first registry of every module of a package, in order of their names; names that begin with an underscore are left out.
+
+        Gives the modules that can't be imported or have no registry, with the reason; the others are taken all the same.
+        """
+        failed = {}
+        for found in sorted(pkgutil.iter_modules(package.__path__), key=lambda m: m.name):
+            if found.name.startswith("_"):
+                continue
+            try:
+                module = importlib.import_module(f"{package.__name__}.{found.name}")
+                registry = next((x for x in vars(module).values() if isinstance(x, Transforms)), None)
+            except Exception as e:  # noqa: BLE001  (an extension that fails must not stop the others)
+                failed[found.name] = f"{type(e).__name__}: {e}"
+                continue
+            if registry is None:
+                failed[found.name] = "no transforms"
+            else:
+                self.known = registry.known | self.known
+        return failed
+
     def chain(self, rows: DataFrame, names: list[str]) -> DataFrame:
         for name in names:
             rows = rows.transform(self.known[name].apply)

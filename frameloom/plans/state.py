@@ -130,6 +130,13 @@ def hash_cache_roundtrip(spark, d):
     return spark.read.parquet(path).select("vec_id", F.lpad(F.bin("h"), 64, "0").alias("bits"), "last_modified", F.lit(left).cast("int").alias("left_after_clearing"))
 
 
+def steps_of_states(spark, d):
+    """The events as user_id, event_id, ts, op and state."""
+    op = F.when(F.col("event_type") == "view", "push").when(F.col("event_type").isin("click", "purchase"), "set").when(F.col("event_type") == "error", "pop")
+    state = F.concat("event_type", (F.col("event_id") % 10).cast("string"))
+    return table(spark, d, "events").select("user_id", "event_id", "ts", op.alias("op"), state.alias("state")).where("op is not null")
+
+
 OP_SQL = "CASE event_type WHEN 'view' THEN 'push' WHEN 'click' THEN 'set' WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'pop' END"
 
 
@@ -143,10 +150,7 @@ def state_stack(spark, d):
 
     Depth is a running sum kept at 0 or more; the state after a step is the last one set at its depth.
     """
-    e = table(spark, d, "events")
-    op = F.when(F.col("event_type") == "view", "push").when(F.col("event_type").isin("click", "purchase"), "set").when(F.col("event_type") == "error", "pop")
-    steps = e.select("user_id", "event_id", "ts", op.alias("op"), F.concat("event_type", (F.col("event_id") % 10).cast("string")).alias("state")).where("op is not null")
-    return K.stacked(steps, "user_id", ["ts", "event_id"], "idle").select("user_id", "event_id", "state", "depth")
+    return K.stacked(steps_of_states(spark, d), "user_id", ["ts", "event_id"], "idle").select("user_id", "event_id", "state", "depth")
 
 
 @query("""WITH i AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS k FROM events) SELECT event_id, k <> 0 AS ok, CASE WHEN k <> 0 THEN CAST(100 // k AS VARCHAR) END AS value, CASE WHEN k = 0 THEN 'ZeroDivisionError' END AS error FROM i""")

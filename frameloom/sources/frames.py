@@ -1,18 +1,26 @@
-"""Perceptual hashes of decoded frames.
+"""Films as a data source, perceptual hashes of their frames, and their scenes.
 
-A decoder turns files into frames; that of uncompressed YUV4MPEG2 is here, others are
-the caller's. A frame comes as rows of 8-bit pixels, gray or blue, green, red. Reducing to 32 x 32 by area, smoothing and the cosine transform are linear,
+A decoder reads single frames of a file by seeking; that of uncompressed YUV4MPEG2 is
+here, others are the caller's. A frame comes as rows of 8-bit pixels, gray or blue, green, red. Reducing to 32 x 32 by area, smoothing and the cosine transform are linear,
 so each is a matrix applied from both sides; a batch of frames of one size shares them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from frameloom.sources.scratch import written
 
 SIDE, CORNER = 32, 8
 #: Bytes of pixels that are reduced together, about.
@@ -101,37 +109,59 @@ def duration(total: Column, fps: Column) -> Column:
 
 
 class Y4M:
-    """Decoder of uncompressed YUV4MPEG2 files, by their luma plane; ``open`` of other formats takes its place.
+    """Decoder of an uncompressed YUV4MPEG2 file that can seek, by its luma plane; a class of other formats may take its place.
 
     Header: the word YUV4MPEG2, fields W (width), H (height), F (rate as n:d), C (chroma, 420 if absent), a line feed; then frames, each a FRAME line and its planes.
+    Frames lie at equal distances unless a FRAME line has parameters; then their lines are read one after the other, the planes between them are not.
     """
 
     PLANES = {"mono": 1.0, "420": 1.5, "422": 2.0, "444": 3.0}
+    LINE = b"FRAME\n"
 
-    def __init__(self, data: bytes) -> None:
-        head, _, self.body = data.partition(b"\n")
+    def __init__(self, file: BinaryIO, size: int) -> None:
+        self.file, self.bytes_read = file, 0
+        head, found, _ = self._take(0, 256).partition(b"\n")
         words = head.decode("ascii", "replace").split(" ")
-        if words[0] != "YUV4MPEG2":
+        if words[0] != "YUV4MPEG2" or not found:
             raise ValueError("not a YUV4MPEG2 file")
         said = {w[0]: w[1:] for w in words[1:] if w}
         self.width, self.height = int(said["W"]), int(said["H"])
         n, _, d = said.get("F", "30:1").partition(":")
         self.fps = int(n) // max(1, int(d or 1))
         chroma = next((k for k in self.PLANES if said.get("C", "420").startswith(k)), "420")
-        self.area = self.width * self.height
-        self.size = int(self.area * self.PLANES[chroma])
-        self.places: list[int] = []
-        at = 0
-        while (end := self.body.find(b"\n", at)) >= 0 and self.body.startswith(b"FRAME", at) and end + 1 + self.area <= len(self.body):
-            self.places.append(end + 1)
-            at = end + 1 + self.size
+        self.area, self.first, self.size = self.width * self.height, len(head) + 1, size
+        self.planes = int(self.area * self.PLANES[chroma])
+        self.step = len(self.LINE) + self.planes
+        self.places: list[int] | None = None
+        whole = max(0, size - self.first)
+        if whole % self.step or whole and self._take(size - self.step, len(self.LINE)) != self.LINE:
+            self.places = self._walked()
+
+    def _take(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        out = self.file.read(n)
+        self.bytes_read += len(out)
+        return out
+
+    def _walked(self) -> list[int]:
+        """Where the pictures of frames begin, as far as their luma is whole."""
+        out, at = [], self.first
+        while (line := self._take(at, 80)).startswith(b"FRAME") and (end := line.find(b"\n")) >= 0 and at + end + 1 + self.area <= self.size:
+            out.append(at + end + 1)
+            at += end + 1 + self.planes
+        return out
 
     def total(self) -> int:
-        return len(self.places)
+        return (self.size - self.first) // self.step if self.places is None else len(self.places)
 
     def read(self, i: int) -> bytes | None:
         """The luma of frame ``i``; null if it can't be read."""
-        return self.body[self.places[i] : self.places[i] + self.area] if 0 <= i < len(self.places) else None
+        if not 0 <= i < self.total():
+            return None
+        if self.places is not None:
+            return self._take(self.places[i], self.area)
+        found = self._take(self.first + i * self.step, len(self.LINE) + self.area)
+        return found[len(self.LINE) :] if found.startswith(self.LINE) and len(found) == len(self.LINE) + self.area else None
 
 
 def sampled_indices(total: int, short: int = 1000, stride: int = 500, most: int = 10) -> list[int]:
@@ -141,31 +171,214 @@ def sampled_indices(total: int, short: int = 1000, stride: int = 500, most: int
     return sorted(found if len(found) >= 3 else found | set(range(min(5, total))))
 
 
-def decoded_frames(files: DataFrame, decoder=Y4M, most_errors: int = 5) -> DataFrame:
-    """files (path, content) to the sampled frames (path, pos, frame, height, width, data, duration), by a decoder class with width, height, fps, total() and read(i).
+FRAMES = "path string, pos long, frame long, height int, width int, data binary, duration double, bytes_read long"
+#: Rows that a worker hands on together.
+TOGETHER = 64
+
+
+def located(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(place if place.startswith("/") or "://" in place else place.replace("file:", "file://", 1))
+
+
+def _film_rows(place: str, chosen: Callable[[int], Iterable[int]], decoder: type, most_errors: int) -> Iterator[tuple]:
+    """Rows (``FRAMES``) of the frames that ``chosen`` picks of their number; none of a file that can't be opened."""
+    try:
+        system, path = located(place)
+        with system.open_input_file(path) as file:
+            film = decoder(file, file.size())
+            total, errors, pos = film.total(), 0, 0
+            for i in chosen(total) if total else ():
+                data = film.read(i)
+                if data is None:
+                    errors += 1
+                    if errors >= most_errors:
+                        return
+                else:
+                    yield place, pos, i, film.height, film.width, data, total / (film.fps or USUAL_RATE), film.bytes_read
+                    pos += 1
+    except (OSError, ValueError, KeyError):
+        return
+
+
+def _handed_on(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.int64()]
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+    rows = iter(rows)
+    while part := list(islice(rows, TOGETHER)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+
+def decoded_frames(files: DataFrame, decoder: type = Y4M, most_errors: int = 5) -> DataFrame:
+    """files (path) to their sampled frames (``FRAMES``), read by seeking; by a decoder class of a file and its size, with width, height, fps, bytes_read, total() and read(i).
 
     A file that can't be opened or has no frame that can be read gives none; after ``most_errors`` failed frames the rest of a file is left.
     """
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, errors = [], 0
-                try:
-                    film = decoder(content or b"")
-                    total = film.total()
-                except (ValueError, KeyError):
-                    continue
-                for i in sampled_indices(total) if total else []:
-                    data = film.read(i)
-                    if data is None:
-                        errors += 1
-                        if errors >= most_errors:
-                            break
-                    else:
-                        rows.append((path, len(rows), i, film.height, film.width, data, total / (film.fps or USUAL_RATE)))
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "pos", "frame", "height", "width", "data", "duration"])
-
-    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "path string, pos long, frame long, height int, width int, data binary, duration double")
+            for place in batch.column(0).to_pylist():
+                if place is not None:
+                    yield from _handed_on(_film_rows(place, sampled_indices, decoder, most_errors))
+
+    return files.select(F.col("path").cast("string")).mapInArrow(run, FRAMES)
+
+
+@dataclass
+class FilmPart(InputPartition):
+    """Some whole files, or the frames of one file that begin in a range of its bytes."""
+
+    places: list[str]
+    begin: int = 0
+    end: int | None = None
+
+
+class FilmReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.folder, self.sampled = options["path"], options.get("frames", "sampled") == "sampled"
+        self.split = int(options.get("split", 64 * 1024 * 1024))
+        #: Bytes that opening a file and seeking in it count for, beside those that are read.
+        self.open_cost = int(options.get("opencost", 1024 * 1024))
+
+    def partitions(self) -> list[FilmPart]:
+        system, path = located(self.folder)
+        prefix = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else "file://"
+        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".y4m"))
+        out, held, bytes_held = [], [], 0
+        for name, size in found:
+            if not self.sampled and size > self.split:
+                out += [FilmPart([prefix + name], at, min(size, at + self.split)) for at in range(0, size, self.split)]
+                continue
+            cost = self.open_cost + (0 if self.sampled else size)
+            if held and bytes_held + cost > self.split:
+                out.append(FilmPart(held))
+                held, bytes_held = [], 0
+            held.append(prefix + name)
+            bytes_held += cost
+        return [*out, FilmPart(held)] if held else out
+
+    def read(self, part: FilmPart) -> Iterator[pa.RecordBatch]:
+        for place in part.places:
+            yield from _handed_on(_film_rows(place, sampled_indices, Y4M, 5) if self.sampled else self._range(place, part))
+
+    def _range(self, place: str, part: FilmPart) -> Iterator[tuple]:
+        """All frames that begin in a range; their ``pos`` is their number."""
+        try:
+            system, path = located(place)
+            with system.open_input_file(path) as file:
+                film = Y4M(file, file.size())
+                for i in range(film.total()):
+                    at = film.first + i * film.step if film.places is None else film.places[i]
+                    if part.begin <= at < (part.end if part.end is not None else at + 1) and (data := film.read(i)) is not None:
+                        yield place, i, i, film.height, film.width, data, film.total() / (film.fps or USUAL_RATE), film.bytes_read
+        except (OSError, ValueError, KeyError):
+            return
+
+
+class Films(DataSource):
+    """Data source "films": frames of all .y4m files below ``path``; option frames is "sampled" or "all", split the bytes of a partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "films"
+
+    def schema(self) -> str:
+        return FRAMES
+
+    def reader(self, schema) -> FilmReader:
+        return FilmReader(self.options)
+
+
+def films(spark: SparkSession, folder: str, frames: str = "sampled", split: int | None = None) -> DataFrame:
+    """Frames (``FRAMES``) of the films below ``folder``."""
+    spark.dataSource.register(Films)
+    reader = spark.read.format("films").option("frames", frames)
+    return (reader if split is None else reader.option("split", split)).load(folder)
+
+
+def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
+    """Write frames (path, frame, height, width, data: luma) as films, one file a path, by the tasks; gives path, frames, bytes.
+
+    A film's frames stream by in order. A file takes its name when it is whole, so a task that is repeated replaces what it wrote.
+    """
+
+    def run(batches):
+        out: list[tuple] = []
+        place = file = None
+        system = path = None
+        n = 0
+
+        def close() -> None:
+            if file is not None:
+                out.append((place, n, file.tell()))
+                file.close()
+                system.move(f"{path}.part", path)
+
+        for batch in batches:
+            for name, height, width, data in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)], strict=True):
+                if name != place:
+                    close()
+                    place, n = name, 0
+                    system, path = located(name)
+                    system.create_dir(path.rpartition("/")[0], recursive=True)
+                    file = system.open_output_stream(f"{path}.part")
+                    file.write(f"YUV4MPEG2 W{width} H{height} F{fps}:1 Cmono\n".encode())
+                file.write(Y4M.LINE)
+                file.write(data)
+                n += 1
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "frames", "bytes"])
+
+    ordered = frames.select("path", "frame", "height", "width", "data").repartition("path").sortWithinPartitions("path", "frame")
+    return written(ordered.mapInArrow(run, "path string, frames long, bytes long"), "films")
+
+
+#: Side of the picture that scenes are told apart by, and the fixed values of the detector: change of a shade on average, and frames of a scene.
+THRESHOLD, SHORTEST = 30.0, 15
+
+
+def small_pictures(frames: DataFrame) -> DataFrame:
+    """frames (path, frame, height, width, data: luma) reduced to path, frame, picture: SIDE x SIDE shades."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for height, width, data in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                shades = np.frombuffer(data, np.uint8).reshape(height, width).astype(float)
+                out.append(np.rint(area_matrix(height) @ shades @ area_matrix(width).T).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["path", "frame", "picture"])
+
+    return frames.select("path", F.col("frame").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), "data").mapInArrow(run, "path string, frame long, picture binary")
+
+
+def change(a: bytes, b: bytes) -> float:
+    """Mean absolute difference of two pictures' shades."""
+    return float(np.abs(np.frombuffer(a, np.uint8).astype(int) - np.frombuffer(b, np.uint8)).mean())
+
+
+def scene_changes(pictures: DataFrame) -> DataFrame:
+    """path, frame, score: how much each picture differs from the one before, 0 for the first."""
+    before = F.lag("picture").over(Window.partitionBy("path").orderBy("frame"))
+
+    def run(batches):
+        for batch in batches:
+            scores = [0.0 if b is None else change(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["path", "frame", "score"])
+
+    return pictures.select("path", "frame", "picture", before.alias("before")).mapInArrow(run, "path string, frame long, score double")
+
+
+def scenes(changes: DataFrame, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+    """path, first, last of the scenes: a frame begins one if its score reaches ``threshold`` and the scene before has ``shortest`` frames.
+
+    Only the frames that reach the threshold are gathered, those of one film.
+    """
+    ends = changes.groupBy("path").agg(F.min("frame").alias("low"), F.max("frame").alias("high"), F.array_sort(F.collect_list(F.when(F.col("score") >= threshold, F.col("frame")))).alias("may"))
+
+    def taken(acc: Column, frame: Column) -> Column:
+        return F.when(frame - F.element_at(acc, -1) >= shortest, F.concat(acc, F.array(frame))).otherwise(acc)
+
+    first = F.aggregate("may", F.array("low"), taken)
+    each = ends.select("path", "high", first.alias("begins")).select("path", "high", "begins", F.posexplode("begins").alias("at", "first"))
+    return each.select("path", "first", F.coalesce(F.get("begins", F.col("at") + 1) - 1, F.col("high")).alias("last"))
