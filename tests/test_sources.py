@@ -101,13 +101,16 @@ def test_frame_matrices():
     assert np.isclose((frames.cosine_matrix() @ x @ frames.cosine_matrix().T)[k, l], slow)
 
 
-def test_decoded_frames(spark):
+def test_decoded_frames(spark, tmp_path):
     def film(frames, chroma="C420", head=b"YUV4MPEG2 W8 H4 F25:1 "):
         planes = {"C420": 16, "Cmono": 0}[chroma]
         return head + chroma.encode() + b"\n" + b"".join(b"FRAME\n" + bytes([i]) * 32 + bytes(planes) for i in range(frames))
 
-    rows = [("a", film(50)), ("mono", film(3, "Cmono")), ("cut", film(2)[:-20]), ("none", b"x"), ("null", None), ("empty", film(0))]
-    got = frames.decoded_frames(spark.createDataFrame(rows, "path string, content binary")).collect()
+    rows = {"a": film(50), "mono": film(3, "Cmono"), "cut": film(2)[:-20], "none": b"x", "empty": film(0)}
+    for name, data in rows.items():
+        (tmp_path / name).write_bytes(data)
+    places = [(str(tmp_path / n),) for n in [*rows, "missing"]] + [(None,)]
+    got = frames.decoded_frames(spark.createDataFrame(places, "path string")).withColumn("path", F.substring_index("path", "/", -1)).collect()
     assert {r.path for r in got} == {"a", "mono", "cut"}
     assert [(r.pos, r.frame, r.height, r.width, r.data[0], r.duration) for r in got if r.path == "a"] == [(p, f, 4, 8, f, 2.0) for p, f in enumerate([5, 15, 25, 35, 45])]
     assert [r.frame for r in got if r.path == "mono"] == [0, 1, 2]
