@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import decontaminate, jaccard_join, leaderboard, license_scan, minhash_dedup, packing, pivot_search, prefix_trie, quality_rules, token_store, unigram_counts, url_reputation, warc_fixity
+from frameloom.llm import decontaminate, jaccard_join, leaderboard, license_scan, minhash_dedup, oracles, packing, pivot_search, prefix_trie, quality_rules, token_store, unigram_counts, url_reputation, warc_fixity
 from frameloom.llm.common import table
 from frameloom.llm.tokens import public_path
 
@@ -142,4 +142,7 @@ QUERIES = {
         op6_token_store, op7_warc_fixity, op8_unigram_token_counts, op9_benchmark_decontamination, op10_url_reputation, op11_revenue_ladder, op12_tensored_minhash, op13_conversation_trie,
     )
 }
-ORACLES = {"op3_license_scan": _op3_sql(), "op5_pivot_search": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLES = {
+    "op2_ngram_jaccard_join": oracles.near_components(4, 85, kept=False), "op3_license_scan": _op3_sql(), "op5_pivot_search": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL,
+    "op11_revenue_ladder": oracles.LEADERBOARD, "op12_tensored_minhash": oracles.near_components(5, 85, kept=True), "op13_conversation_trie": oracles.TRIE,
+}
