@@ -93,19 +93,19 @@ def node_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
 PACKED = "bucket long, pack long, low binary, owner binary, nodes binary, sizes binary, common binary"
 
 
-def _six(h: np.ndarray) -> bytes:
+def six_bytes(h: np.ndarray) -> bytes:
     """The low six bytes of each hash; the bucket says the rest, or more."""
     return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
+def from_six_bytes(raw: bytes) -> np.ndarray:
     part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     wide = np.zeros((len(part), 8), np.uint8)
     wide[:, :6] = part
     return wide.reshape(-1).view(np.uint64)
 
 
-def _narrow(local: np.ndarray, many: int) -> bytes:
+def narrow(local: np.ndarray, many: int) -> bytes:
     return local.astype(np.uint32 if many > 65_536 else np.uint16).tobytes()
 
 
@@ -145,7 +145,7 @@ def _pack(entries, bits: int, often: int):
 
         def add(bucket: int, number: int, low: bytes, owner: np.ndarray, shared: bytes) -> None:
             used, local = np.unique(owner, return_inverse=True)
-            for column, value in zip(out.values(), (bucket, number, low, _narrow(local, len(used)), names[used].tobytes(), lengths[used].tobytes(), shared), strict=True):
+            for column, value in zip(out.values(), (bucket, number, low, narrow(local, len(used)), names[used].tobytes(), lengths[used].tobytes(), shared), strict=True):
                 column.append(value)
 
         if len(common):
@@ -160,7 +160,7 @@ def _pack(entries, bits: int, often: int):
         h, owner, place = h[order], owner[order], place[order]
         for bucket in np.union1d(place, shared):
             a, b = np.searchsorted(place, bucket, "left"), np.searchsorted(place, bucket, "right")
-            add(int(bucket), 0, _six(h[a:b]), owner[a:b], _six(common[shared == bucket]))
+            add(int(bucket), 0, six_bytes(h[a:b]), owner[a:b], six_bytes(common[shared == bucket]))
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -196,13 +196,13 @@ def _shared(bits: int):
         for low, owner, names, lengths in zip(pdf["low"], pdf["owner"], pdf["nodes"], pdf["sizes"], strict=True):
             names, lengths = np.frombuffer(names, np.int64), np.frombuffer(lengths, np.uint32)
             local = np.frombuffer(owner, np.uint32 if len(names) > 65_536 else np.uint16)
-            hs.append(np.frombuffer(low, np.uint64) if apart else _from_six(low))
+            hs.append(np.frombuffer(low, np.uint64) if apart else from_six_bytes(low))
             nodes.append(names[local])
             sizes.append(lengths[local])
         h, node, n = np.concatenate(hs), np.concatenate(nodes), np.concatenate(sizes)
         if apart:
             return pd.DataFrame({"node": node, "n": n.astype(np.int64), "h": h.view(np.int64), "df": np.full(len(h), COMMON)})
-        common = np.unique(np.concatenate([_from_six(c) for c in pdf["common"]]))
+        common = np.unique(np.concatenate([from_six_bytes(c) for c in pdf["common"]]))
         order = np.argsort(h)
         h, node, n = h[order], node[order], n[order]
         same = np.concatenate([[False], h[1:] == h[:-1], [False]])

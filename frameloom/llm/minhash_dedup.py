@@ -7,7 +7,7 @@
    those would take 1,536. Two sets of Jaccard similarity J share a key with probability
    (1 - (1 - J**BAND)**TABLES)**2: all but 5e-7 of pairs at 0.85, all but 2e-9 at 0.9, one
    of eight at 0.3, one of 4,000 at 0.1.
-3. A task packs the keys of some nodes. Of the nodes that share a key there, all are tied
+3. A task packs the keys of some nodes, by their leading bits into buckets and 48 more. Of the nodes that share a key there, all are tied
    to the smallest, and only that one goes on to the other packs' nodes: a key that a
    third of all documents has costs a row a pack. Ties make coarse groups.
 4. Candidates are verified on their full sets by ``jaccard_join.links``, which neither
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from frameloom.llm import jaccard_join
 from frameloom.llm.common import give_back, materialize, slices
 from frameloom.llm.components import connected_components
+from frameloom.llm.jaccard_join import from_six_bytes, narrow, six_bytes
 from frameloom.llm.shingles import mix, shingles
 from frameloom.llm.tokens import forget
 
@@ -39,7 +40,7 @@ _random = np.random.default_rng(20_260_301)
 _SEEDS = _random.integers(0, 2**63, 2 * TABLES * BAND, dtype=np.uint64)
 _ODD = _random.integers(0, 2**62, 2 * TABLES * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _random.integers(0, 2**63, TABLES * TABLES, dtype=np.uint64)
-PACKED = "bucket long, keys binary, nodes binary"
+PACKED = "bucket long, low binary, owner binary, nodes binary"
 
 
 def minhashes(found: np.ndarray) -> np.ndarray:
@@ -78,14 +79,16 @@ def _pack(words: int, bits: int):
         key, node = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), TABLES * TABLES)
         a, b, stay = _ties(key, node)
         key, node = key[stay], node[stay]
-        out = [(-1, a.tobytes(), b.tobytes())] if len(a) else []
+        out = [(-1, b"", a.tobytes(), b.tobytes())] if len(a) else []
         place = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
         order = np.argsort(place, kind="stable")
         key, node, place = key[order], node[order], place[order]
         for bucket in np.unique(place):
             at = slice(np.searchsorted(place, bucket, "left"), np.searchsorted(place, bucket, "right"))
-            out.append((int(bucket), key[at].tobytes(), node[at].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "nodes"])
+            names, local = np.unique(node[at], return_inverse=True)
+            out.append((int(bucket), six_bytes(key[at]), narrow(local, len(names)), names.tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "low", "owner", "nodes"])
 
     def run(batches):
         forget()
@@ -109,8 +112,11 @@ def _pack(words: int, bits: int):
 
 def _tie_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     give_back()
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-    a, b, _ = _ties(key, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]))
+    nodes = []
+    for owner, names in zip(pdf["owner"], pdf["nodes"], strict=True):
+        names = np.frombuffer(names, np.int64)
+        nodes.append(names[np.frombuffer(owner, np.uint32 if len(names) > 65_536 else np.uint16)])
+    a, b, _ = _ties(np.concatenate([from_six_bytes(x) for x in pdf["low"]]), np.concatenate(nodes))
     return pd.DataFrame({"a": a, "b": b})
 
 
@@ -125,7 +131,7 @@ def tensored_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int)
     total = nodes.count() * TABLES * TABLES
     bits = max(0, (max(1, total // BUCKET) - 1).bit_length())
     packs = materialize(docs.select("text").mapInArrow(_pack(words, bits), PACKED), "bands")
-    inside = packs.where("bucket < 0").select("keys", "nodes").mapInArrow(_unpacked, "a long, b long")
+    inside = packs.where("bucket < 0").select("owner", "nodes").mapInArrow(_unpacked, "a long, b long")
     across = packs.where("bucket >= 0").groupBy("bucket").applyInPandas(_tie_bucket, "a long, b long")
     return connected_components(inside.unionByName(across).distinct())
 
