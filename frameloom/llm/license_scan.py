@@ -1,23 +1,29 @@
 """License notices found by MinHash bands over overlapping windows and verified by containment.
 
 Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
-characters; shingles are five words. A window is ``WINDOW`` consecutive shingles and
-starts at every shingle, so windows share all but one shingle with the next. A window
-has one MinHash value a band; templates are cut into windows alike, and a band value
-that equals one of a template's retrieves the template.
-
-Band settings: a shingle of a template that stands alone in a text (the hardest case, a
-template of one shingle) is the minimum of one of its windows, and so retrieves, with
-probability 2 / (WINDOW + 1) a band: 1/2 for windows of three. All ``BANDS`` bands miss it
-with probability 0.5**20, less than 1e-6; a window that lies whole inside a notice equals a
-window of the template and never misses, so notices of three shingles or more are
-retrieved with certainty.
+characters; shingles are five words. A window is some consecutive shingles and starts at
+every shingle, so windows overlap in all but one. A window has ``BANDS`` bands of ``ROWS``
+MinHash values; templates are cut into windows alike, and a band that equals one of a
+template's retrieves the template.
+
+Band settings: of Jaccard similarity j, two windows share a band with probability
+1 - (1 - j**ROWS)**BANDS: 1 if they are equal, 0.94 at 0.5, 0.9999 at 0.78. A template's
+windows have as many shingles as the largest power of two, ``WINDOW`` at most, that
+``percent`` of its shingles reach. A word that is put in, left out or changed takes four or
+five shingles in a row, so a notice that keeps ``percent`` = 80 of 100 shingles keeps a run
+of that many somewhere (at least 16 m / (m + 20) of m shingles, and for m under 20 only
+its ends can be hurt): some window is equal, and the template is retrieved with certainty.
+Shingles that are all kept but in another order, one by one, are met by the bands' probability.
+
+Only positions whose own shingle is some template's are cut into windows: a window that has
+no template's shingle shares no MinHash value with one, and of an equal window the first
+shingle is a template's too. They are found by one lookup of the shingle's hash.
 
 Retrieved (document, template) pairs are verified exactly, by words: the share of the
 template's distinct shingles that the whole document contains must reach ``percent`` / 100.
 
-All is DataFrame expressions; the templates are a bounded parameter, so their band values
-travel inside the plan. Only retrieved documents are read again, and only shingles that a
+All is DataFrame expressions. The templates' tables are broadcast if their measured bytes
+are within the bound. Only retrieved documents are read again, and only shingles that a
 template has are shuffled. Defined results: null and empty texts, and texts under five
 words, match nothing; templates under five words are refused; repeated rows give one row
 for each template, and rows of one id are judged by their texts; null ids are kept; extra
@@ -27,8 +33,6 @@ columns are ignored, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +40,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import materialize, settled, small_side
 from frameloom.llm.decontaminate import words
 
-SHINGLE, WINDOW, BANDS, PERCENT = 5, 3, 20, 80
-#: Bands that are computed in one step of generated code, which the JVM compiles only up to a size.
-STEP = 5
+SHINGLE, WINDOW, BANDS, ROWS, PERCENT = 5, 8, 10, 2, 80
 
 _DISCLAIMER = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
@@ -124,56 +126,56 @@ def _shingle(wh: Column, n: Column, at: Column) -> Column:
     return F.when(at + SHINGLE <= n, F.xxhash64(F.slice(wh, at + 1, F.lit(SHINGLE))))
 
 
-def _band(i: int, hashes: list[Column]) -> Column:
-    """MinHash number i of the shingle hashes that aren't null."""
-    mixed = [F.when(h.isNotNull(), F.xxhash64(F.lit(i), h)) for h in hashes]
-    return F.least(*mixed) if len(mixed) > 1 else mixed[0]
-
-
 def _positions(rows: DataFrame, kept: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
-    """``kept``, at and the hash of the shingle there, s0, and of the next ones of its window, for every shingle of the words ``w``."""
+    """``kept``, at, n, wh (the words' hashes) and s0, the hash of the shingle there, for every shingle of the words ``w``."""
     each = rows.select(*kept, "w", F.size("w").alias("n"), _word_hashes(F.col("w")).alias("wh")).select(*kept, "w", "n", "wh", F.posexplode("wh").alias("at", "_first"))
     whole = each.where(F.col("at") + SHINGLE <= F.col("n"))
-    return whole.select(*kept, *extra, "at", *[_shingle(F.col("wh"), F.col("n"), F.col("at") + k).alias(f"s{k}") for k in range(WINDOW)])
+    return whole.select(*kept, *extra, "at", "n", "wh", _shingle(F.col("wh"), F.col("n"), F.col("at")).alias("s0"))
+
+
+def _banded(rows: DataFrame, kept: list[str], bands: int) -> DataFrame:
+    """rows (kept, at, n, wh, window): kept and the values of the bands of the window that begins at ``at``, where it is whole."""
+    whole = rows.where(F.col("at") + F.col("window") - 1 + SHINGLE <= F.col("n"))
+    inside = F.transform(F.sequence(F.lit(0), F.col("window") - 1), lambda i: F.xxhash64(F.slice("wh", F.col("at") + i + 1, F.lit(SHINGLE))))
+    held = settled(whole, [*kept, "window"], s=inside)
+
+    def least(number: int) -> Column:
+        return F.array_min(F.transform("s", lambda x: F.xxhash64(F.lit(number), x)))
+
+    values = [F.xxhash64(F.col("window"), F.lit(i), *[least(i * ROWS + r) for r in range(ROWS)]) for i in range(bands)]
+    return held.select(*kept, F.explode(F.array(*values)).alias("value"))
 
 
-def template_tables(spark: SparkSession, templates: dict[str, str], bands: int) -> tuple[DataFrame, DataFrame]:
-    """(license, h, gram) of the templates' distinct shingles, and (band, value, license) of their windows."""
-    split = spark.createDataFrame([(name, template_words(text)) for name, text in templates.items()], "license string, w array<string>")
-    at = _positions(split, ["license"], (F.array_join(F.slice("w", F.col("at") + 1, F.lit(SHINGLE)), " ").alias("gram"), (F.col("n") - SHINGLE + 1).alias("many")))
+def template_tables(spark: SparkSession, templates: dict[str, str], bands: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(license, h, gram) of the templates' distinct shingles, (value, license) of the bands of their windows, and the windows' sizes."""
+    rows = []
+    for name, text in templates.items():
+        w = template_words(text)
+        kept = max(1, len({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}) * percent // 100)
+        rows.append((name, w, min(WINDOW, 1 << (kept.bit_length() - 1))))
+    split = spark.createDataFrame(rows, "license string, w array<string>, window int")
+    at = _positions(split, ["license", "window"], (F.array_join(F.slice("w", F.col("at") + 1, F.lit(SHINGLE)), " ").alias("gram"),))
     shingles = at.select("license", F.col("s0").alias("h"), "gram").distinct()
-    # Windows lie whole inside a template, or are all of it.
-    inside = at.where((F.col("at") + WINDOW <= F.col("many")) | (F.col("at") == 0))
-    held = [F.col(f"s{k}") for k in range(WINDOW)]
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, held).alias("value")) for i in range(bands)]))
-    return shingles, inside.select("license", values.alias("b")).select("b.band", "b.value", "license").distinct()
+    return shingles, _banded(at, ["license"], bands).distinct(), sorted({r[2] for r in rows})
 
 
-def retrieved(docs: DataFrame, banded: DataFrame, bands: int = BANDS) -> DataFrame:
+def retrieved(docs: DataFrame, shingles: DataFrame, banded: DataFrame, windows: list[int], bands: int = BANDS) -> DataFrame:
     """doc_id, row (a hash of the text), license of the templates that a window of the document meets in a band."""
-    known: dict[int, list[int]] = {}
-    for r in banded.collect():  # the templates, a parameter
-        known.setdefault(r["band"], []).append(r["value"])
     base = settled(docs, ["doc_id"], row=F.xxhash64("text"), w=words(F.col("text")))
-    held = [F.col(f"s{k}") for k in range(WINDOW)]
-    names = ["doc_id", "row", *[f"s{k}" for k in range(WINDOW)]]
-    each = settled(_positions(base, ["doc_id", "row"]).withColumn("met", F.lit(False)), ["doc_id", "row"], **{c: F.col(c) for c in [*names[2:], "met"]})
-    for first in range(0, bands, STEP):
-        step = range(first, min(first + STEP, bands))
-        met = reduce(or_, [_band(i, held).isin(known.get(i, [])) for i in step])
-        each = settled(each, names, met=F.col("met") | met)
-    at_bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band(i, held).alias("value")) for i in range(bands)]))
-    hits = each.where("met").select("doc_id", "row", at_bands.alias("b"))
-    return hits.join(small_side(banded), (F.col("b.band") == banded["band"]) & (F.col("b.value") == banded["value"])).select("doc_id", "row", "license").distinct()
+    known = materialize(shingles.select("h").distinct(), "license-hashes")
+    near = _positions(base, ["doc_id", "row"]).join(small_side(known), F.col("s0") == known["h"], "left_semi")
+    cut = near.select("doc_id", "row", "at", "n", "wh", F.explode(F.array(*map(F.lit, windows))).alias("window"))
+    hits = _banded(cut, ["doc_id", "row"], bands).alias("b")
+    return hits.join(small_side(banded).alias("t"), F.col("b.value") == F.col("t.value")).select("doc_id", "row", "license").distinct()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """doc_id, license, n_shared, n_template of every notice that a document contains."""
     docs = docs.select("doc_id", "text")
-    shingles, banded = template_tables(docs.sparkSession, templates, bands)
+    shingles, banded, windows = template_tables(docs.sparkSession, templates, bands, percent)
     shingles, banded = materialize(shingles, "license-shingles"), materialize(banded, "license-bands")
     size = shingles.groupBy("license").agg(F.count("*").alias("n_template"))
-    pairs = materialize(retrieved(docs, banded, bands), "retrieved").alias("p")
+    pairs = materialize(retrieved(docs, shingles, banded, windows, bands), "retrieved").alias("p")
     rows = materialize(pairs.select(F.col("doc_id").alias("id"), F.col("row").alias("digest")).distinct(), "retrieved-rows")
     again = docs.join(small_side(rows), docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["digest"]), "left_semi")
     base = settled(again, ["doc_id"], row=F.xxhash64("text"), w=words(F.col("text")))

@@ -1,9 +1,12 @@
 """What goes to the driver or to all tasks is bounded, whatever the rows hold."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import common, decontaminate, pivot_search, quality_rules
+from frameloom.llm import common, decontaminate, license_scan, pivot_search, quality_rules
+from tests.llm.test_llm import prose
 
 
 def test_learned_rows_are_bounded_after_the_join(spark, monkeypatch):
@@ -68,3 +71,30 @@ def test_tasks_start_from_the_samples_scores(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_hurt_notices_are_found_when_enough_is_left(spark):
+    """Every template with words put in, left out and changed, among other words, as a plain count of shingles says."""
+    rng, rows, want = random.Random(9), [], set()
+    grams = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, license_scan.template_words(t)) for k, t in license_scan.TEMPLATES.items())}
+    for text in license_scan.TEMPLATES.values():
+        for edits in range(6):
+            w = license_scan.template_words(text)
+            for _ in range(edits):
+                at = rng.randrange(len(w))
+                w[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["xx"]])
+            rows.append((len(rows), " ".join([prose(rng, 20), *w, prose(rng, 20)])))
+            own = license_scan.template_words(rows[-1][1])
+            have = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+            want |= {(rows[-1][0], k, len(g & have), len(g)) for k, g in grams.items() if 100 * len(g & have) >= 80 * len(g)}
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == want
+    assert len(got) == len(want) > 60
+
+
+def test_templates_are_not_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "some text of five words")], "doc_id long, text string")
+    shingles, banded, windows = license_scan.template_tables(spark, license_scan.TEMPLATES, license_scan.BANDS)
+    plan = license_scan.retrieved(docs, common.materialize(shingles, "s"), common.materialize(banded, "b"), windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert " IN (" not in plan and "INSET" not in plan
+    assert windows == [1, 2, 8] or max(windows) == 8
