@@ -23,8 +23,8 @@ sims AS (SELECT x.video_id AS a, y.video_id AS b, x.pos, {SAME.format('x.bits',
 KEPT_SQL = f"""{SIMS_SQL}, med AS (SELECT a, b, median(sim) AS m FROM sims GROUP BY a, b),
 mad AS (SELECT a, b, any_value(m) AS m, median(abs(sim - m)) AS mad FROM sims JOIN med USING (a, b) GROUP BY a, b),
 kept AS (SELECT a, b, pos, sim FROM sims JOIN mad USING (a, b) WHERE mad = 0 OR abs(0.6745::DOUBLE * (sim - m) / mad) < 3.5)"""
-#: A bounded list, one pair for every second item: with one of its copies, or with none that exists.
-IGNORED_SQL = "ignored AS (SELECT DISTINCT video_id AS a, video_id + 1000000 * (1 + video_id % 3) AS b FROM n WHERE video_id < 1000000 AND video_id % 2 = 0)"
+#: A bounded list, one pair for every tenth item: with one of its copies, or with none that exists.
+IGNORED_SQL = "ignored AS (SELECT DISTINCT video_id AS a, video_id + 1000000 * (1 + video_id % 3) AS b FROM n WHERE video_id < 1000000 AND video_id % 10 = 0)"
 #: Every item, and copies of it: equal ones (1000000 on), and ones with two bits of every frame turned (2000000 on), the more the later the frame (3000000 on).
 PLANTED_SQL = f"""{FRAMES_SQL}, planted AS (SELECT video_id, pos, bits FROM frames UNION ALL SELECT video_id + 1000000, pos, bits FROM frames WHERE video_id % 3 = 0
   UNION ALL SELECT video_id + 2000000, pos, list_transform(bits, lambda b, i: CASE WHEN i IN (video_id % 60 + 1, video_id % 60 + 3) THEN 1 - b ELSE b END) FROM frames WHERE video_id % 4 = 0
@@ -70,9 +70,9 @@ def close(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ignored(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """Of every second item, a pair with one of its copies, in either order."""
-    v = (frames(spark, sf_dir) if of is None else of).select("video_id").distinct().where("video_id < 1000000 and video_id % 2 = 0")
-    a, b, odd = F.col("video_id"), F.col("video_id") + 1_000_000 * (1 + F.col("video_id") % 3), F.col("video_id") % 4 == 0
+    """Of every tenth item, a pair with one of its copies, in either order."""
+    v = (frames(spark, sf_dir) if of is None else of).select("video_id").distinct().where("video_id < 1000000 and video_id % 10 = 0")
+    a, b, odd = F.col("video_id"), F.col("video_id") + 1_000_000 * (1 + F.col("video_id") % 3), F.col("video_id") % 20 == 0
     return v.select(F.when(odd, b).otherwise(a).alias("a"), F.when(odd, a).otherwise(b).alias("b"))
 
 
