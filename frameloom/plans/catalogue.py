@@ -90,14 +90,15 @@ def map_lookup_default(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(icons, F.col("event_type")), F.lit("default")).alias("icon"))
 
 
-@query("SELECT concat('v', vec_id) AS path, CAST(p AS INTEGER) AS frame_pos, embedding[p * 8 + 1] > 0 AS bit FROM embeddings, (SELECT unnest(range(0, 8)) AS p)")
+@query("SELECT concat('v', vec_id) AS path, CAST(p AS INTEGER) AS frame_pos, array_to_string(list_transform(embedding[p * 8 + 1 : p * 8 + 8], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings, (SELECT unnest(range(0, 8)) AS p)")
 def hash_cache_explode(spark, d):
-    """A cache document per item, {path: {hash: [[bit]], duration}}, as one row a frame."""
+    """A cache document per item, {path: {hash: [[bit]], duration}}, as one row a frame of eight bits."""
     e = table(spark, d, "embeddings")
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.array(F.get("embedding", p * 8) > 0))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.transform(F.slice("embedding", p * 8 + 1, 8), lambda x: x > 0))
     made = e.select(F.to_json(F.create_map(F.concat(F.lit("v"), F.col("vec_id").cast("string")), F.struct(rows.alias("hash"), F.lit(1.5).alias("duration")))).alias("cache"))
     read = made.select(F.explode(F.from_json("cache", "map<string, struct<hash: array<array<boolean>>, duration: double>>")).alias("path", "c"))
-    return read.select("path", F.posexplode("c.hash").alias("frame_pos", "bits")).select("path", "frame_pos", F.get("bits", F.lit(0)).alias("bit"))
+    frames = read.select("path", F.posexplode("c.hash").alias("frame_pos", "bits"))
+    return frames.select("path", "frame_pos", F.array_join(F.transform("bits", lambda b: b.cast("int").cast("string")), "").alias("bits"))
 
 
 PROBE_SQL = """probe AS (SELECT p_partkey, p_name, p_brand, CASE WHEN p_partkey % 31 = 0 THEN '{"streams": []}' WHEN p_partkey % 37 = 0 THEN 'failed' ELSE

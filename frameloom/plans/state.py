@@ -92,11 +92,14 @@ def regex_rename_document(spark, d):
     return table(spark, d, "part").select("p_partkey", name.alias("name"))
 
 
-@query("SELECT '/in' AS source_path, CAST(NULL AS VARCHAR) AS dest_path")
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 3 <> 1 THEN concat('/in/', n_name) END AS source_path, CASE WHEN n_nationkey % 3 <> 2 THEN concat('/out/', n_nationkey) END AS dest_path FROM nation")
 def copy_settings_document(spark, d):
-    path = place(spark, "copy")
-    D.save_document(spark.range(1).select(F.lit("/in").alias("source_path"), F.lit(1).alias("other")), path)
-    return D.copy_settings(spark, path)
+    """Settings of many users, a document each, of which some lack a field; what is missing is null."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    said = F.struct(name.alias("name"), F.when(k % 3 != 1, F.concat(F.lit("/in/"), name)).alias("source_path"), F.when(k % 3 != 2, F.concat(F.lit("/out/"), k.cast("string"))).alias("dest_path"), F.lit(1).alias("other"))
+    folder = scratch_path(spark, "copy")
+    D.save_documents(table(spark, d, "nation").select(said.alias("s")).select("s.*"), folder)
+    return D.settings_documents(spark, folder, "name string, source_path string, dest_path string")
 
 
 @query(f"WITH {FRAMES_SQL} SELECT 'frame' AS kind, concat('/v', video_id) AS a, CAST(pos AS VARCHAR) AS b, array_to_string(bits, '') AS bits FROM frames UNION ALL SELECT 'pair', n_name, concat(n_name, ' ', n_regionkey), '' FROM nation")

@@ -167,6 +167,11 @@ def copy_settings(spark: SparkSession, path: str) -> DataFrame:
     return document(spark, path, COPY).select("value.source_path", "value.dest_path")
 
 
+def settings_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Documents of ``save_documents``, a row each; fields that one lacks are null, and so are all of a broken one."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder)
+
+
 def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
     """Every field that is null or missing gets its default."""
     return rows.withColumns({c: F.coalesce(c, F.lit(x)) if c in rows.columns else F.lit(x) for c, x in defaults.items()})
