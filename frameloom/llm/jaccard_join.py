@@ -20,9 +20,10 @@ component that links form.
    decided on whole sets.
 4. Coarse groups above ``block`` nodes are not gathered. They get the prefix filter once
    more, on whole sets and in their group's own order of rarity; two linked nodes share
-   one of the keys that it leaves them. The nodes of a key that at most ``block`` have are
-   one trie, and keys of the same nodes are one; so texts that have a passage in common
-   with all others, and little else, only meet those that share the rest. Nodes with a
+   one of the keys that it leaves them. Up to ``block`` nodes that keys tie together are one
+   trie. Where more are tied, the nodes of a key that at most ``block`` have are one trie,
+   and keys of the same nodes are one; so texts that have a passage in common with all
+   others, and little else, only meet those that share the rest. Nodes with a
    key of more nodes are alike in nearly all they have: they are split into blocks, every
    block meets the first one, which joins what is alike, then the nodes outside the
    largest component meet each other and those inside; links inside that component
@@ -368,18 +369,25 @@ def _grams(words: int):
 
 
 def listed(sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Of large coarse groups (node, label, grams): tries (trie, node) of nodes that share a key of at most ``block`` nodes, and groups (node, label) of nodes that share other keys.
+    """Of large coarse groups (node, label, grams): tries (trie, node) of at most ``block`` nodes, and groups (node, label) of nodes that share keys of more.
 
-    Two linked nodes are together in one of them. Nodes without partners drop out.
+    Nodes that keys tie together are one trie, if they aren't too many; of others, those that share a key. Two linked nodes are together in
+    a trie or a group. Nodes without partners drop out.
     """
     total = sets.agg(F.sum(F.octet_length("grams") / 8).cast("long")).first()[0] or 0
     keys = _keys(sets.select("node", "label", "grams"), _of_sets, total, F.expr(f"({percent}L * n + 99) div 100"))
     keyed = materialize(keys.select("node", F.explode("keys").alias("h")), "list-keys")
-    counted = materialize(keyed.groupBy("h").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1"), "lists")
-    few = keyed.join(counted.where(F.col("members") <= block).select("h"), "h").groupBy("h").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    parts = connected_components(keyed.select(F.col("node").alias("a"), F.col("h").alias("b")))  # nodes and keys are one graph
+    mine = parts.join(keyed.select(F.col("node")).distinct(), "node")
+    size = mine.groupBy("label").agg(F.count("*").alias("size"))
+    sized = materialize(mine.join(size.where("size > 1"), "label"), "parts")
+    small = sized.where(F.col("size") <= block).select(F.col("label").alias("trie"), "node")
+    wide = materialize(keyed.join(sized.where(F.col("size") > block).select("node"), "node"), "wide-keys")
+    counted = materialize(wide.groupBy("h").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1"), "lists")
+    few = wide.join(counted.where(F.col("members") <= block).select("h"), "h").groupBy("h").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     tries = few.select("nodes").distinct().select(F.xxhash64("nodes").alias("trie"), F.explode("nodes").alias("node")).distinct()
-    often = _spread(keyed, "h", counted.where(F.col("members") > block)).where("node <> first")
-    return tries, connected_components(often.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    often = _spread(wide, "h", counted.where(F.col("members") > block)).where("node <> first")
+    return small.unionByName(tries), connected_components(often.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
 
 
 def coarse_groups(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
