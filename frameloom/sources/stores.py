@@ -16,6 +16,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.sources.scratch import written
+
 COLUMNS = "key string, text string"
 KEPT = 2
 
@@ -65,7 +67,7 @@ def load(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """key, value (of type ``schema``), origin of all documents of the newest version.
 
     origin is current; backup, if the text isn't JSON but the version before has one of that key that is; or broken, with a null value.
-    Only broken documents meet the version before, so sound ones aren't shuffled. No store: no rows.
+    The keys of broken documents are written first, so that Spark knows their size: while they are few, they are broadcast and neither version is shuffled.
     """
     done = versions(spark, root)
     if not done:
@@ -73,11 +75,14 @@ def load(spark: SparkSession, root: str, schema: str) -> DataFrame:
     sound, value = F.try_parse_json("text").isNotNull(), F.from_json("text", schema)
     newest = texts(spark, root, done[-1])
     whole = newest.where(sound).select("key", value.alias("value"), F.lit("current").alias("origin"))
-    torn = newest.where(~sound).select("key")
+    torn = written(newest.where(~sound).select("key"), "torn")
+    if torn.isEmpty():
+        return whole
     if len(done) == 1:
         return whole.unionByName(torn.select("key", F.lit(None).cast(schema).alias("value"), F.lit("broken").alias("origin")))
-    old = texts(spark, root, done[-2]).where(sound).select(F.col("key").alias("_key"), value.alias("value"), F.lit("backup").alias("origin"))
-    mended = torn.join(old, torn["key"].eqNullSafe(old["_key"]), "left")
+    old, sought = texts(spark, root, done[-2]).where(sound), torn.select(F.col("key").alias("_torn"))
+    found = old.join(sought, old["key"].eqNullSafe(sought["_torn"]), "left_semi").select(F.col("key").alias("_key"), value.alias("value"), F.lit("backup").alias("origin"))
+    mended = torn.join(found, torn["key"].eqNullSafe(found["_key"]), "left")
     return whole.unionByName(mended.select("key", "value", F.coalesce("origin", F.lit("broken")).alias("origin")))
 
 
