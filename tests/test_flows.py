@@ -137,6 +137,16 @@ def test_intervals_equal_brute_force(spark):
     assert nothing.collect() == []
 
 
+def test_keys_of_frames_are_not_broadcast(spark):
+    """Keys are many times the frames that Spark knows the size of; at no radius has a frame thousands of them."""
+    df = spark.createDataFrame([(i, [i] * 5) for i in range(20)], "video_id long, hashes array<long>")
+    for most in (6, 7, 16, 25):
+        bands, near, far = similarity.band_plan(most)
+        assert (most // bands) == near + far and bands * sum(len(similarity.masks(64 // bands + 1, k)) for k in (near, far)) < 200
+        plan = similarity.close_pairs(df, most)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_close_pairs_equal_brute_force(spark):
     rng = random.Random(7)
     base = [[rng.getrandbits(64) for _ in range(6)] for _ in range(25)]
