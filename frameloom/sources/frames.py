@@ -86,16 +86,17 @@ def _blocks(batches):
             for frames in alike.values():
                 for (i, _), values in zip(frames, _stacked([raw for _, raw in frames]), strict=True):
                     found[i] = values
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float32()))], names=["path", "pos", "embedding"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float32())), *part.columns[5:]], names=["path", "pos", "embedding", *part.schema.names[5:]])
 
 
-def frame_blocks(frames: DataFrame) -> DataFrame:
+def frame_blocks(frames: DataFrame, *kept: str) -> DataFrame:
     """frames (path, pos, height, width, data) to path, pos, embedding: the 64 coefficients that ``similarity`` hashes.
 
-    A frame that is null, empty or whose pixels don't fit its size has a null embedding. Extra columns are ignored.
+    A frame that is null, empty or whose pixels don't fit its size has a null embedding. Extra columns are ignored but for ``kept``.
     """
     columns = [F.col("path").cast("string"), F.col("pos").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("binary")]
-    return frames.select(*columns).mapInArrow(_blocks, "path string, pos long, embedding array<float>")
+    extra = "".join(f", {c} {frames.schema[c].dataType.simpleString()}" for c in kept)
+    return frames.select(*columns, *kept).mapInArrow(_blocks, f"path string, pos long, embedding array<float>{extra}")
 
 
 def frame_count(said: Column, readable: Column) -> Column:
@@ -172,6 +173,8 @@ def sampled_indices(total: int, short: int = 1000, stride: int = 500, most: int
 
 
 FRAMES = "path string, pos long, frame long, height int, width int, data binary, duration double, bytes_read long"
+#: Bytes of a partition, about, and as many partitions of the films' bytes as there are before a smaller number that was asked for gives way.
+USUAL_SPLIT, ENOUGH = 64 * 1024 * 1024, 16
 #: Rows that a worker hands on together.
 TOGETHER = 64
 
@@ -236,7 +239,7 @@ class FilmPart(InputPartition):
 class FilmReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.sampled = options["path"], options.get("frames", "sampled") == "sampled"
-        self.split = int(options.get("split", 64 * 1024 * 1024))
+        self.split = int(options.get("split", USUAL_SPLIT))
         #: Bytes that opening a file and seeking in it count for, beside those that are read.
         self.open_cost = int(options.get("opencost", 1024 * 1024))
 
@@ -245,12 +248,13 @@ class FilmReader(DataSourceReader):
         prefix = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else "file://"
         found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".y4m"))
         out, held, bytes_held = [], [], 0
+        split = self.split if self.sampled else max(self.split, min(USUAL_SPLIT, sum(size for _, size in found) // ENOUGH))
         for name, size in found:
-            if not self.sampled and size > self.split:
-                out += [FilmPart([prefix + name], at, min(size, at + self.split)) for at in range(0, size, self.split)]
+            if not self.sampled and size > split:
+                out += [FilmPart([prefix + name], at, min(size, at + split)) for at in range(0, size, split)]
                 continue
             cost = self.open_cost + (0 if self.sampled else size)
-            if held and bytes_held + cost > self.split:
+            if held and bytes_held + cost > split:
                 out.append(FilmPart(held))
                 held, bytes_held = [], 0
             held.append(prefix + name)
@@ -276,7 +280,10 @@ class FilmReader(DataSourceReader):
 
 
 class Films(DataSource):
-    """Data source "films": frames of all .y4m files below ``path``; option frames is "sampled" or "all", split the bytes of a partition."""
+    """Data source "films": frames of all .y4m files below ``path``; option frames is "sampled" or "all", split the bytes of a partition.
+
+    Small splits are for few films: a sixteenth (``ENOUGH``) of all bytes, ``USUAL_SPLIT`` at most, goes into a partition if that is more.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -299,6 +306,7 @@ def films(spark: SparkSession, folder: str, frames: str = "sampled", split: int
 def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
     """Write frames (path, frame, height, width, data: luma) as films, one file a path, by the tasks; gives path, frames, bytes.
 
+    With a column ``times``, a row stands for so many equal frames, the first of which is ``frame``, so that a picture which stays is shuffled once.
     A film's frames stream by in order. A file takes its name when it is whole, so a task that is repeated replaces what it wrote.
     """
 
@@ -315,7 +323,7 @@ def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
                 system.move(f"{path}.part", path)
 
         for batch in batches:
-            for name, height, width, data in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)], strict=True):
+            for name, height, width, data, times in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)], strict=True):
                 if name != place:
                     close()
                     place, n = name, 0
@@ -323,14 +331,15 @@ def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     file = system.open_output_stream(f"{path}.part")
                     file.write(f"YUV4MPEG2 W{width} H{height} F{fps}:1 Cmono\n".encode())
-                file.write(Y4M.LINE)
-                file.write(data)
-                n += 1
+                file.write((Y4M.LINE + data) * times)
+                n += times
         close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "frames", "bytes"])
 
-    ordered = frames.select("path", "frame", "height", "width", "data").repartition("path").sortWithinPartitions("path", "frame")
+    times = F.col("times") if "times" in frames.columns else F.lit(1)
+    # Dealt by a hash of the path: by the path itself, joins of the caller by it would seem to have dealt them.
+    ordered = frames.select("path", "frame", "height", "width", "data", times.alias("times")).repartition(F.xxhash64("path")).sortWithinPartitions("path", "frame")
     return written(ordered.mapInArrow(run, "path string, frames long, bytes long"), "films")
 
 
@@ -345,6 +354,9 @@ def small_pictures(frames: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for height, width, data in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                if height == width == SIDE:  # reduced already
+                    out.append(data)
+                    continue
                 shades = np.frombuffer(data, np.uint8).reshape(height, width).astype(float)
                 out.append(np.rint(area_matrix(height) @ shades @ area_matrix(width).T).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["path", "frame", "picture"])

@@ -133,3 +133,10 @@ def test_frame_blocks(spark):
     assert bits["s"].sum() <= 32 and (bits["s"] == bits["c"]).all()
     assert (bits["s"] == bits["o"]).mean() < 0.8
     assert frames.frame_blocks(spark.createDataFrame([], "path string, pos long, height int, width int, data binary")).count() == 0
+
+
+def test_frame_blocks_keep_columns(spark):
+    """What a query says of a frame beside its hash comes with it; films need not be read again."""
+    rows = [("f", 0, 32, 32, bytes(1024), 7, 2.5), ("f", 1, 0, 0, None, 8, 2.5)]
+    made = frames.frame_blocks(spark.createDataFrame(rows, "path string, pos long, height int, width int, data binary, frame long, duration double"), "frame", "duration")
+    assert [(r.pos, r.frame, r.duration, r.embedding is None) for r in made.collect()] == [(0, 7, 2.5, False), (1, 8, 2.5, True)]
