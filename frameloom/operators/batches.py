@@ -54,27 +54,40 @@ def mapped(items: DataFrame, key: str, item: str, f: Callable, limit_seconds: fl
 class _Helper:
     """A process beside the worker that calls the function, and can be ended."""
 
-    def __init__(self, f: Callable) -> None:
+    def __init__(self, f: Callable, others: list[_Helper]) -> None:
         forked = multiprocessing.get_context("fork")
         self.here, there = forked.Pipe()
 
         def serve() -> None:
-            self.here.close()
+            for of in (self, *others):  # each ends when the worker is gone, whatever the others hold
+                of.here.close()
             with contextlib.suppress(EOFError):
                 while True:
-                    there.send(_called(f, there.recv(), {}))
+                    there.send((_called(f, there.recv(), {}), time.monotonic()))
 
         self.process = forked.Process(target=serve, daemon=True)
         self.process.start()
         there.close()
 
-    def call(self, x, seconds: float) -> tuple | None:
-        """The result, or null if there is none after so many seconds or the process is gone."""
-        try:
+    def begin(self, x, seconds: float) -> None:
+        self.until = time.monotonic() + seconds
+        with contextlib.suppress(OSError):  # a process that is gone is found by ``result``
             self.here.send(x)
-            return self.here.recv() if self.here.poll(seconds) else None
+
+    def done(self, wait: float) -> bool:
+        """Whether there is a result, or an end of the process, within ``wait`` seconds and the item's limit."""
+        try:
+            return self.here.poll(max(0.0, min(wait, self.until - time.monotonic())))
+        except (EOFError, OSError):
+            return True
+
+    def result(self) -> tuple[tuple | None, bool]:
+        """The result, null if it came late or the process is gone; and whether it came late."""
+        try:
+            found, when = self.here.recv()
         except (EOFError, OSError):
-            return None
+            return None, False
+        return (found, False) if when <= self.until else (None, True)
 
     def end(self) -> None:
         self.process.kill()
@@ -82,29 +95,50 @@ class _Helper:
         self.here.close()
 
 
+#: Seconds after which an item waits beside the others, and items of a task that may wait so.
+PATIENCE, WAITING = 0.02, 16
+
+
 def mapped_within(items: DataFrame, key: str, item: str, f: Callable, seconds: float) -> DataFrame:
     """As ``mapped``, with a deadline for every single item: one that takes longer, or takes its process down, has ok false and the error says so; the others go on.
 
-    Calls run in one helper process a task, which is killed and replaced when an item hangs, so such an item costs its limit and no more.
+    Calls run one by one in a helper process of the task. An item that isn't done soon keeps its helper, and the next ones go to another, so up to ``WAITING``
+    limits pass side by side. A helper whose item hangs is killed.
     """
 
     def run(batches):
-        helper = None
+        idle: list[_Helper] = []
+        waiting: list[tuple[int, _Helper]] = []
+
+        def settle(found: list, at: int, helper: _Helper, answered: bool) -> None:
+            result, late = helper.result() if answered else (None, True)
+            if result is None:
+                helper.end()
+                result = False, None, f"TimeoutError: over {seconds:g} s" if late else "ChildProcessError: the helper ended"
+            else:
+                idle.append(helper)
+            found[at] = result
+
         try:
             for batch in batches:
-                found = []
-                for x in batch.column(1).to_pylist():
-                    helper = helper or _Helper(f)
-                    result = helper.call(x, seconds)
-                    if result is None:
-                        hung = helper.process.is_alive()
-                        helper.end()
-                        helper, result = None, (False, None, f"TimeoutError: over {seconds:g} s" if hung else "ChildProcessError: the helper ended")
-                    found.append(result)
+                found: list = [None] * batch.num_rows
+                for at, x in enumerate(batch.column(1).to_pylist()):
+                    if len(waiting) == WAITING:
+                        first, helper = waiting.pop(0)
+                        settle(found, first, helper, helper.done(seconds))
+                    helper = idle.pop() if idle else _Helper(f, [h for _, h in waiting])
+                    waiting.append((at, helper))
+                    helper.begin(x, seconds)
+                    if helper.done(PATIENCE):
+                        waiting.pop()
+                        settle(found, at, helper, True)
+                while waiting:
+                    first, helper = waiting.pop(0)
+                    settle(found, first, helper, helper.done(seconds))
                 columns = [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "ok", "value", "error"])
         finally:
-            if helper is not None:
+            for helper in [*idle, *(h for _, h in waiting)]:
                 helper.end()
 
     kind = items.schema[key].dataType.simpleString()

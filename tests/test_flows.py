@@ -220,6 +220,21 @@ def test_hanging_items_cost_their_limit(spark):
     assert [got[k] for k in (0, 1, 2, 4, 7)] == [(True, str(2 * k), None) for k in (0, 1, 2, 4, 7)]
 
 
+def test_limits_pass_side_by_side(spark):
+    """Many items that hang cost a task few limits, and one that is done late is an error all the same."""
+
+    def f(x):
+        time.sleep(3600 if int(x) % 2 else 1.3 if x == "0" else 0)
+        return x
+
+    items = spark.range(60).select(F.col("id").alias("k"), F.col("id").cast("string").alias("t")).coalesce(1)
+    began = time.time()
+    got = {r.k: (r.ok, r.value, r.error) for r in batches.mapped_within(items, "k", "t", f, seconds=1.0).collect()}
+    assert time.time() - began < 15
+    late = (False, None, "TimeoutError: over 1 s")
+    assert got == {k: late if k % 2 or k == 0 else (True, str(k), None) for k in range(60)}
+
+
 def test_handlers_by_type(spark):
     items = spark.createDataFrame([(1, "1"), (2, "0"), (3, "x"), (4, None)], "k long, t string")
     handlers = {ZeroDivisionError: lambda x, e: f"zero of {x}", ArithmeticError: lambda x, e: "unused", TypeError: lambda x, e: 1 // 0}
