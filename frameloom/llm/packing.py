@@ -43,9 +43,9 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, w
 
     def run(batches):
         encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             out: list[list] = [[] for _ in columns.split(",")]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids += end
                 for at in range(0, len(ids), 4 * size):
                     part = ids[at : at + 4 * size]

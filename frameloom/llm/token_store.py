@@ -117,7 +117,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_b
         press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=False)
         part, k, frames, entries, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 frames.append(press.compress(_narrow(ids + end, id_bytes)))
                 entries.append((doc_id, len(ids) // 4 + 1))
                 size += len(frames[-1])
