@@ -299,3 +299,41 @@ def test_idle_keys_are_forgotten(spark):
     got = [tuple(r) for r in stacks.stacked_batches(spark, [first, later, last], "idle", idle_seconds=0.001).collect()]
     assert (1, None, "expired", 0) in got
     assert (1, 5, "idle", 0) in got  # it begins anew
+
+
+def test_a_known_key_costs_few_messages_of_state():
+    """Each is a round trip to the JVM: a get, an update, and two of the timer, for a key with nothing below."""
+    from pyspark.sql import Row
+
+    calls, held = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def said(*value):
+                calls.append(call)
+                if call in ("update", "put"):
+                    held[self.name] = value[0]
+                return held.get(self.name)
+
+            return said
+
+    class Handle(State):
+        def getValueState(self, name, schema):
+            return State(name)
+
+        getListState = getValueState
+
+    class Times:
+        def getCurrentProcessingTimeInMs(self):
+            return 1000
+
+    stack = stacks.Stack("idle", 60.0)
+    stack.init(Handle("handle"))
+    rows = [Row(key=1, ts=2, position=2, op="set", state="b"), Row(key=1, ts=1, position=1, op="pop", state=None)]
+    assert [tuple(r) for r in stack.handleInputRows((1,), iter(rows), Times())] == [(1, 1, "idle", 0), (1, 2, "b", 0)]
+    calls.clear()
+    assert [tuple(r) for r in stack.handleInputRows((1,), iter([Row(key=1, ts=3, position=3, op="pop", state=None)]), Times())] == [(1, 3, "b", 0)]
+    assert sorted(calls) == ["deleteTimer", "get", "registerTimer", "update"]
