@@ -63,7 +63,7 @@ def _stacked(raw: list[np.ndarray]) -> list[list[float]]:
     gray = np.rint(pixels @ np.array([0.114, 0.587, 0.299])) if pixels.ndim == 4 else pixels.astype(float)
     small = np.rint(area_matrix(gray.shape[1]) @ gray @ area_matrix(gray.shape[2]).T)
     even = np.rint(smooth_matrix() @ small @ smooth_matrix().T)
-    return (cosine_matrix() @ even @ cosine_matrix().T).astype(np.float32).reshape(len(raw), -1).tolist()
+    return (cosine_matrix() @ even @ cosine_matrix().T).reshape(len(raw), -1).tolist()
 
 
 def _blocks(batches):
@@ -86,17 +86,17 @@ def _blocks(batches):
             for frames in alike.values():
                 for (i, _), values in zip(frames, _stacked([raw for _, raw in frames]), strict=True):
                     found[i] = values
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float32())), *part.columns[5:]], names=["path", "pos", "embedding", *part.schema.names[5:]])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float64())), *part.columns[5:]], names=["path", "pos", "embedding", *part.schema.names[5:]])
 
 
 def frame_blocks(frames: DataFrame, *kept: str) -> DataFrame:
-    """frames (path, pos, height, width, data) to path, pos, embedding: the 64 coefficients that ``similarity`` hashes.
+    """frames (path, pos, height, width, data) to path, pos, embedding: the 64 coefficients that ``similarity`` hashes, as doubles: as floats, the middle two can become one.
 
     A frame that is null, empty or whose pixels don't fit its size has a null embedding. Extra columns are ignored but for ``kept``.
     """
     columns = [F.col("path").cast("string"), F.col("pos").cast("long"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("binary")]
     extra = "".join(f", {c} {frames.schema[c].dataType.simpleString()}" for c in kept)
-    return frames.select(*columns, *kept).mapInArrow(_blocks, f"path string, pos long, embedding array<float>{extra}")
+    return frames.select(*columns, *kept).mapInArrow(_blocks, f"path string, pos long, embedding array<double>{extra}")
 
 
 def frame_count(said: Column, readable: Column) -> Column:
