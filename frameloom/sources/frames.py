@@ -184,11 +184,54 @@ def located(place: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(place if place.startswith("/") or "://" in place else place.replace("file:", "file://", 1))
 
 
+#: Bytes that are read over at a time.
+SKIPPED = 1024 * 1024
+
+
+class Unpacked:
+    """A file packed by zstandard, read as if it weren't: what lies before a place is read over, and a place further back is read to from the start."""
+
+    def __init__(self, system: fs.FileSystem, path: str) -> None:
+        self.system, self.path = system, path
+        self._begin()
+
+    def _begin(self) -> None:
+        self.file, self.at = self.system.open_input_stream(self.path, compression="zstd"), 0
+
+    def __enter__(self) -> Unpacked:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def read(self, n: int) -> bytes:
+        out = self.file.read(n)
+        self.at += len(out)
+        return out
+
+    def seek(self, to: int) -> None:
+        if to < self.at:
+            self.file.close()
+            self._begin()
+        while self.at < to and self.read(min(SKIPPED, to - self.at)):
+            pass
+
+    def size(self) -> int:
+        while self.read(SKIPPED):
+            pass
+        return self.at
+
+
+def opened(place: str) -> pa.NativeFile | Unpacked:
+    """A film's file; one whose name ends with .zst is packed."""
+    system, path = located(place)
+    return Unpacked(system, path) if path.endswith(".zst") else system.open_input_file(path)
+
+
 def _film_rows(place: str, chosen: Callable[[int], Iterable[int]], decoder: type, most_errors: int) -> Iterator[tuple]:
     """Rows (``FRAMES``) of the frames that ``chosen`` picks of their number; none of a file that can't be opened."""
     try:
-        system, path = located(place)
-        with system.open_input_file(path) as file:
+        with opened(place) as file:
             film = decoder(file, file.size())
             total, errors, pos = film.total(), 0, 0
             for i in chosen(total) if total else ():
@@ -246,15 +289,15 @@ class FilmReader(DataSourceReader):
     def partitions(self) -> list[FilmPart]:
         system, path = located(self.folder)
         prefix = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else "file://"
-        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".y4m"))
+        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith((".y4m", ".y4m.zst")))
         out, held, bytes_held = [], [], 0
-        split = self.split if self.sampled else max(self.split, min(USUAL_SPLIT, sum(size for _, size in found) // ENOUGH))
+        split, whole = [self.split if self.sampled else max(self.split, min(USUAL_SPLIT, n // ENOUGH)) for n in (sum(size for _, size in found), sum(self.open_cost + size for _, size in found))]
         for name, size in found:
-            if not self.sampled and size > split:
+            if not self.sampled and size > split and not name.endswith(".zst"):
                 out += [FilmPart([prefix + name], at, min(size, at + split)) for at in range(0, size, split)]
                 continue
             cost = self.open_cost + (0 if self.sampled else size)
-            if held and bytes_held + cost > split:
+            if held and bytes_held + cost > whole:
                 out.append(FilmPart(held))
                 held, bytes_held = [], 0
             held.append(prefix + name)
@@ -268,8 +311,7 @@ class FilmReader(DataSourceReader):
     def _range(self, place: str, part: FilmPart) -> Iterator[tuple]:
         """All frames that begin in a range; their ``pos`` is their number."""
         try:
-            system, path = located(place)
-            with system.open_input_file(path) as file:
+            with opened(place) as file:
                 film = Y4M(file, file.size())
                 for i in range(film.total()):
                     at = film.first + i * film.step if film.places is None else film.places[i]
@@ -280,9 +322,10 @@ class FilmReader(DataSourceReader):
 
 
 class Films(DataSource):
-    """Data source "films": frames of all .y4m files below ``path``; option frames is "sampled" or "all", split the bytes of a partition.
+    """Data source "films": frames of all .y4m files, and .y4m.zst files (packed), below ``path``; option frames is "sampled" or "all", split the bytes of a partition.
 
-    Small splits are for few films: a sixteenth (``ENOUGH``) of all bytes, ``USUAL_SPLIT`` at most, goes into a partition if that is more.
+    Small splits are for few films: a sixteenth (``ENOUGH``) of all bytes, ``USUAL_SPLIT`` at most, goes into a partition if that is more; films that
+    aren't cut into ranges go together by a sixteenth of bytes and costs of opening. A packed film is never cut, one task reads it from the start.
     """
 
     @classmethod
@@ -306,6 +349,7 @@ def films(spark: SparkSession, folder: str, frames: str = "sampled", split: int
 def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
     """Write frames (path, frame, height, width, data: luma) as films, one file a path, by the tasks; gives path, frames, bytes.
 
+    A film whose path ends with .zst is packed by zstandard: equal frames take next to nothing, but none is found by seeking.
     With a column ``times``, a row stands for so many equal frames, the first of which is ``frame``, so that a picture which stays is shuffled once.
     A film's frames stream by in order. A file takes its name when it is whole, so a task that is repeated replaces what it wrote.
     """
@@ -318,9 +362,9 @@ def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
 
         def close() -> None:
             if file is not None:
-                out.append((place, n, file.tell()))
                 file.close()
                 system.move(f"{path}.part", path)
+                out.append((place, n, system.get_file_info(path).size))
 
         for batch in batches:
             for name, height, width, data, times in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)], strict=True):
@@ -329,7 +373,7 @@ def write_films(frames: DataFrame, fps: int = 25) -> DataFrame:
                     place, n = name, 0
                     system, path = located(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    file = system.open_output_stream(f"{path}.part")
+                    file = system.open_output_stream(f"{path}.part", compression="zstd" if path.endswith(".zst") else None)
                     file.write(f"YUV4MPEG2 W{width} H{height} F{fps}:1 Cmono\n".encode())
                 file.write((Y4M.LINE + data) * times)
                 n += times

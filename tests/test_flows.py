@@ -70,6 +70,21 @@ def test_films_with_pictures_that_stay(spark, tmp_path):
     assert made["frames"] == 5 and got == [(0, b"ab"), (1, b"ab"), (2, b"ab"), (3, b"cd"), (4, b"cd")]
 
 
+def test_packed_films(spark, tmp_path):
+    """Films packed take little of the disk, give the same frames, and go into few partitions."""
+    pictures = {p: [bytes((p * j + k) % 251 for k in range(64 * 64)) for j in range(3)] for p in range(40)}
+    rows = [(f"{tmp_path}/x/{p}.y4m.zst", 20 * j, 64, 64, data, 20) for p, of in pictures.items() for j, data in enumerate(of)]
+    made = frames.write_films(spark.createDataFrame(rows, "path string, frame int, height int, width int, data binary, times int")).collect()
+    on_disk = {p.name: p.stat().st_size for p in (tmp_path / "x").iterdir()}
+    assert len(on_disk) == 40 and {r.path.rpartition("/")[2]: r.bytes for r in made} == on_disk
+    assert {r.frames for r in made} == {60} and max(on_disk.values()) < 60 * 64 * 64 / 10
+    read = frames.films(spark, str(tmp_path / "x"), frames="all", split=65_536)
+    got = sorted((int(r.path.rpartition("/")[2].split(".")[0]), r.frame, r.duration, bytes(r.data)) for r in read.collect())
+    assert got == [(p, i, 2.4, pictures[p][i // 20]) for p in range(40) for i in range(60)]
+    assert read.rdd.getNumPartitions() <= 20
+    assert sorted(r.frame for r in frames.films(spark, str(tmp_path / "x")).where("path like '%/7.y4m.zst'").collect()) == [6, 18, 30, 42, 54]
+
+
 def test_films_written_and_read(spark, tmp_path):
     rows = [(f"{tmp_path}/x/{p}.y4m", i, 2, 3, bytes([p * 10 + i] * 6)) for p in range(4) for i in range(7)]
     random.Random(1).shuffle(rows)
